@@ -44,3 +44,22 @@ def process_cache(name: str, make: Callable[[], object]):
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """columns of docs with `_id` (the id) and `_key`: a long, one for each row, in the order of the ids.
+
+    Ids that are distinct integers are the keys. If an id is null or repeated, rows get numbers by (id, columns), nulls
+    first, so that each row is a document of its own.
+    """
+    from pyspark.sql import functions as F
+
+    slim = docs.select(F.col(id_col).alias("_id"), *columns)
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole:
+        odd = slim.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
+        if not odd.take(1):
+            return slim.withColumn("_key", F.col("_id").cast("long"))
+    ordered = slim.orderBy(F.col("_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
+    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return written(slim.sparkSession.createDataFrame(numbered, slim.schema.add("_key", "long")))

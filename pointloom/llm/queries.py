@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, token_counts
+from . import bpe, packing, quality, secrets, sharding, substring, token_counts
 from ._io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def _query(f):
     return f
 
 
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op5_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
