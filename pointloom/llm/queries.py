@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, substring, token_counts
+from . import bpe, packing, pii, quality, secrets, sharding, substring, token_counts, topk
 from ._io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,16 @@ def _query(f):
     return f
 
 
+@_query
+def op2_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
+
+
+@_query
+def op3_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 @_query
 def op4_substring_dedup(spark, sf_dir):
     out = substring.substring_dedup(table(spark, sf_dir, "documents"))
