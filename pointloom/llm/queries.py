@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, sharding, substring, token_counts, topk
+from . import bpe, ngram_join, packing, pii, quality, secrets, sharding, substring, token_counts, topk
 from ._io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def _query(f):
     return f
 
 
+@_query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @_query
 def op2_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
