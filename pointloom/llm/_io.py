@@ -63,3 +63,26 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("
     ordered = slim.orderBy(F.col("_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     return written(slim.sparkSession.createDataFrame(numbered, slim.schema.add("_key", "long")))
+
+
+def carried(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """keyed() rows (_id, _key, text, _doc): _doc holds all other columns, whatever their names."""
+    from pyspark.sql import functions as F
+
+    others = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("_none"))
+    return keyed(docs.select(docs[id_col].alias("_given"), docs["text"].alias("text"), others.alias("_doc")), "_given", ("text", "_doc"))
+
+
+def restored(rows: DataFrame, columns: list[str], changed=None, text="text") -> DataFrame:
+    """The documents' columns from carried() rows; where changed holds, text is new and n_chars follows it."""
+    from pyspark.sql import functions as F
+
+    def column(c: str):
+        if c == "text":
+            return F.when(changed, F.col(text)).otherwise(F.col("text")).alias("text") if changed is not None else F.col("text")
+        own = F.col("_doc").getField(c)
+        if c == "n_chars" and changed is not None:
+            return F.when(changed, F.length(text).cast(rows.schema["_doc"].dataType[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
+
+    return rows.select(*[column(c) for c in columns])

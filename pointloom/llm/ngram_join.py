@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
 from ._graph import components
-from ._io import keyed, process_cache, written
+from ._io import carried, keyed, process_cache, restored, written
 from ._words import WordHasher, chunks, grams, mix
 from .substring import CopyTable
 
@@ -295,3 +295,10 @@ def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col:
 def _plain(own: DataFrame) -> bool:
     """Whether keys are the ids themselves."""
     return not own.where("not (_id <=> _key)").take(1)
+
+
+def deduplicated(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col: str = "doc_id") -> DataFrame:
+    """docs with the first row of each component alone, with all its columns."""
+    own = carried(docs, id_col)
+    firsts = jaccard_components(own.select("_key", "text"), cfg, "_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return restored(own.join(firsts, "_key", "left_semi"), docs.columns)

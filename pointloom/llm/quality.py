@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import carried, restored, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,8 +88,6 @@ def boilerplate(lines: DataFrame, cfg: QualityConfig) -> DataFrame:
 
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
     """One row for each row of docs (id_col, text, host_col): the base counts, base_failed, n_removed_words and kept."""
-    from ._io import written
-
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), "text")
     # A row number of its own keeps repeated rows apart.
     counts = base_counts(slim, cfg, ["doc_id", "host"]).withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", line_codes(F.col("_lines")))
@@ -105,3 +105,10 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & (left < cfg.min_left_share * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def accepted(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    own = carried(docs, id_col)
+    rejected = quality_rules(own.select("_key", "text", F.col("_doc").getField(host_col).alias("host")), cfg, "_key", "host").where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
+    return restored(own.join(rejected, "_key", "left_anti"), docs.columns)

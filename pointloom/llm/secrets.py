@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import written
+from ._io import carried, restored, written
 
 #: Fixed patterns of the contract. hex and access carry their least length: matches are maximal runs, so a shorter run is dropped either way.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,22 +94,20 @@ def secret_scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), id_col: str
     return staged.select("doc_id", "_row").join(gathered, "_row", "left").withColumn("spans", F.coalesce("spans", none))
 
 
-def redacted(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str = "[secret]") -> DataFrame:
-    """docs (doc_id unique) with every span's text replaced by mark; rows without spans are unchanged."""
-    scan = secret_scan(docs, cfg).where(F.size("spans") > 0).select("doc_id", "spans")
-    joined = docs.join(scan, "doc_id", "left")
-    # Overlapping spans are one: a piece begins at the largest end so far.
+def redacted(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str = "[secret]", id_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """docs with every span's text replaced by mark; overlapping spans are one, and rows without spans are unchanged."""
+    own = carried(docs, id_col)
+    scan = secret_scan(own.select("_key", "text", F.col("_doc").getField(owner_col).alias("owner")), cfg, "_key", "owner")
+    joined = own.join(scan.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key"), "spans"), "_key", "left")
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
+        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("spans", init, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    return restored(joined.withColumn("_clean", clean), docs.columns, F.col("spans").isNotNull(), "_clean")
 
 
 def digest(scan: DataFrame) -> DataFrame:

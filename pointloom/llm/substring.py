@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bitmap import bitmap, member
-from ._io import keyed, process_cache
+from ._io import carried, keyed, process_cache, restored
 from ._words import WordHasher, chunks, grams, mix
 
 
@@ -163,18 +164,22 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: CopyTable) ->
 
 def substring_dedup(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): the kept words of every row of docs, joined by single spaces."""
-    own = keyed(docs, id_col)
+    return _deduplicated(keyed(docs, id_col), cfg).withColumnRenamed("_id", "doc_id")
+
+
+def _deduplicated(own: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """Keyed rows with n_words, n_removed and kept in place of their keys."""
     copies = copy_table(own, cfg)
-    shared = docs.sparkSession.sparkContext.broadcast(copies)
+    shared = own.sparkSession.sparkContext.broadcast(copies)
     spans = covered_windows(own, cfg, copies).groupBy("_key").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
-    joined = own.join(spans.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left").select("_id", "_key", "text", F.col("spans.start").alias("starts"), F.col("spans.run").alias("runs"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    carry = [c for c in own.columns if c != "_key"]
+    joined = own.join(spans.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left").select("_key", "text", F.col("spans.start").alias("starts"), F.col("spans.run").alias("runs"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    schema = T.StructType([own.schema[c] for c in carry]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1).to_numpy()
-            texts, starts, runs = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keys, (texts, starts, runs) = batch.column(0).to_numpy(), (batch.column(i).to_pylist() for i in (1, 2, 3))
             for a, b in chunks(texts):
                 hashes, bounds = hasher.texts(texts[a:b])
                 whole = shared.value.later(_fingerprints(hashes, bounds), keys[a:b]) & (np.diff(bounds) >= cfg.window)
@@ -198,6 +203,11 @@ def substring_dedup(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), i
                     else:
                         n_removed.append(0)
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(4 + i).slice(a, b - a) for i in range(len(carry))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
+
+    return joined.mapInArrow(cut, schema)
+
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+def deduplicated(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), id_col: str = "doc_id") -> DataFrame:
+    """docs without repeated passages: a text that loses words is its kept words joined by single spaces."""
+    return restored(_deduplicated(carried(docs, id_col), cfg), docs.columns, F.col("n_removed") > 0, "kept")
