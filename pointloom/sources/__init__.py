@@ -1 +1,13 @@
-"""sources of the point-cloud engine."""
+"""Sources and sinks of the point-cloud engine."""
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the formats lidar_mcap, ros_bag and npz known to the session."""
+    from .arrays import NumpyArchive
+    from .mcap import LidarMcap
+    from .rosbag import RosBag
+
+    for source in (LidarMcap, RosBag, NumpyArchive):
+        spark.dataSource.register(source)
