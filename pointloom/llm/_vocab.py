@@ -1,9 +1,8 @@
-"""Public vocabulary files as bytes, two-generation caches, and texts cut where no merge can reach across."""
+"""Public vocabulary files as bytes, and two-generation caches."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -35,16 +34,3 @@ class Memo(dict):
 def shared(kind: str, data: bytes, make: Callable[[bytes], object]):
     """make(data), once for each Python process and file content."""
     return process_cache(f"{kind}:{hashlib.md5(data).hexdigest()}", lambda: make(data))
-
-
-_LOOSE = re.compile(r"(?:^|\s) |  | (?=\s)")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def space_chunks(text: str) -> list[str]:
-    """text cut before every single space that stands between two non-spaces; the pieces begin with that space."""
-    if not _LOOSE.search(text) and not text.endswith(" "):
-        parts = text.split(" ")
-    else:
-        parts = _SAFE_SPACE.split(text)
-    return parts[:1] + [" " + p for p in parts[1:]]

@@ -11,19 +11,20 @@ repeated rows are packed each; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._vocab import read_file, shared, space_chunks
+from ._vocab import read_file, shared
 from ._words import chunks
 
 
@@ -37,29 +38,29 @@ class PackConfig:
 
 
 class ByteBpe:
-    """Ids of a byte-level `tokenizers` file, as little-endian 32-bit bytes. Texts are cut before single spaces between
-    non-spaces, where its pattern always cuts, and the library encodes each distinct chunk once while it is remembered."""
+    """Ids of a byte-level `tokenizers` file, as little-endian 32-bit bytes.
 
-    def __init__(self, data: bytes, limit: int = 500_000):
-        from tokenizers import Tokenizer
+    The file's merges are ranked by their ids, and a rank coder gives the same ids: two tokens side by side that spell a
+    merged token are always the two of its merge, since within their span merges went as they would alone. Strings of
+    special tokens are those tokens, as by the library's default.
+    """
 
-        self.library, self.limit = Tokenizer.from_str(data.decode()), limit
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, data: bytes):
+        import tiktoken
+
+        spec = json.loads(data)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)._core_bpe
+        self.names = set(self.special)
+
+    def encode(self, text: str | None) -> bytes:
+        return bytes(self.core.encode_to_tiktoken_buffer(text, self.names)) if text else b""
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [space_chunks(t) if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        fresh = set().union(*cut).difference(known)
-        for c in [c for c in fresh if c in old]:
-            known[c] = old[c]
-            fresh.discard(c)
-        todo = list(fresh)
-        for c, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        return [self.encode(t) for t in texts]
 
 
 def pieces(docs: DataFrame, path: str, cfg: PackConfig = PackConfig(), id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -69,9 +70,6 @@ def pieces(docs: DataFrame, path: str, cfg: PackConfig = PackConfig(), id_col: s
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = shared("byte_bpe", data.value, ByteBpe)
         for batch in batches:
             texts = batch.column(1).to_pylist()
