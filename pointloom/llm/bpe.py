@@ -4,9 +4,8 @@ The merges are compiled, in order, into a deterministic automaton over tokens th
 byte-pair merging gives. It starts as one state with an arc back to itself for every base symbol. Each merge (a, b) is a
 gadget: the state that a leads to is forked into a copy that lacks the arc b, a then leads to the copy, and every state
 that had the arc a gets an arc for the new token ab, which leads to where b led. Copies are kept as differences (the arc
-that was cut, and when), so the whole automaton takes one entry for each merge. A word is encoded by running its
-characters through a table: the state after a prefix is the last token of that prefix, and the next one is the only
-token whose arc the automaton has there. Decoding emits the arcs' labels.
+that was cut, and when), so the whole automaton takes one entry for each merge. A word is encoded by
+transitions of the table (state, arc): a state is the last token, and one path spells the word. Decoding emits the arcs' labels.
 
 Cases: a null or empty text has no tokens; special tokens' strings inside a text are those tokens; very long texts are
 worked on whole, batch by batch; repeated rows are encoded each; an empty table gives an empty result; columns other
@@ -17,15 +16,23 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from ._vocab import Memo, read_file, shared
 from ._words import chunks
 
 _NEVER = 1 << 60
+_LATIN_END = "\u0250"
+_LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Byte to shown character of the byte-level alphabet: printable bytes are themselves, others follow from U+0100.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 
@@ -39,7 +46,7 @@ class MergeAutomaton:
         self.born: dict[int, int] = {}
         for time, (a, b, ab) in enumerate(merges):
             self._gadget(a, b, ab, time)
-        self.table = Memo(self._transition, 2_000_000)
+        self.table = Memo(self._transition, 200_000)
 
     def _gadget(self, a: int, b: int, ab: int, time: int) -> None:
         self.cut.setdefault(a, {}).setdefault(b, time)
@@ -63,29 +70,39 @@ class MergeAutomaton:
             time = min(time, self.born[token])
             token = self.arc[token]
 
-    def _transition(self, pair: tuple[int, int]) -> bool:
-        return self._has(pair[0], pair[1], _NEVER - 1)
-
-    def encode(self, symbols: str, final: str, vocab: dict[str, int], longest: int) -> list[int]:
-        """Token numbers of a word: symbols is its text, final the mark of a word's end."""
-        n, table = len(symbols), self.table
-        last: list[int] = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        for j in range(1, n + 1):
-            end = final if j == n else ""
-            for i in range(max(0, j - longest), j):
-                token = vocab.get(symbols[i:j] + end)
-                if token is not None and (i == 0 or (last[i] >= 0 and table[last[i], token])):
-                    last[j], size[j] = token, j - i
+    def _transition(self, pair: int) -> bool:
+        return self._has(pair >> 32, pair & 0xFFFFFFFF, _NEVER - 1)
+
+    def encode(self, word: str, final: str, vocab: dict[str, int], longest: int) -> list[int]:
+        """Token numbers of a word; final marks its end.
+
+        From each place the longest arc that the automaton allows is taken; where no arc leads on, the place is dead and
+        the arc before it is taken back. One path is accepted, and no place is left twice, so the work is bounded.
+        """
+        n, table = len(word), self.table
+        tokens: list[int] = []
+        begins: list[int] = []
+        dead: set[int] = set()
+        pos, end = 0, min(n, longest)
+        while pos < n:
+            token = None
+            while end > pos:
+                token = vocab.get(word[pos:end] if end < n else word[pos:] + final)
+                if token is not None and end not in dead and (not tokens or table[tokens[-1] << 32 | token]):
                     break
-        out = []
-        while n > 0:
-            if last[n] < 0:  # a symbol outside the vocabulary has no token
-                n -= 1
-                continue
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+                token = None
+                end -= 1
+            if token is not None:
+                tokens.append(token)
+                begins.append(pos)
+                pos, end = end, min(n, end + longest)
+            else:
+                dead.add(pos)
+                if not tokens:
+                    raise ValueError(f"a symbol of {word!r} isn't in the vocabulary")
+                tokens.pop()
+                pos, end = begins.pop(), pos - 1
+        return tokens
 
 
 class WordBpe:
@@ -106,40 +123,32 @@ class WordBpe:
         self.has_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(data.decode())
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.words = Memo(lambda w: self.automaton.encode(w, self.final, self.vocab, self.longest))
-        self.pieces = Memo(self._chunk)
+        self.words = Memo(lambda w: array("i", self.automaton.encode(w, self.final, self.vocab, self.longest)).tobytes(), 150_000)
+        self.pieces = Memo(self._chunk, 250_000)
 
-    def _chunk(self, chunk: str) -> list[int]:
-        """Token numbers of a piece of text without ASCII white space."""
+    def _chunk(self, data: bytes) -> bytes:
+        """Token numbers (32-bit, native) of a piece of text without ASCII white space."""
+        chunk = data.decode()
         if self.has_special and "<|" in chunk:
             parts = self.has_special.split(chunk)
             if len(parts) > 1:
-                return [t for p in parts for t in ([self.special[p]] if p in self.special else self._plain(p))]
+                return b"".join(array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in parts)
         return self._plain(chunk)
 
-    def _plain(self, chunk: str) -> list[int]:
+    def _plain(self, chunk: str) -> bytes:
+        words = self.words
         if chunk.isascii():
-            words = _ASCII_WORDS.findall(chunk.lower())
-            return [t for w in words for t in self.words[w]] if chunk.isprintable() else self._library(chunk)
-        return self._library(chunk)
+            if chunk.isprintable():
+                return b"".join([words[w] for w in _ASCII_WORDS.findall(chunk.lower())])
+        elif max(chunk) < _LATIN_END:  # no such character composes with another
+            return b"".join([words[w.encode().decode("latin-1").translate(_SHOWN)] for w in _LATIN_WORDS.findall(chunk.lower())])
+        return b"".join([words[w] for w, _ in self.split(self.normal(chunk))])
 
-    def _library(self, chunk: str) -> list[int]:
-        return [t for w, _ in self.split(self.normal(chunk)) for t in self.words[w]]
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.encode().split())) if text else b"", np.int32)
 
-    def encode(self, text: str | None) -> list[int]:
-        pieces = self.pieces
-        return [t for c in _ascii_split(text) for t in pieces[c]] if text else []
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.labels.__getitem__, ids))
-
-
-_GAP = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def _ascii_split(text: str) -> list[str]:
-    """Runs other than ASCII white space. (str.split() would also cut at other spaces.)"""
-    return [c for c in _GAP.split(text) if c] if not text.isascii() else [c for c in re.split(r"[\x20\x09-\x0D]+", text) if c]
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(map(self.labels.__getitem__, ids.tolist()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +163,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for a, b in chunks(texts, 2 << 20):
                 ids = [coder.encode(t) for t in texts[a:b]]
                 decoded = [coder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists, pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded string")
