@@ -90,15 +90,15 @@ def preview(df: DataFrame, most: int, order: Sequence[str], group: Sequence[str]
 
 
 def _on_grid(at: Column, n: Column, most: int) -> Column:
-    """Whether at is floor(j * (n - 1) / (most - 1)) for some j, or all where n is at most most."""
+    """Whether at is floor(j * step) for some step of an even grid from 0 to n - 1, or all where n is at most most."""
     if most < 2:
         return at < most
     step = (n - 1) / F.lit(most - 1)
     j = F.ceil(at / step)
     near = [F.floor((j + d) * step) == at for d in (-1, 0, 1)]
-    inside = [((j + d) >= 0) & ((j + d) <= most - 1) for d in (-1, 0, 1)]
+    inside = [((j + d) >= 0) & ((j + d) <= most - 2) for d in (-1, 0, 1)]
     hit = (near[0] & inside[0]) | (near[1] & inside[1]) | (near[2] & inside[2])
-    return (n <= most) | hit
+    return (n <= most) | (at == n - 1) | hit
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_at") -> DataFrame:
