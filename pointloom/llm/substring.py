@@ -52,24 +52,26 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
-class CopyTable:
-    """fingerprint -> first key, of the largest groups of whole copies."""
+#: (fingerprint, first key) of the largest groups of whole copies, sorted: plain arrays, as broadcasts need.
+Copies = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        rows = sorted(rows)
-        self.prints = np.array([r[0] for r in rows], np.int64)
-        self.first = np.array([r[1] for r in rows], np.int64)
 
-    def later(self, prints: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Which documents have a whole copy with a smaller key."""
-        prints = prints.view(np.int64)
-        if not len(self.prints):
-            return np.zeros(len(prints), bool)
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return (self.prints[at] == prints) & (self.first[at] < keys)
+def copies_of(rows: list[tuple[int, int]]) -> Copies:
+    rows = sorted(rows)
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def copy_table(docs: DataFrame, cfg: SubstringConfig) -> CopyTable:
+def later_copies(copies: Copies, prints: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which documents have a whole copy with a smaller key."""
+    known, first = copies
+    prints = prints.view(np.int64)
+    if not len(known):
+        return np.zeros(len(prints), bool)
+    at = np.minimum(np.searchsorted(known, prints), len(known) - 1)
+    return (known[at] == prints) & (first[at] < keys)
+
+
+def copy_table(docs: DataFrame, cfg: SubstringConfig) -> Copies:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch in batches:
@@ -82,7 +84,7 @@ def copy_table(docs: DataFrame, cfg: SubstringConfig) -> CopyTable:
 
     prints = docs.select("_key", "text").mapInArrow(run, "_key long, print long")
     groups = prints.groupBy("print").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return CopyTable([(r["print"], r["first"]) for r in groups.orderBy(F.desc("n"), "print").limit(cfg.copies).collect()])
+    return copies_of([(r["print"], r["first"]) for r in groups.orderBy(F.desc("n"), "print").limit(cfg.copies).collect()])
 
 
 def _anchors(hashes: np.ndarray, bounds: np.ndarray, cfg: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def _runs(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return rows[at], starts[at], np.diff(np.concatenate((at, [len(rows)])))
 
 
-def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: CopyTable) -> DataFrame:
+def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> DataFrame:
     """Rows (_key, start, run): windows start, start+1, ... start+run-1 of the document occur earlier."""
     shared = docs.sparkSession.sparkContext.broadcast(copies)  # cfg.copies entries at most
 
@@ -121,7 +123,7 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: CopyTable) ->
         for a, b in chunks(texts):
             hashes, bounds = hasher.texts(texts[a:b])
             own = keys[a:b]
-            keep = (np.diff(bounds) >= cfg.window) & ~shared.value.later(_fingerprints(hashes, bounds), own)
+            keep = (np.diff(bounds) >= cfg.window) & ~later_copies(shared.value, _fingerprints(hashes, bounds), own)
             sizes = np.where(keep, np.diff(bounds), 0)
             yield own, hashes[np.repeat(keep, np.diff(bounds))], np.concatenate(([0], np.cumsum(sizes)))
 
@@ -182,7 +184,7 @@ def _deduplicated(own: DataFrame, cfg: SubstringConfig) -> DataFrame:
             keys, (texts, starts, runs) = batch.column(0).to_numpy(), (batch.column(i).to_pylist() for i in (1, 2, 3))
             for a, b in chunks(texts):
                 hashes, bounds = hasher.texts(texts[a:b])
-                whole = shared.value.later(_fingerprints(hashes, bounds), keys[a:b]) & (np.diff(bounds) >= cfg.window)
+                whole = later_copies(shared.value, _fingerprints(hashes, bounds), keys[a:b]) & (np.diff(bounds) >= cfg.window)
                 n_words, n_removed, kept = [], [], []
                 for i in range(a, b):
                     words = texts[i].encode().split() if texts[i] else []

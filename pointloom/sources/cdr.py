@@ -42,6 +42,7 @@ def decode_lidar_message(data: bytes, stride: int = 1) -> LidarMessage:
     end = 16 + name
     if end > len(data):
         raise ValueError("the frame id runs beyond the message")
+    short = False
     for base in (4, 0):
         at = end + (base - end) % 8
         if at + _FIXED > len(data):
@@ -53,7 +54,8 @@ def decode_lidar_message(data: bytes, stride: int = 1) -> LidarMessage:
             continue
         room = len(data) - at
         size = 20 if not count or room >= 20 * count - 1 else 19
-        if room < 19 * count:
+        if room < 19 * count or (short and not count):
+            short = True  # what the other alignment shows as empty is then no message either
             continue
         body = data[at : at + size * count].ljust(size * count, b"\0")
         points = np.frombuffer(body, _point_type(order, size), count)[:: max(1, stride)]
