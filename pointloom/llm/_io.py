@@ -46,7 +46,23 @@ def process_cache(name: str, make: Callable[[], object]):
     return store[name]
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df (a few plain columns) as a broadcast side if it has no more than so many rows; beyond, Spark shuffles it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def plain_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are distinct integers, so that they can be keys."""
+    from pyspark.sql import functions as F
+
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).take(1)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), plain: bool | None = None) -> DataFrame:
     """columns of docs with `_id` (the id) and `_key`: a long, one for each row, in the order of the ids.
 
     Ids that are distinct integers are the keys. If an id is null or repeated, rows get numbers by (id, columns), nulls
@@ -55,11 +71,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("
     from pyspark.sql import functions as F
 
     slim = docs.select(F.col(id_col).alias("_id"), *columns)
-    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
-    if whole:
-        odd = slim.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _id is null")
-        if not odd.take(1):
-            return slim.withColumn("_key", F.col("_id").cast("long"))
+    if plain if plain is not None else plain_ids(docs, id_col):
+        return slim.withColumn("_key", F.col("_id").cast("long"))
     ordered = slim.orderBy(F.col("_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     return written(slim.sparkSession.createDataFrame(numbered, slim.schema.add("_key", "long")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -93,7 +93,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: list, limit: int = 4 << 20):
+def chunks(texts: list, limit: int = 2 << 20):
     """Index ranges of texts with about limit characters each."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

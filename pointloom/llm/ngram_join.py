@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
 from ._graph import components
-from ._io import carried, keyed, process_cache, restored, written
+from ._io import bounded, carried, keyed, plain_ids, process_cache, restored, written
 from ._words import WordHasher, chunks, grams, mix
-from .substring import CopyTable
+from .substring import Copies, copies_of, later_copies
 
 BLOCK = 1 << 14
 
@@ -45,11 +45,11 @@ BLOCK = 1 << 14
 @dataclass(frozen=True)
 class JoinConfig:
     """size: words of a shingle; percent: the least Jaccard similarity; sketch_bits: log2 of the count sketch's counters
-    (4 MB as levels); bits: log2 of the bitmaps' sizes (8 MB); copies: entries of the table of equal sets at most."""
+    (16 MB as levels); bits: log2 of the bitmaps' sizes (8 MB); copies: entries of the table of equal sets at most."""
 
     size: int = 3
     percent: int = 90
-    sketch_bits: int = 22
+    sketch_bits: int = 24
     bits: int = 26
     copies: int = 1 << 16
 
@@ -86,7 +86,7 @@ def survey(own: DataFrame, cfg: JoinConfig) -> DataFrame:
     """One pass: rows (kind 0) with each document's set size n and fingerprint, and rows (kind 1) of a count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << cfg.sketch_bits, np.uint32)
+        counts = np.zeros(1 << cfg.sketch_bits, np.uint16)  # of one task; a wrong level costs time only
         empty = lambda n, t: pa.nulls(n, t)
         for batch in batches:
             sizes, prints = [], []
@@ -105,26 +105,29 @@ def survey(own: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def sketch_levels(surveyed: DataFrame, cfg: JoinConfig) -> np.ndarray:
-    """The level (0: common noise or rarer) of each of the sketch's counters. Partial sketches are added in two rounds."""
+    """The level of each of the sketch's counters: eight for each doubling of the count. Partial sketches are added in
+    two rounds; the second gives levels, so a byte for each counter reaches the driver."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums.setdefault(b, np.zeros(BLOCK, np.uint64))
-                sums[b] += np.frombuffer(zlib.decompress(raw), np.uint32 if b >= 0 else np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - b if b >= 0 else b for b in sums], pa.int64()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], ["block", "counts"])
+    def add(final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = sums.setdefault(b, np.zeros(BLOCK, np.uint32))
+                    own += np.frombuffer(zlib.decompress(raw), np.uint32 if final else np.uint16)
+            if sums:
+                out = [np.floor(8 * np.log2(1.0 + c)).clip(0, 255).astype(np.uint8) if final else c for c in sums.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(c.tobytes(), 1) for c in out], pa.binary())], ["block", "counts"])
+
+        return run
 
     kind = "block long, counts binary"
     parts = surveyed.where("kind = 1").select(F.col("_key").alias("block"), "counts")
-    once = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(add, kind)
-    total = np.zeros(1 << cfg.sketch_bits, np.uint64)
-    for r in once.repartition("block").mapInArrow(add, kind).toLocalIterator():
-        b = -1 - r["block"]
-        total[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    noise = 2.0 * total.mean() + 8
-    return np.where(total <= noise, 0, 1 + np.floor(2 * np.log2(np.maximum(total, 1) / noise))).clip(0, 255).astype(np.uint8)
+    once = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(4))).mapInArrow(add(False), kind)
+    levels = np.zeros(1 << cfg.sketch_bits, np.uint8)
+    for r in once.repartition("block").mapInArrow(add(True), kind).toLocalIterator():
+        levels[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return levels
 
 
 def _prefix(s: np.ndarray, levels: np.ndarray, cfg: JoinConfig) -> np.ndarray:
@@ -139,10 +142,25 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _wide(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes, about one for every two shingles. One of half the size is its halves' sum."""
+    bits = 1 << max(8, int(len(s)).bit_length() - 1)
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their wide signatures."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, n)), np.bitwise_xor.reduce(y.reshape(-1, n))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class _Lists:
     """The passes over the texts that make the index; copies and levels are broadcast tables of fixed size."""
 
-    def __init__(self, own: DataFrame, copies: CopyTable, levels: np.ndarray, cfg: JoinConfig):
+    def __init__(self, own: DataFrame, copies: Copies, levels: np.ndarray, cfg: JoinConfig):
         self.own, self.cfg = own.select("_key", "text"), cfg
         self.copies, self.levels = (own.sparkSession.sparkContext.broadcast(x) for x in (copies, levels))
 
@@ -153,7 +171,7 @@ class _Lists:
             """Key and set of documents that have one, without known later copies."""
             keys = batch.column(0).to_numpy()
             sets = list(shingle_sets(batch.column(1).to_pylist(), cfg.size))
-            later = copies.value.later(np.array([_print(s) for s in sets], np.int64), keys)
+            later = later_copies(copies.value, np.array([_print(s) for s in sets], np.int64), keys)
             return ((int(k), s) for k, s, c in zip(keys, sets, later, strict=True) if len(s) and not c)
 
         return run
@@ -195,17 +213,18 @@ class _Lists:
         return self.own.mapInArrow(run, "token long, _key long, n long, pos long, s0 long, s1 long, s2 long, s3 long")
 
     def full(self, known: Broadcast) -> DataFrame:
-        """(_key, tokens binary): the full sets of the documents whose keys the bitmap knows."""
+        """(_key, n, wide, tokens): size, wide signature and full set of the documents whose keys the bitmap knows."""
         cfg = self.cfg
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(member(known.value, mix(batch.column(0).to_numpy().astype(np.uint64)))))
+                batch = batch.filter(pa.array(member(known.value, batch.column(0).to_numpy())))
                 if len(batch):
-                    data = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), cfg.size)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["_key", "tokens"])
+                    sets = list(shingle_sets(batch.column(1).to_pylist(), cfg.size))
+                    columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_wide(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_key", "n", "wide", "tokens"])
 
-        return self.own.mapInArrow(run, "_key long, tokens binary")
+        return self.own.mapInArrow(run, "_key long, n long, wide binary, tokens array<long>")
 
 
 def _plausible(cfg: JoinConfig) -> Column:
@@ -220,30 +239,28 @@ def _other() -> list[Column]:
 
 
 def _links(pairs: DataFrame, lists: _Lists, cfg: JoinConfig) -> DataFrame:
-    """The pairs (u, v) that link, compared on their full sets; pairs: a written table."""
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("_key")).distinct()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().astype(np.uint64)).view(np.int64))], ["h"])
-
-    known = pairs.sparkSession.sparkContext.broadcast(bitmap(keys.mapInArrow(hashed, "h long"), "h", cfg.bits))
-    sets = lists.full(known).join(keys, "_key", "left_semi")
-    sets = written(sets)
-    left = sets.select(F.col("_key").alias("u"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("_key").alias("v"), F.col("tokens").alias("right"))
+    """The pairs (u, v) that link; pairs: a written table. Wide signatures rule most others out, then full sets decide."""
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("_key"))
+    known = pairs.sparkSession.sparkContext.broadcast(bitmap(keys, "_key", cfg.bits))
+    sets = written(lists.full(known))
     percent = cfg.percent
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            n, m, a, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            most = [p + q - 2 * -(-percent * (p + q) // (100 + percent)) for p, q in zip(n, m, strict=True)]
+            keep = [_differing(x, y) <= d for x, y, d in zip(a, b, most, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(compare, "u long, v long")
+    left, right = (sets.select(F.col("_key").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "uv")
+    near = left.join(bounded(pairs), "u").join(right, "v").select("u", "v", "n_u", "n_v", "wide_u", "wide_v")
+    if pairs.count() <= 100_000:  # a small table needn't start a worker for every shuffle partition
+        near = near.coalesce(16)
+    near = written(near.mapInArrow(plausible, "u long, v long"))
+    left, right = (sets.select(F.col("_key").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "uv")
+    both = left.join(bounded(near), "u").join(right, "v")
+    shared, total = F.size(F.array_intersect("tokens_u", "tokens_v")), F.size("tokens_u") + F.size("tokens_v")
+    return both.where(100 * shared >= F.lit(percent) * (total - shared)).select("u", "v")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -253,12 +270,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, _key, component_key) for every row of docs."""
     sc = docs.sparkSession.sparkContext
-    own = keyed(docs, id_col)
+    plain = plain_ids(docs, id_col)
+    own = keyed(docs, id_col, plain=plain)
     surveyed = written(survey(own, cfg))
     sized = surveyed.where("kind = 0").select("_key", "n", "print")
     classes = sized.where("n > 0").groupBy("print", "n").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("c"))
     hint = classes.where("c > 1").orderBy(F.desc("c"), "print").limit(cfg.copies).collect()
-    lists = _Lists(own, CopyTable([(r["print"], r["rep"]) for r in hint]), sketch_levels(surveyed, cfg), cfg)
+    lists = _Lists(own, copies_of([(r["print"], r["rep"]) for r in hint]), sketch_levels(surveyed, cfg), cfg)
 
     shared = lists.tokens().groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
     posts = written(lists.postings(sc.broadcast(bitmap(shared, "token", cfg.bits))))
@@ -285,18 +303,13 @@ def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col:
 
     member_of = sized.join(classes.select("print", "n", "rep"), ["print", "n"], "left").withColumn("rep", F.coalesce("rep", "_key"))
     member_of = member_of.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("_key", F.col("n").alias("n_shingles"), F.coalesce("v", "rep").alias("component_key"))
-    if docs.schema[id_col].dataType.typeName() == "long" and "_key" in own.columns and _plain(own):
-        return member_of.select(F.col("_key").alias("doc_id"), "n_shingles", F.col("component_key").alias("component_id"), "_key", "component_key")
+    if plain:
+        return member_of.select(F.col("_key").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_shingles", F.col("component_key").cast(docs.schema[id_col].dataType).alias("component_id"), "_key", "component_key")
     names = own.select("_key", F.col("_id").alias("doc_id"))
     firsts = own.select(F.col("_key").alias("component_key"), F.col("_id").alias("component_id"))
     return member_of.join(names, "_key").join(firsts, "component_key").select("doc_id", "n_shingles", "component_id", "_key", "component_key")
 
 
-def _plain(own: DataFrame) -> bool:
-    """Whether keys are the ids themselves."""
-    return not own.where("not (_id <=> _key)").take(1)
-
-
 def deduplicated(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col: str = "doc_id") -> DataFrame:
     """docs with the first row of each component alone, with all its columns."""
     own = carried(docs, id_col)

@@ -166,7 +166,7 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> Da
 
 def substring_dedup(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): the kept words of every row of docs, joined by single spaces."""
-    return _deduplicated(keyed(docs, id_col), cfg).withColumnRenamed("_id", "doc_id")
+    return _deduplicated(keyed(docs, id_col), cfg).select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def _deduplicated(own: DataFrame, cfg: SubstringConfig) -> DataFrame:
