@@ -44,14 +44,20 @@ class MergeAutomaton:
         self.parent: dict[int, int] = {}
         self.arc: dict[int, int] = {}
         self.born: dict[int, int] = {}
+        #: Tokens whose merge can't happen, since earlier merges leave no such pair.
+        self.dead: set[int] = set()
         for time, (a, b, ab) in enumerate(merges):
             self._gadget(a, b, ab, time)
         self.table = Memo(self._transition, 200_000)
 
     def _gadget(self, a: int, b: int, ab: int, time: int) -> None:
+        if ab in self.born or ab in self.dead:
+            raise ValueError("two merges give the same token")
+        if a in self.dead or b in self.dead or not self._has(a, b, time - 1):
+            self.dead.add(ab)
+            return
         self.cut.setdefault(a, {}).setdefault(b, time)
-        if ab not in self.born:
-            self.parent[ab], self.arc[ab], self.born[ab] = b, a, time
+        self.parent[ab], self.arc[ab], self.born[ab] = b, a, time
 
     def _has(self, state: int, token: int, time: int) -> bool:
         """Whether the state that `state` leads to has the arc `token` after the merges up to time."""
@@ -117,8 +123,11 @@ class WordBpe:
         self.final: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs])
+        # What no merge gives is never a token of a text.
+        alive = self.automaton.born.keys() - self.automaton.dead
+        self.vocab = {s: i for s, i in self.vocab.items() if i in alive or len(s.removesuffix(self.final) or s) == 1}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = {i: s for s, i in (self.vocab | self.special).items()}
+        self.labels = {i: s for s, i in (model["vocab"] | self.special).items()}
         self.longest = max(map(len, self.vocab))
         self.has_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(data.decode())
