@@ -5,8 +5,8 @@ documents are counted for each host. A line is boilerplate where that count is a
 hold it are otherwise different; boilerplate is removed, and a document that keeps too little is rejected.
 
 Near and exact copies of one document share nearly all their lines, which says nothing against those lines (that is for
-deduplication to settle). So documents are counted by a signature, the least hash of a document's distinct lines:
-copies share it, unrelated documents that carry the same boilerplate don't.
+deduplication to settle). So documents are counted by a signature, the least hash of a document's distinct lines
+other than the one in question: copies share it, unrelated documents that carry the same boilerplate don't.
 
 Cases: a null or empty text has no words, no lines, and fails the base rules; a null host is a host of its own; repeated
 rows are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -92,8 +92,9 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
     # A row number of its own keeps repeated rows apart.
     counts = base_counts(slim, cfg, ["doc_id", "host"]).withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", line_codes(F.col("_lines")))
     counts = written(counts)
-    distinct = F.array_distinct(F.transform("_lines", lambda x: x["line"]))
-    lines = counts.where(F.size("_lines") > 0).select("host", F.array_min(distinct).alias("sig"), F.explode(distinct).alias("line"))
+    distinct = F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["line"])))
+    lines = counts.where(F.size("_lines") > 0).select("host", distinct.alias("_all")).select("host", F.get("_all", F.lit(0)).alias("_least"), F.get("_all", F.lit(1)).alias("_next"), F.explode("_all").alias("line"))
+    lines = lines.select("host", "line", F.when(F.col("line") == F.col("_least"), F.coalesce("_next", "_least")).otherwise(F.col("_least")).alias("sig"))
     bad = boilerplate(lines, cfg)
     found = (
         counts.select("_row", "host", F.explode("_lines").alias("x")).select("_row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
