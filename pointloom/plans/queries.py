@@ -505,14 +505,14 @@ def _canonical(spark, sf) -> DataFrame:
     return datasets.unify([still, moving])
 
 
-_U = f"{_P}, u as (select case when stream = 'O' then 'stationary' else 'moving' end source_domain, recording recording_id, stream session_id, case when stream = 'O' then 'clean_control' else 'smoke' end as condition, case when line % 3 = 0 then 0 when line % 3 = 2 then 255 when stream = 'O' then 0 else 1 end as label, cast(cast(case when stream = 'O' then intensity + 1 else intensity end as float) as double) intensity, case when stream = 'O' then cast(0.5 as double) else line * cast(0.001 as double) end off from points)"
+_U = f"{_P}, u as (select case when stream = 'O' then 'stationary' else 'moving' end source_domain, recording recording_id, stream session_id, case when stream = 'O' then 'clean_control' else 'smoke' end as condition, case when line % 3 = 0 then 0 when line % 3 = 2 then 255 when stream = 'O' then 0 else 1 end as label, cast(cast(case when stream = 'O' then intensity + 1 else intensity end as float) as double) intensity, case when stream = 'O' then cast(0.5 as double) else cast(cast(line * 1000000 * cast(1e-9 as double) as float) as double) end off from points)"
 
 
-@_query(f"with {_U} select source_domain, recording_id, condition, count(*) points, count(*) filter (where label=0) unimpacted, count(*) filter (where label=1) impacted, count(*) filter (where label=255) ignored, round(sum(intensity), 2) intensity, round(sum(off), 2) as \"offset\" from u group by all")
+@_query(f"with {_U} select source_domain, recording_id, condition, count(*) points, count(*) filter (where label=0) unimpacted, count(*) filter (where label=1) impacted, count(*) filter (where label=255) ignored, round(sum(intensity), 2) intensity, round(sum(off), 4) as \"offset\" from u group by all")
 def unify_domains(spark, sf):
     rows = _canonical(spark, sf).groupBy("source_domain", "recording_id", "condition")
     count = lambda c: F.count_if(F.col("label") == c)
-    return rows.agg(F.count(F.lit(1)).alias("points"), count(0).alias("unimpacted"), count(1).alias("impacted"), count(255).alias("ignored"), F.round(F.sum(F.col("intensity").cast("double")), 2).alias("intensity"), F.round(F.sum(F.col("point_offset_s").cast("double")), 2).alias("offset"))
+    return rows.agg(F.count(F.lit(1)).alias("points"), count(0).alias("unimpacted"), count(1).alias("impacted"), count(255).alias("ignored"), F.round(F.sum(F.col("intensity").cast("double")), 2).alias("intensity"), F.round(F.sum(F.col("point_offset_s").cast("double")), 4).alias("offset"))
 
 
 @_query(f"with {_U}, c as (select source_domain, session_id, recording_id, condition, count(*) points, count(*) filter (where label=0) unimpacted, count(*) filter (where label=1) smoke_impacted, count(*) filter (where label=255) \"ignore\" from u group by all) select *, row_number() over (order by source_domain, session_id, recording_id) - 1 chunk_index from c")
