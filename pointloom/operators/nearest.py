@@ -14,9 +14,9 @@ def _cells(columns: Sequence[str], edge: float) -> list[Column]:
     return [F.floor(F.col(c).cast("double") / F.lit(edge)).cast("long") for c in columns]
 
 
-def _around(rows: DataFrame, columns: Sequence[str], edge: float) -> DataFrame:
-    """rows once for each of the 27 cells around their own."""
-    near = lambda c: F.explode(F.array(*[c + F.lit(d).cast("long") for d in (-1, 0, 1)]))
+def _around(rows: DataFrame, columns: Sequence[str], edge: float, reach: int = 1) -> DataFrame:
+    """rows once for each of the (2 * reach + 1) ** 3 cells around their own."""
+    near = lambda c: F.explode(F.array(*[c + F.lit(d).cast("long") for d in range(-reach, reach + 1)]))
     for name, cell in zip(_CELL, _cells(columns, edge), strict=True):
         rows = rows.withColumn(name, near(cell))
     return rows
@@ -65,11 +65,15 @@ def isolated(points: DataFrame, distance: float, key: Sequence[str] = ("recordin
     if distance <= 0:
         return rows.select(*key).limit(0)
     own = [c for c in key if c not in frame]
-    left = _around(rows.select(*key, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(columns)]), ["_q0", "_q1", "_q2"], distance)
-    right = rows.select(*frame, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], *[F.col(c).alias(f"_r{i}") for i, c in enumerate(columns)])
-    right = right.withColumns(dict(zip(_CELL, _cells(["_r0", "_r1", "_r2"], distance), strict=True)))
+    # Two points in a cell of this edge are neighbours, whatever lies around, so only points alone in their cell are probed.
+    edge = distance / 3**0.5 * (1 - 1e-9)
+    celled = rows.withColumns(dict(zip(_CELL, _cells(columns, edge), strict=True)))
+    lone = celled.groupBy(*frame, *_CELL).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    alone = celled.join(lone, [*frame, *_CELL], "left_semi")
+    left = _around(alone.select(*key, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(columns)]), ["_q0", "_q1", "_q2"], edge, 2)
+    right = celled.select(*frame, *_CELL, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], *[F.col(c).alias(f"_r{i}") for i, c in enumerate(columns)])
     same = F.lit(True)
     for i, c in enumerate(own):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     near = left.join(right, [*frame, *_CELL]).where(~same & (_distance(["_q0", "_q1", "_q2"], ["_r0", "_r1", "_r2"]) <= distance))
-    return rows.select(*key).join(near.select(*key).distinct(), list(key), "left_anti")
+    return alone.select(*key).join(near.select(*key).distinct(), list(key), "left_anti")
