@@ -20,6 +20,29 @@ def _query(f):
     return f
 
 
+ORACLES["op1_ngram_jaccard_join"] = r"""with recursive
+ d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+ s as (select distinct doc_id, array_to_string(w[i:i+2], ' ') g from d, unnest(case when len(w) >= 3 then range(1, len(w) - 1) when len(w) > 0 then [1] else cast([] as bigint[]) end) t(i)),
+ n as (select doc_id, count(*) n from s group by doc_id),
+ p as (select a.doc_id a, b.doc_id b, count(*) common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)),
+ r as (select doc_id, doc_id m from documents union select l.b, r.m from r join l on l.a = r.doc_id)
+ select r.doc_id, coalesce(max(n.n), 0) n_shingles, min(r.m) component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id"""
+ORACLES["op2_exact_top_k"] = """with
+ v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id query_id, b.vec_id, cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+ k as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from s)
+ select query_id, cast(r as integer) as rank, vec_id, score from k where r <= 10"""
+ORACLES["op4_substring_dedup"] = r"""with
+ d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ g as (select doc_id, i, array_to_string(w[i:i+19], ' ') g from d, unnest(range(1, len(w) - 18)) t(i)),
+ k as (select doc_id, i, row_number() over (partition by g order by doc_id, i) r from g),
+ c as (select distinct doc_id, i + j i from k, range(0, 20) t(j) where r > 1),
+ e as (select doc_id, i, w[i] word from d, unnest(range(1, len(w) + 1)) t(i)),
+ m as (select e.doc_id, count(*) n_words, count(c.i) n_removed, string_agg(case when c.i is null then word end, ' ' order by e.i) kept from e left join c on c.doc_id = e.doc_id and c.i = e.i group by e.doc_id)
+ select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join m using (doc_id)"""
+
+
 @_query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
