@@ -85,3 +85,17 @@ def static_transform(rows: DataFrame, parent: str, child: str, tolerance: float
     own = rows.where((F.col("parent") == parent) & (F.col("child") == child))
     spreads = [F.max(c) - F.min(c) for c in POSE]
     return own.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("n"), F.greatest(*spreads).alias("spread"), *[F.min_by(c, "seq").alias(c) for c in POSE]).withColumn("consistent", F.col("spread") <= tolerance)
+
+
+def changing_frames(poses: DataFrame, session: str = "session_id") -> DataFrame:
+    """Sessions whose poses name more than one world or body frame (an error for the caller)."""
+    named = poses.groupBy(session).agg(F.count_distinct("world_frame").alias("world_frames"), F.count_distinct("body_frame").alias("body_frames"))
+    return named.where("world_frames > 1 or body_frames > 1")
+
+
+def displacement(paired: DataFrame, frame: Sequence[str] = ("frame_index",)) -> DataFrame:
+    """How far undistortion moved the points of each frame: points, median and maximum; points that aren't finite don't count."""
+    d = [F.col(f"u{c}").cast("double") - F.col(c).cast("double") for c in "xyz"]
+    far = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    own = F.when(is_finite(far), far)
+    return paired.groupBy(*frame).agg(F.count(F.lit(1)).alias("points"), F.percentile(own, F.lit(0.5)).alias("median_m"), F.max(own).alias("max_m"))

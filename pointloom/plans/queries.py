@@ -546,3 +546,68 @@ def safe_names(spark, sf):
 @_query(f"with {_F} select recording, frame_index, frame_time_s - min(frame_time_s) over (partition by recording) frame_time_s from frames")
 def rebased_times(spark, sf):
     return datasets.rebased_frames(_frames(spark, sf), F.col("frame_time_s"), "recording").select("recording", "frame_index", "frame_time_s")
+
+
+# --- checks and summaries -------------------------------------------------------------------------------------------
+
+
+@_query(f"with {_C} select frame frame_index, count(*) points, round(quantile_cont(sqrt(x*x + 0.25*y*y + z*z*z*z), 0.5), 6) median_m, round(max(sqrt(x*x + 0.25*y*y + z*z*z*z)), 6) max_m from cloud group by frame")
+def frame_displacement(spark, sf):
+    paired = _cloud(spark, sf).withColumnRenamed("frame", "frame_index").withColumns({"ux": F.col("x") * 2, "uy": F.col("y") * 1.5, "uz": F.col("z") + F.col("z") * F.col("z")})
+    return poses.displacement(paired).select("frame_index", "points", _r("median_m").alias("median_m"), _r("max_m").alias("max_m"))
+
+
+@_query(f"with {_P} select recording, count(distinct frame_index) frames, count(*) points, round(min(sqrt(x*x+y*y+z*z)), 6) range_min, round(quantile_cont(sqrt(x*x+y*y+z*z), 0.5), 6) range_median, round(max(sqrt(x*x+y*y+z*z)), 6) range_max, round(max(frame_index) - min(frame_index), 6)::double span_s, bool_or(intensity <> 0) has_reflectivity from points group by recording")
+def inspect_summary(spark, sf):
+    from .workflows import inspect
+
+    rows = _points(spark, sf).withColumns({"reflectivity": F.col("intensity"), "tag": F.lit(0), "time_s": F.col("frame_index").cast("double")})
+    return inspect(rows).select("recording", "frames", "points", *[_r(c).alias(c) for c in ("range_min", "range_median", "range_max", "span_s")], "has_reflectivity")
+
+
+@_query("select o_orderkey, sha256(o_orderpriority) sha256 from orders")
+def content_checksums(spark, sf):
+    rows = _read(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").cast("binary").alias("content"))
+    return datasets.checksums(rows).select("o_orderkey", "sha256")
+
+
+@_query(f"with {_U}, c as (select recording recording_id, count(*) points, case when recording = 'A' then count(*) + 1 else count(*) end listed from (select recording_id recording from u) group by recording) select recording_id, 'points' problem from c where listed <> points")
+def manifest_mismatches(spark, sf):
+    points = _canonical(spark, sf).withColumns({"session_id": F.lit("s"), "source_domain": F.lit("d"), "condition": F.lit("c")})
+    actual = datasets.manifest(points, points.select("recording_id").limit(0))
+    wrong = F.col("points") + F.when(F.col("recording_id") == "A", 1).otherwise(0)
+    return datasets.manifest_mismatches(actual.withColumn("points", wrong), actual)
+
+
+@_query("with v as (select event_type role, user_id % 7 chunk_index, value::bigint frame from events where event_type in ('click', 'view') and value < 12), t as (select chunk_index, frame from (select distinct * from v) group by all having count(*) > 1) select chunk_index, frame, 'more than one role' problem from t union all select distinct chunk_index, frame, 'not in the chunk' from v where frame >= 10")
+def role_conflicts(spark, sf):
+    rows = _read(spark, sf, "events").where("event_type in ('click', 'view') and value < 12").select(F.col("event_type").alias("role"), (F.col("user_id") % 7).alias("chunk_index"), F.rint("value").cast("long").alias("frame"))
+    plan = splits.compact_ranges(rows, ["role", "chunk_index"], "frame")
+    chunks = spark.range(7).select(F.col("id").alias("chunk_index"), F.lit(10).cast("long").alias("frames"))
+    return splits.role_conflicts(plan, chunks)
+
+
+@_query("with d as (select distinct user_id % 9 u, event_type e from events) select case when u < 4 then 'moving/' || u else 'still/' || u || '/' || e end stream_id, count(*) chunks from d group by 1")
+def stream_ids(spark, sf):
+    u = F.col("user_id") % 9
+    rows = _read(spark, sf, "events").select(F.when(u < 4, "moving").otherwise("still").alias("domain"), u.cast("string").alias("session"), F.col("event_type").alias("recording")).distinct()
+    return splits.stream_id(rows).groupBy("stream_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@_query()
+def platt_calibration(spark, sf):
+    """Slope and bias on one row; the optimum is tested against its neighbours."""
+    from ..models.scorer import calibrate
+
+    found = calibrate(metrics.by_score(_read(spark, sf, "events").select((F.col("value") / 25).alias("score"), (F.col("event_type") != "error").cast("int").alias("label"))))
+    return spark.createDataFrame([(round(found.slope, 5), round(found.bias, 5))], "slope double, bias double")
+
+
+@_query()
+def score_points(spark, sf):
+    """A fresh scorer's logits on every voxel's points."""
+    from ..models import scorer
+
+    features = _features(spark, sf)
+    scored = scorer.score(voxels.normalised(features, voxels.normaliser(features)), scorer.Scorer.fresh(len(voxels.FEATURES)))
+    return voxels.scores_to_points(_points(spark, sf), scored, 0.5, ["recording"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _r("logit").alias("logit"))
