@@ -103,3 +103,10 @@ def chunks(texts: list, limit: int = 2 << 20):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def small(batches, rows: int = 1000):
+    """Record batches in parts of so many rows at most, so that what a part is turned into stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._bitmap import bitmap, member
 from ._graph import components
 from ._io import bounded, carried, keyed, plain_ids, process_cache, restored, written
-from ._words import WordHasher, chunks, grams, mix
+from ._words import WordHasher, chunks, grams, mix, small
 from .substring import Copies, copies_of, later_copies
 
 BLOCK = 1 << 14
@@ -88,7 +88,7 @@ def survey(own: DataFrame, cfg: JoinConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << cfg.sketch_bits, np.uint16)  # of one task; a wrong level costs time only
         empty = lambda n, t: pa.nulls(n, t)
-        for batch in batches:
+        for batch in small(batches):
             sizes, prints = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), cfg.size):
                 sizes.append(len(s))
@@ -181,7 +181,7 @@ class _Lists:
         sets, levels, cfg = self._sets(), self.levels, self.cfg
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 found = [_prefix(s, levels.value, cfg) for _, s in sets(batch)]
                 if found:
                     token, n = np.unique(np.concatenate(found), return_counts=True)
@@ -194,7 +194,7 @@ class _Lists:
         sets, levels, cfg = self._sets(), self.levels, self.cfg
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 token, key, size, pos, sign = [], [], [], [], []
                 for k, s in sets(batch):
                     prefix = _prefix(s, levels.value, cfg)
@@ -217,7 +217,7 @@ class _Lists:
         cfg = self.cfg
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 batch = batch.filter(pa.array(member(known.value, batch.column(0).to_numpy())))
                 if len(batch):
                     sets = list(shingle_sets(batch.column(1).to_pylist(), cfg.size))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
 from ._io import keyed, process_cache, written
-from ._words import WordHasher, chunks
+from ._words import WordHasher, chunks, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -121,7 +121,7 @@ def found(own: DataFrame, cfg: PiiConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
-        for batch in batches:
+        for batch in small(batches):
             base, context = [], []
             for text in batch.column(2).to_pylist():
                 spans = entities(text)
@@ -149,7 +149,7 @@ def document_counts(own: DataFrame, terms: DataFrame, cfg: PiiConfig) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 hashes, bounds = hasher.texts(texts[a:b])

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ._bitmap import bitmap, member
 from ._io import carried, keyed, process_cache, restored
-from ._words import WordHasher, chunks, grams, mix
+from ._words import WordHasher, chunks, grams, mix, small
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def later_copies(copies: Copies, prints: np.ndarray, keys: np.ndarray) -> np.nda
 def copy_table(docs: DataFrame, cfg: SubstringConfig) -> Copies:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 hashes, bounds = hasher.texts(texts[a:b])
@@ -128,7 +128,7 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> Da
             yield own, hashes[np.repeat(keep, np.diff(bounds))], np.concatenate(([0], np.cumsum(sizes)))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for _, hashes, bounds in fresh(batch):
                 _, places, codes = _anchors(hashes, bounds, cfg)
                 found, n = np.unique(codes[np.unique(places)], return_counts=True)
@@ -138,7 +138,7 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> Da
     known = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "anchor", cfg.bits))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for keys, hashes, bounds in fresh(batch):
                 starts, places, codes = _anchors(hashes, bounds, cfg)
                 starts = starts[member(known.value, codes[places])]
@@ -180,7 +180,7 @@ def _deduplicated(own: DataFrame, cfg: SubstringConfig) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
-        for batch in batches:
+        for batch in small(batches):
             keys, (texts, starts, runs) = batch.column(0).to_numpy(), (batch.column(i).to_pylist() for i in (1, 2, 3))
             for a, b in chunks(texts):
                 hashes, bounds = hasher.texts(texts[a:b])
