@@ -227,11 +227,16 @@ class _Lists:
         return self.own.mapInArrow(run, "_key long, n long, wide binary, tokens array<long>")
 
 
-def _plausible(cfg: JoinConfig) -> Column:
-    """Block skipping between (n, pos) and (n2, pos2), and the signatures' bound."""
+def _reachable(cfg: JoinConfig) -> Column:
+    """Block skipping: whether sets of sizes n and n2 that share a shingle at pos and pos2 can share enough after it."""
     n, m, need = F.col("n"), F.col("n2"), cfg.overlap(F.col("n"), F.col("n2"))
+    return (F.least(n, m) >= need) & (F.least(n - F.col("pos"), m - F.col("pos2")) >= need)
+
+
+def _similar(cfg: JoinConfig) -> Column:
+    """Whether the signatures allow the overlap that a link needs."""
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    return (F.least(n, m) >= need) & (F.least(n - F.col("pos"), m - F.col("pos2")) >= need) & (differ <= n + m - 2 * need)
+    return differ <= F.col("n") + F.col("n2") - 2 * cfg.overlap(F.col("n"), F.col("n2"))
 
 
 def _other() -> list[Column]:
@@ -284,7 +289,7 @@ def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col:
     # Pivots first.
     pivots = posts.groupBy("token").agg(F.min_by(F.struct("_key", "n", "pos", "s0", "s1", "s2", "s3"), "_key").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pivots = pivots.select("token", "p.*").select("token", *_other())
-    star = written(_pairs(posts.join(pivots, "token").where((F.col("_key") != F.col("key2")) & _plausible(cfg))))
+    star = written(_pairs(posts.join(pivots, "token").where((F.col("_key") != F.col("key2")) & _reachable(cfg) & _similar(cfg))))
     links = written(_links(star, lists, cfg))
     found = components(links)
 
@@ -293,8 +298,13 @@ def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col:
     parts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_lists = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
     mixed = written(labelled.join(open_lists, "token"))
+    # Blocks first: members of blocks that can't reach the overlap are never met.
+    blocks = mixed.groupBy("token", "n", "pos", "comp", "major").agg(F.count(F.lit(1)).alias("c"))
+    probed = blocks.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+    hits = blocks.where("comp <> major").join(probed, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("comp") < F.col("comp2"))) & _reachable(cfg))
+    hits = bounded(written(hits.select("token", "n", "pos", "comp", "n2", "pos2", "comp2")))
     other = mixed.select("token", *_other(), F.col("comp").alias("comp2"))
-    rest = mixed.where("comp <> major").join(other, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("_key") < F.col("key2"))) & _plausible(cfg))
+    rest = mixed.drop("major").join(hits, ["token", "n", "pos", "comp"]).join(other, ["token", "n2", "pos2", "comp2"]).where(_similar(cfg))
     rest = written(_pairs(rest).join(star, ["u", "v"], "left_anti"))
     if rest.take(1):
         more = written(_links(rest, lists, cfg))
