@@ -6,6 +6,7 @@ Windows are partitioned by recording; a recording has thousands of frames, so it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,8 +79,7 @@ def cap_points(frames: DataFrame, most: int | None, order: Sequence[str] = ("rec
 def preview(df: DataFrame, most: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """A systematic sample of most rows a group: those at the truncated steps of an even grid from first to last.
 
-    Row numbers come from counts of ranges of the order, not from one sorted task; without a group, the whole table is
-    one order and ids are dealt by ranges.
+    Without a group the whole table is one order, sorted by ranges.
     """
     own = Window.partitionBy(*group) if group else None
     if own is None:
@@ -101,18 +101,13 @@ def _on_grid(at: Column, n: Column, most: int) -> Column:
     return (n <= most) | (at == n - 1) | hit
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "_at") -> DataFrame:
-    """df with its row number (from 0) in a total order, without gathering rows: ranges are sorted, counted and offset."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
-    first = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_seq").alias("_low"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = first.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_part", "_low", "_base")
-    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_seq") - F.col("_low")).drop("_part", "_seq", "_low", "_base")
-
-
 def _global_preview(df: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
+    """Rows of one total order at the grid's places. Places come from the sorted partitions' sizes, once."""
     n = df.count()
-    return numbered(df, order).where(_on_grid(F.col("_at"), F.lit(n), most)).drop("_at")
+    step = (n - 1) / (most - 1) if most > 1 else 0.0
+    wanted = range(n) if n <= most else {*(math.floor(j * step) for j in range(most - 1)), n - 1} if most > 1 else range(most)
+    chosen = df.orderBy(*order).rdd.zipWithIndex().filter(lambda x: x[1] in wanted).map(lambda x: x[0])
+    return df.sparkSession.createDataFrame(chosen, df.schema)
 
 
 def time_chunks(frames: DataFrame, duration_s: float, start_s: float = 0.0, end_s: float | None = None, time: str = "relative_s") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import ratio
 
 BUCKETS = 256
+SMALL = 50_000
 
 
 def by_score(rows: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (), positive: Column | None = None, negative: Column | None = None) -> DataFrame:
@@ -23,18 +24,37 @@ def by_score(rows: DataFrame, score: str = "score", label: str = "label", by: Se
     return rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(pos.cast("long")).alias("pos"), F.sum(neg.cast("long")).alias("neg"))
 
 
+def _bucket(score: Column, edges: Sequence[float]) -> Column:
+    """How many edges lie below the score, by bisection."""
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(score > F.lit(edges[middle]), part(middle + 1, high)).otherwise(part(low, middle))
+
+    return part(0, len(edges))
+
+
 def cumulated(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """steps with tp, fp (sums over scores at least as high) and positives, negatives (sums over all)."""
+    """steps with tp, fp (sums over scores at least as high) and positives, negatives (sums over all).
+
+    One task cumulates a group of up to SMALL distinct scores; beyond, scores are dealt by BUCKETS quantiles.
+    """
     total = Window.partitionBy(*by, F.lit(1))
-    edges = steps.select(F.percentile_approx(F.col("score"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("e"))  # BUCKETS numbers
-    rows = steps.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter(F.array_distinct("e"), lambda x: x < F.col("score")))).drop("e")
+    known = steps.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col("score").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("e")).first()
+    edges = sorted(set(known["e"])) if known["n"] > SMALL else []
+    rows = steps.withColumn("_bucket", _bucket(F.col("score"), edges))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    if not edges:
+        out = rows.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside), "positives": F.sum("pos").over(total), "negatives": F.sum("neg").over(total)})
+        return out.drop("_bucket")
     sums = rows.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by, F.lit(1)).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(
         *by, "_bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_bn"),
         F.sum("_p").over(total).alias("positives"), F.sum("_n").over(total).alias("negatives"),
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_ip", F.sum("pos").over(inside)).withColumn("_in", F.sum("neg").over(inside)).join(base, [*by, "_bucket"])
     return out.withColumn("tp", F.col("_bp") + F.col("_ip")).withColumn("fp", F.col("_bn") + F.col("_in")).drop("_bucket", "_ip", "_in", "_bp", "_bn")
 

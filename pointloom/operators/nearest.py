@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
 _CELL = ("_gx", "_gy", "_gz")
 
 
@@ -47,9 +49,9 @@ def nearest_exact(queries: DataFrame, reference: DataFrame, radius: float, key:
     """
     done, left, at = None, queries, radius
     for _ in range(rounds if reference.take(1) else 0):
-        found = nearest_within(left, reference, at, key, **names)
+        found = staged(nearest_within(left, reference, at, key, **names))
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*key), list(key), "left_anti")
+        left = staged(left.join(found.select(*key), list(key), "left_anti"))
         if not left.take(1):
             break
         at *= 2

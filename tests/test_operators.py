@@ -209,6 +209,17 @@ def test_metrics(spark):
     assert _rows(bins, "bin", "points") == [(2, 1), (9, 1)]
 
 
+def test_buckets_of_scores_agree_with_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(y), float(s), str(g)) for y, s, g in zip(rng.integers(0, 2, 800), rng.normal(size=800).round(2), rng.integers(0, 2, 800), strict=True)]
+    steps = metrics.by_score(spark.createDataFrame(rows, "label int, score double, g string"), by=["g"])
+    columns = ("g", "score", "tp", "fp", "positives", "negatives")
+    one = _rows(metrics.cumulated(steps, ["g"]), *columns)
+    monkeypatch.setattr(metrics, "SMALL", 10)
+    monkeypatch.setattr(metrics, "BUCKETS", 16)
+    assert _rows(metrics.cumulated(steps, ["g"]), *columns) == one
+
+
 def test_voxels(spark):
     df = spark.createDataFrame([(0, 0.01, 10.0, 0), (0, 1.01, 30.0, 1), (0, 0.02, 20.0, 255)], "frame_index int, x float, intensity float, label int").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     got = voxels.voxel_features(df, 0.1)
