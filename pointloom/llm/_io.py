@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,3 +100,15 @@ def restored(rows: DataFrame, columns: list[str], changed=None, text="text") ->
         return own.alias(c)
 
     return rows.select(*[column(c) for c in columns])
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows at most for the jobs inside; the session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

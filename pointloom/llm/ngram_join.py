@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
 from ._graph import components
-from ._io import bounded, carried, keyed, plain_ids, process_cache, restored, written
+from ._io import batch_rows, bounded, carried, keyed, plain_ids, process_cache, restored, written
 from ._words import WordHasher, chunks, grams, mix, small
 from .substring import Copies, copies_of, later_copies
 
@@ -274,6 +274,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, cfg: JoinConfig = JoinConfig(), id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, _key, component_key) for every row of docs."""
+    with batch_rows(docs.sparkSession):
+        return _components(docs, cfg, id_col)
+
+
+def _components(docs: DataFrame, cfg: JoinConfig, id_col: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     plain = plain_ids(docs, id_col)
     own = keyed(docs, id_col, plain=plain)
