@@ -1,12 +1,12 @@
 """Quality rules with cross-document line frequency, in DataFrame operations only.
 
 Every document gets the base counts of its own text. Beside them, each normalised line is hashed and its distinct
-documents are counted for each host. A line is boilerplate where that count is above the limit and the documents that
-hold it are otherwise different; boilerplate is removed, and a document that keeps too little is rejected.
+documents are counted for each host. A line is boilerplate where that count reaches the limit; boilerplate is removed,
+and a document that keeps too little is rejected.
 
-Near and exact copies of one document share nearly all their lines, which says nothing against those lines (that is for
-deduplication to settle). So documents are counted by a signature, the least hash of a document's distinct lines
-other than the one in question: copies share it, unrelated documents that carry the same boilerplate don't.
+Copies of one document share all their lines, which says nothing against those lines (that is for deduplication to
+settle). So a document counts by a fingerprint, the hash of its words in order: copies (also with other spacing) count
+once, any other difference makes a document of its own, and copies never weigh against the other holders of a line.
 
 Cases: a null or empty text has no words, no lines, and fails the base rules; a null host is a host of its own; repeated
 rows are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -26,14 +26,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """Limits. A line is boilerplate on a host if at least min_docs documents there hold it, their signatures number at
-    least min_docs too, and signatures per document are at least min_spread. A document is rejected if boilerplate was
-    removed and fewer than min_left words, or less than min_left_share of its words, are left."""
+    """Limits. A line is boilerplate on a host if at least min_docs distinct documents there hold it. A document is
+    rejected if boilerplate was removed and fewer than min_left words, or less than min_left_share of its words, are left."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     min_docs: int = 20
-    min_spread: float = 0.5
     min_left_share: float = 0.34
 
 
@@ -51,19 +49,20 @@ def _covered(ranked: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, cfg: QualityConfig, keep: list[str]) -> DataFrame:
-    """keep columns and the base counts of each whole text."""
+    """keep columns, the base counts of each whole text, its lines and its fingerprint."""
     text = F.coalesce(F.col("text"), F.lit(""))
     staged = docs.select(*keep, text.alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
-    staged = staged.select(*keep, "_text", "_words", F.transform("_words", lambda w: F.xxhash64(w)).alias("_codes"), lines.alias("_lines"))
+    staged = staged.select(*keep, "_text", "_words", F.xxhash64("_words").alias("_print"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_codes"), lines.alias("_lines"))
     windows = F.when(F.size("_codes") >= 5, F.transform(F.sequence(F.lit(0), F.size("_codes") - 5), lambda i: F.xxhash64(*[F.get("_codes", i + j) for j in range(5)])))
-    staged = staged.select(*keep, "_text", "_words", "_lines", windows.alias("_windows"))
+    staged = staged.select(*keep, "_text", "_words", "_print", "_lines", windows.alias("_windows"))
     ranked = F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    staged = staged.select(*keep, "_text", "_words", "_lines", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ranked).alias("_ranked"))
+    staged = staged.select(*keep, "_text", "_words", "_print", "_lines", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ranked).alias("_ranked"))
     repeated = F.coalesce(_covered(F.col("_ranked")), F.lit(0).cast("long"))
     staged = staged.select(
         *keep,
         "_lines",
+        "_print",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -80,10 +79,9 @@ def line_codes(lines: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, cfg: QualityConfig) -> DataFrame:
-    """(host, line) of boilerplate; lines: one row (host, line, sig) for each document and distinct line."""
-    by_sig = lines.groupBy("host", "line", "sig").agg(F.count(F.lit(1)).alias("n"))
-    counted = by_sig.groupBy("host", "line").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sigs"))
-    return counted.where((F.col("docs") >= cfg.min_docs) & (F.col("sigs") >= cfg.min_docs) & (F.col("sigs") >= cfg.min_spread * F.col("docs"))).select("host", "line")
+    """(host, line) of boilerplate; lines: rows (host, line, print), one for each document and distinct line."""
+    distinct = lines.groupBy("host", "line", "print").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= cfg.min_docs).select("host", "line")
 
 
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
@@ -92,9 +90,7 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
     # A row number of its own keeps repeated rows apart.
     counts = base_counts(slim, cfg, ["doc_id", "host"]).withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", line_codes(F.col("_lines")))
     counts = written(counts)
-    distinct = F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["line"])))
-    lines = counts.where(F.size("_lines") > 0).select("host", distinct.alias("_all")).select("host", F.get("_all", F.lit(0)).alias("_least"), F.get("_all", F.lit(1)).alias("_next"), F.explode("_all").alias("line"))
-    lines = lines.select("host", "line", F.when(F.col("line") == F.col("_least"), F.coalesce("_next", "_least")).otherwise(F.col("_least")).alias("sig"))
+    lines = counts.select("host", F.col("_print").alias("print"), F.explode(F.array_distinct(F.transform("_lines", lambda x: x["line"]))).alias("line"))
     bad = boilerplate(lines, cfg)
     found = (
         counts.select("_row", "host", F.explode("_lines").alias("x")).select("_row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
@@ -102,7 +98,7 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
         .join(bad, ["host", "line"])
         .groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
     )
-    out = counts.drop("_lines", "host").join(found, "_row", "left").drop("_row").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    out = counts.drop("_lines", "_print", "host").join(found, "_row", "left").drop("_row").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & (left < cfg.min_left_share * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)

@@ -280,6 +280,22 @@ def test_line_frequency(spark, empty, repeated, clashing):
     assert kept.columns == clashing.columns and kept.where("doc_id in (4, 5, 6, 7, 11)").count() == 0 and kept.where("doc_id in (0, 9, 10)").count() == 3
 
 
+def test_line_frequency_counts_documents(spark):
+    """Several shared lines a page, pages that differ in digits only, and copies that outnumber a line's other holders."""
+    letters = str.maketrans("0123456789", "klmnopqrst")
+    name = lambda i: str(i).translate(letters)
+    shared = [" ".join(f"t{name(k)}x{chr(97 + j)}" for j in range(10)) for k in range(10)]
+    footer = "all rights to this page are held by its owners for good"
+    pages = [(i, "\n".join([*shared, f"own {name(i)} line", f"and {name(i)} more"]), "many") for i in range(30)]
+    mixed = [(100 + i, f"story {name(i)} tells what no other one has told before in so many words\n{footer}", "mixed") for i in range(25)]
+    copies = [(200 + i, f"one page that was put up again and again by a machine that ran\n{footer}", "mixed") for i in range(100)]
+    filled = [(400 + i, f"entry {i} of the table of entries\nwas seen {i * 7} times by all who looked at it", "filled") for i in range(30)]
+    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(pages + mixed + copies + filled, "doc_id long, text string, source string")).collect()}
+    assert {(out[i]["n_removed_words"], out[i]["kept"]) for i in range(30)} == {(100, False)}
+    assert {(r["n_removed_words"], r["kept"]) for i, r in out.items() if 100 <= i < 400} == {(len(footer.split()), True)}
+    assert {(out[i]["n_removed_words"], out[i]["kept"]) for i in range(400, 430)} == {(17, False)}
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
