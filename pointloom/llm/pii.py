@@ -1,10 +1,12 @@
 """Personal data by fixed patterns, and information-theoretic sanitisation of what else reveals it.
 
 Emails, IP addresses, card and phone numbers (the protected entities) are found in every whole text. Corpus
-co-occurrence then estimates how strongly a term near an entity reveals it: with N documents, a term t and an entity e,
-the pointwise mutual information log2(n(t,e) N / (n(t) n(e))) as a share of the entity's information log2(N / n(e)) is 1
-where the term gives the entity away and 0 or less where it tells nothing. Terms at or above the threshold are further
-spans, of kind `term`. sanitised() generalises entities to their kind and removes such terms.
+co-occurrence then estimates how strongly a term near an entity reveals it: with N documents, a term t, an entity e and
+p = n(e) / N, the entity's share among the documents of the term is q = (n(t,e) + w p) / (n(t) + w), smoothed by a prior
+of weight w (half a document), and the pointwise mutual information log2(q / p) as a share of the entity's information
+log2(1 / p) is near 1 where the term gives the entity away and 0 or less where it tells nothing. The smoothing stands for
+a least number of documents: every entity has its estimate, also one in a single document. Terms at or above the
+threshold are further spans, of kind `term`. sanitised() generalises entities to their kind and removes such terms.
 
 n(t) and n(e) count all documents; n(t, e) counts documents where t stands within `reach` words of e on its line.
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
@@ -43,10 +45,10 @@ _CONTEXT = "array<struct<term:bigint,start:int,end:int,entity:string>>"
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """reach: words before and after an entity; a term needs min_docs documents with the entity, and threshold."""
+    """reach: words before and after an entity; prior: weight of the smoothing, in documents; a term needs threshold."""
 
     reach: int = 5
-    min_docs: int = 3
+    prior: float = 0.5
     threshold: float = 0.9
     bits: int = 23
 
@@ -162,17 +164,21 @@ def document_counts(own: DataFrame, terms: DataFrame, cfg: PiiConfig) -> DataFra
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
+def _share(n_joint: Column, n_term: Column, n_entity: Column, total: int, cfg: PiiConfig) -> Column:
+    p = n_entity / F.lit(float(max(total, 1)))
+    q = (n_joint + cfg.prior * p) / (n_term + cfg.prior)
+    return F.when(p < 1, F.log2(q / p) / -F.log2(p)).otherwise(0.0)
+
+
 def disclosing(own: DataFrame, staged: DataFrame, cfg: PiiConfig) -> DataFrame:
     """(term, entity, share) of the terms that reveal an entity at or above the threshold."""
     total = own.count()
     pairs = staged.where(F.size("context") > 0).select("_key", F.explode(F.array_distinct(F.transform("context", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("x"))
-    joint = written(pairs.groupBy("x.term", "x.entity").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= cfg.min_docs))
+    joint = written(pairs.groupBy("x.term", "x.entity").agg(F.count(F.lit(1)).alias("n_joint")))
     held = staged.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
-    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= cfg.min_docs)
+    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     scored = joint.join(document_counts(own, joint, cfg), "term").join(n_entity, "entity")
-    gain = F.log2(F.col("n_joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return scored.withColumn("share", F.when(information > 0, gain / information).otherwise(0.0)).where(F.col("share") >= cfg.threshold).select("term", "entity", "share")
+    return scored.withColumn("share", _share(F.col("n_joint"), F.col("n_term"), F.col("n_entity"), total, cfg)).where(F.col("share") >= cfg.threshold).select("term", "entity", "share")
 
 
 def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id") -> DataFrame:

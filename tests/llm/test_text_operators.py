@@ -165,6 +165,18 @@ def test_pii_terms(spark, empty, repeated, clashing):
     assert pii.sanitised(clashing.where("doc_id = 12").drop("spans", "_key")).first()["text"].startswith("mail [email] and [email]")
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """Entities in one document and in two."""
+    plain = [(i, f"plain text about the usual things and number {i % 50}") for i in range(10, 400)]
+    items = [(0, "the usual solitaria at one@ex.org and things"), (1, "the doubletta at two@ex.org"), (2, "about doubletta at two@ex.org"), (3, "the tripletta at three@ex.org"), (4, "plain tripletta"), (5, "a tripletta")]
+    out = {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.createDataFrame(items + plain, "doc_id long, text string"))).collect()}
+    place = lambda i, w: f"term:{items[i][1].index(w)}:{items[i][1].index(w) + len(w)}"
+    assert out[0]["spans"].startswith(place(0, "solitaria")) and out[0]["n_term"] == 1
+    assert all(place(i, "doubletta") in out[i]["spans"] and out[i]["n_term"] == 1 for i in (1, 2))
+    assert out[3]["n_term"] == 0  # held by other documents too
+    assert not any(out[i]["n_term"] for i, _ in plain)
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 
