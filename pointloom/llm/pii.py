@@ -1,14 +1,17 @@
 """Personal data by fixed patterns, and information-theoretic sanitisation of what else reveals it.
 
 Emails, IP addresses, card and phone numbers (the protected entities) are found in every whole text. Corpus
-co-occurrence then estimates how strongly a term near an entity reveals it: with N documents, a term t, an entity e and
+co-occurrence then estimates how strongly a term in an entity's documents reveals it: with N documents, a term t, an entity e and
 p = n(e) / N, the entity's share among the documents of the term is q = (n(t,e) + w p) / (n(t) + w), smoothed by a prior
 of weight w (half a document), and the pointwise mutual information log2(q / p) as a share of the entity's information
 log2(1 / p) is near 1 where the term gives the entity away and 0 or less where it tells nothing. The smoothing stands for
 a least number of documents: every entity has its estimate, also one in a single document. Terms at or above the
-threshold are further spans, of kind `term`. sanitised() generalises entities to their kind and removes such terms.
+threshold are further spans, of kind `term`, at every place in each document that holds the entity. sanitised()
+generalises entities to their kind and removes such terms.
 
-n(t) and n(e) count all documents; n(t, e) counts documents where t stands within `reach` words of e on its line.
+All three counts are of whole documents; words that touch a base span are no terms. Entities in exactly the same documents
+have the same counts, so they go as one set. A term is counted in the whole corpus only if its documents with entities
+don't rule it out: n(t) is no less than those, and the share falls as n(t) grows.
 
 Cases: a null or empty text has no spans; very long texts are searched whole, in time that grows with their length; null
 and repeated ids are rows of their own (see keyed()); an empty table gives an empty result; other columns are ignored.
@@ -17,7 +20,6 @@ and repeated ids are rows of their own (see keyed()); an empty table gives an em
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +42,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
-_CONTEXT = "array<struct<term:bigint,start:int,end:int,entity:string>>"
+_CONTEXT = "array<struct<term:bigint,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """reach: words before and after an entity; prior: weight of the smoothing, in documents; a term needs threshold."""
+    """prior: weight of the smoothing, in documents; a term needs threshold."""
 
-    reach: int = 5
     prior: float = 0.5
     threshold: float = 0.9
     bits: int = 23
@@ -96,48 +97,44 @@ def entities(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """(word start, word end, span number) of the words near each span on its line that touch no span."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts, ends = [w[0] for w in words], [w[1] for w in words]
-    taken = set()
-    for s, _, e in spans:
-        taken.update(range(bisect_right(ends, s), bisect_left(starts, e)))
-    out = []
-    for k, (s, _, e) in enumerate(spans):
-        before, after = bisect_right(ends, s), bisect_left(starts, e)
-        for i in (*range(max(0, before - reach), before), *range(after, min(len(words), after + reach))):
-            a, b = (ends[i], s) if i < before else (e, starts[i])
-            if i not in taken and text.find("\n", a, b) < 0:
-                out.append((starts[i], ends[i], k))
-    return out
-
-
 def _hasher() -> WordHasher:
     return process_cache("lower_words", lambda: WordHasher(lower=True))
 
 
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (in characters) of the words that touch no span."""
+    data = text.encode()
+    starts, ends, hashes = _hasher()(data)
+    place = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+    starts, ends = place[starts], place[ends]
+    free = np.ones(len(starts), bool)
+    for s, _, e in spans:
+        free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
+    return hashes[free].view(np.int64), starts[free], ends[free]
+
+
 def found(own: DataFrame, cfg: PiiConfig) -> DataFrame:
-    """Rows (_id, _key, base, context) of keyed documents."""
+    """Rows (_id, _key, base, context) of keyed documents; context: the terms of documents with entities."""
     kind = own.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
         for batch in small(batches):
-            base, context = [], []
+            base, context, bounds = [], [(np.zeros(0, np.int64),) * 3], [0]
             for text in batch.column(2).to_pylist():
                 spans = entities(text)
                 base.append([{"start": s, "rank": k, "end": e, "value": text[s:e]} for s, k, e in spans])
-                near = _contexts(text, spans, cfg.reach) if spans else []
-                terms = hasher("\n".join(text[a:b] for a, b, _ in near).encode())[2].view(np.int64).tolist() if near else []
-                context.append([{"term": t, "start": a, "end": b, "entity": base[-1][k]["value"]} for t, (a, b, k) in zip(terms, near, strict=True)])
+                if spans:
+                    context.append(_terms(text, spans))
+                bounds.append(bounds[-1] + (len(context[-1][0]) if spans else 0))
             i32, span = pa.int32(), pa.struct
+            term, start, end = (np.concatenate(x) for x in zip(*context, strict=True))
+            words = pa.StructArray.from_arrays([pa.array(term), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["term", "start", "end"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(base, pa.list_(span([("start", i32), ("rank", i32), ("end", i32), ("value", pa.string())]))),
-                    pa.array(context, pa.list_(span([("term", pa.int64()), ("start", i32), ("end", i32), ("entity", pa.string())]))),
+                    pa.ListArray.from_arrays(pa.array(bounds, i32), words),
                 ],
                 ["_id", "_key", "base", "context"],
             )
@@ -171,14 +168,26 @@ def _share(n_joint: Column, n_term: Column, n_entity: Column, total: int, cfg: P
 
 
 def disclosing(own: DataFrame, staged: DataFrame, cfg: PiiConfig) -> DataFrame:
-    """(term, entity, share) of the terms that reveal an entity at or above the threshold."""
+    """(_key, terms): the terms that reveal an entity of the document at or above the threshold."""
     total = own.count()
-    pairs = staged.where(F.size("context") > 0).select("_key", F.explode(F.array_distinct(F.transform("context", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("x"))
-    joint = written(pairs.groupBy("x.term", "x.entity").agg(F.count(F.lit(1)).alias("n_joint")))
-    held = staged.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
-    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    scored = joint.join(document_counts(own, joint, cfg), "term").join(n_entity, "entity")
-    return scored.withColumn("share", _share(F.col("n_joint"), F.col("n_term"), F.col("n_entity"), total, cfg)).where(F.col("share") >= cfg.threshold).select("term", "entity", "share")
+    holds = staged.where(F.size("base") > 0)
+    held = holds.select("_key", F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
+    same = held.groupBy("entity").agg(F.bit_xor(F.xxhash64("_key")).alias("set"), F.count(F.lit(1)).alias("n_entity"))
+    # A term in more documents than `most` falls below the threshold even if all documents of the entity hold it.
+    p = F.col("n_entity") / F.lit(float(max(total, 1)))
+    most = F.floor((F.col("n_entity") + cfg.prior * p) / F.pow(p, F.lit(1 - cfg.threshold)) - cfg.prior + 1e-6)
+    sets = written(held.join(same, "entity").select("_key", "set", "n_entity", most.alias("most")).distinct())
+    terms = holds.select("_key", F.explode(F.array_distinct(F.transform("context", lambda x: x["term"]))).alias("term"))
+    largest = sets.agg(F.max("most")).first()[0] or 0
+    rare = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(F.col("n_held") <= largest)
+    by_doc = sets.groupBy("_key").agg(F.collect_list(F.struct("set", "n_entity", "most")).alias("sets"))
+    pairs = terms.join(rare, "term").join(by_doc, "_key").select("_key", "term", "n_held", F.explode(F.filter("sets", lambda x: x["most"] >= F.col("n_held"))).alias("x"))
+    pairs = written(pairs.select("_key", "term", "n_held", F.col("x.set").alias("set"), F.col("x.n_entity").alias("n_entity")))
+    joint = pairs.groupBy("term", "set", "n_entity").agg(F.count(F.lit(1)).alias("n_joint"), F.max("n_held").alias("n_held"))
+    share = lambda n: _share(F.col("n_joint"), F.col(n), F.col("n_entity"), total, cfg)
+    joint = written(joint.where(share("n_held") >= cfg.threshold).drop("n_held"))
+    flagged = joint.join(document_counts(own, joint, cfg), "term").where(share("n_term") >= cfg.threshold).select("term", "set")
+    return pairs.join(flagged, ["term", "set"]).groupBy("_key").agg(F.collect_set("term").alias("terms"))
 
 
 def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id") -> DataFrame:
@@ -186,8 +195,9 @@ def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_i
     own = keyed(docs, id_col)
     staged = written(found(own, cfg))
     flagged = disclosing(own, staged, cfg)
-    near = staged.where(F.size("context") > 0).select("_key", F.explode("context").alias("x")).select("_key", F.col("x.term").alias("term"), F.col("x.entity").alias("entity"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    terms = near.join(flagged, ["term", "entity"]).groupBy("_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end")).alias("terms"))
+    near = staged.where(F.size("base") > 0).select("_key", F.explode("context").alias("x")).select("_key", F.col("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    near = near.join(flagged.select("_key", F.explode("terms").alias("term")), ["_key", "term"])
+    terms = near.groupBy("_key").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end")).alias("terms"))
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
     spans = F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
     return staged.select("_id", "_key", "base").join(terms, "_key", "left").select(F.col("_id").alias("doc_id"), "_key", "base", spans.alias("spans"))

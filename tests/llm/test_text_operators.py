@@ -177,6 +177,39 @@ def test_pii_terms_of_rare_entities(spark):
     assert not any(out[i]["n_term"] for i, _ in plain)
 
 
+def brute_terms(items, cfg=pii.PiiConfig()):
+    """The term spans of each document, by plain counting of documents."""
+    spans = {i: brute_pii(t) for i, t in items}
+    terms = {i: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if not any(m.start() < b and m.end() > a for a, _, b in spans[i])] for i, t in items}
+    every = {i: {w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for i, t in items}
+    held = {i: {t[a:b] for a, _, b in spans[i]} for i, t in items}
+    flagged = {i: set() for i, _ in items}
+    for e in set().union(*held.values()):
+        own = [i for i in held if e in held[i]]
+        p = len(own) / len(items)
+        for w in {x[2] for i in own for x in terms[i]}:
+            q = (sum(any(x[2] == w for x in terms[i]) for i in own) + cfg.prior * p) / (sum(w in x for x in every.values()) + cfg.prior)
+            if np.log2(q / p) / -np.log2(p) >= cfg.threshold:
+                for i in own:
+                    flagged[i].add(w)
+    return {i: [(a, b) for a, b, w in terms[i] if w in flagged[i]] for i, _ in items}
+
+
+def test_pii_terms_of_whole_documents(spark):
+    """Terms on other lines, far from the entity and repeated, against brute force."""
+    rng = np.random.default_rng(8)
+    plain = [(i, " ".join(f"w{x}é" for x in rng.integers(0, 40, 25))) for i in range(100, 500)]
+    far = " ".join(f"w{k % 40}é" for k in range(30))
+    items = [(i, f"Zanzibarite lives here\n{far}\nzan@ex.org\n{far} ZANZIBARITE\tagain zanzibarite") for i in range(4)]
+    items += [(10 + i, f"rare{i // 2} person{i}\n{far} u{i % 3}@ex.org {far} rare{i // 2} and 10.0.0.{i % 2} team{i % 3}") for i in range(9)]
+    want = brute_terms(items + plain)
+    out = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(items + plain, "doc_id long, text string")).collect()}
+    assert {i: [(s["start"], s["end"]) for s in x if s["rank"] == 4] for i, x in out.items()} == want
+    assert all([t[a:b].lower() for a, b in want[i]].count("zanzibarite") == 3 for i, t in items[:4])
+    clean = pii.sanitised(spark.createDataFrame(items + plain, "doc_id long, text string")).where("doc_id = 0").first()["text"]
+    assert "zanzibarite" not in clean.lower() and "[email]" in clean
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 
