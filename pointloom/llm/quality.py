@@ -2,7 +2,7 @@
 
 Every document gets the base counts of its own text. Beside them, each normalised line is hashed and its distinct
 documents are counted for each host. A line is boilerplate where that count reaches the limit; boilerplate is removed,
-and a document that keeps too little is rejected.
+and a document that keeps too little is rejected. quality_rules() counts; accepted() returns the texts without the lines.
 
 Copies of one document share all their lines, which says nothing against those lines (that is for deduplication to
 settle). So a document counts by a fingerprint, the hash of its words in order: copies (also with other spacing) count
@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class QualityConfig:
     """Limits. A line is boilerplate on a host if at least min_docs distinct documents there hold it. A document is
-    rejected if boilerplate was removed and fewer than min_left words, or less than min_left_share of its words, are left."""
+    rejected if boilerplate was removed and less than min_left_share of its words is left."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -72,10 +72,19 @@ def base_counts(docs: DataFrame, cfg: QualityConfig, keep: list[str]) -> DataFra
     return staged.withColumn("base_failed", (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words")))
 
 
+def line_code(line: Column) -> Column:
+    """The hash of a line's normal form (lower case, single spaces, digits as 0)."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"[\x20\x09-\x0D]+", " "), r"[0-9]+", "0"))
+
+
 def line_codes(lines: Column) -> Column:
-    """For each line: the hash of its normal form (lower case, single spaces, digits as 0) and its words."""
-    normal = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[\x20\x09-\x0D]+", " "), r"[0-9]+", "0")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    """For each line: its code and its words."""
+    return F.transform(lines, lambda x: F.struct(line_code(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+
+
+def without_lines(text: Column, codes: Column) -> Column:
+    """text without the lines of these codes; other lines, also blank ones, stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(codes, line_code(x)))), "\n")
 
 
 def boilerplate(lines: DataFrame, cfg: QualityConfig) -> DataFrame:
@@ -86,6 +95,11 @@ def boilerplate(lines: DataFrame, cfg: QualityConfig) -> DataFrame:
 
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
     """One row for each row of docs (id_col, text, host_col): the base counts, base_failed, n_removed_words and kept."""
+    return judged(docs, cfg, id_col, host_col).drop("removed")
+
+
+def judged(docs: DataFrame, cfg: QualityConfig, id_col: str, host_col: str) -> DataFrame:
+    """quality_rules() with `removed`: the codes of a document's boilerplate lines, null if it has none."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), "text")
     # A row number of its own keeps repeated rows apart.
     counts = base_counts(slim, cfg, ["doc_id", "host"]).withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", line_codes(F.col("_lines")))
@@ -96,7 +110,7 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
         counts.select("_row", "host", F.explode("_lines").alias("x")).select("_row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
         .groupBy("_row", "host", "line").agg(F.sum("words").alias("words"))
         .join(bad, ["host", "line"])
-        .groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
+        .groupBy("_row").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("removed"))
     )
     out = counts.drop("_lines", "_print", "host").join(found, "_row", "left").drop("_row").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -105,7 +119,10 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
 
 
 def accepted(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns; text is without its boilerplate lines."""
     own = carried(docs, id_col)
-    rejected = quality_rules(own.select("_key", "text", F.col("_doc").getField(host_col).alias("host")), cfg, "_key", "host").where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
-    return restored(own.join(rejected, "_key", "left_anti"), docs.columns)
+    verdict = judged(own.select("_key", "text", F.col("_doc").getField(host_col).alias("host")), cfg, "_key", "host")
+    verdict = verdict.where(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("doc_id").alias("_key"), "kept", "removed")
+    left = own.join(verdict, "_key", "left").where(F.coalesce("kept", F.lit(True)))
+    left = left.withColumn("_left", F.when(F.col("removed").isNotNull(), without_lines(F.col("text"), F.col("removed"))))
+    return restored(left, docs.columns, F.col("removed").isNotNull(), "_left")

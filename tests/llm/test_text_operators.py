@@ -341,6 +341,27 @@ def test_line_frequency_counts_documents(spark):
     assert {(out[i]["n_removed_words"], out[i]["kept"]) for i in range(400, 430)} == {(17, False)}
 
 
+def test_boilerplate_lines_go(spark):
+    """accepted() against brute force: lines of 20 documents of a host are taken out of the texts it returns."""
+    rng = np.random.default_rng(9)
+    words_ = lambda n: " ".join(rng.choice([chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)], n))
+    shared = ["Read  more of our page {} today and each day", "terms and privacy of it", " all rights {} reserved\t"]
+    items = []
+    for i in range(90):
+        parts = [words_(12), words_(int(rng.integers(1, 12))), "", " \t"] + [x.format(i) for x in shared if rng.random() < 0.6]
+        items.append((i, "\n".join(str(x) for x in rng.permutation(parts)), f"h{i % 2}", 0))
+    normal = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower().strip(" ")))
+    held = Counter((h, x) for _, t, h, _ in items for x in {normal(x) for x in t.split("\n") if words(x)})
+    want = {}
+    for i, t, h, _ in items:
+        left = "\n".join(x for x in t.split("\n") if not words(x) or held[h, normal(x)] < 20)
+        if not brute_quality(t)[-1] and (left == t or len(words(left)) >= 0.34 * len(words(t))):
+            want[i] = (left, len(left) if left != t else 0)
+    df = spark.createDataFrame(items, "doc_id long, text string, source string, n_chars long").repartition(3)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality.accepted(df).collect()} == want
+    assert 0 < sum(n > 0 for _, n in want.values())
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
