@@ -1,10 +1,10 @@
-"""Substring deduplication: seed and extend on winnowed anchors.
+"""Substring deduplication: exact window hashing behind a filter of winnowed anchors (no join on anchors, no extension).
 
 Seeds: of every `window` consecutive words, the k-word gram with the least hash (the leftmost of equals) is the window's
 anchor, so equal windows have equal anchors at equal places. Anchors are counted over the corpus; only windows whose
-anchor occurs twice can repeat. Extension: around each such anchor the matches grow both ways, as far as whole windows
-agree, and every window but the first of its kind (least document, then least start) is covered; runs of covered windows
-are the maximal repeats over the length threshold, and their words are removed.
+anchor occurs twice can repeat. Windows: each window with such an anchor is hashed whole, and every window but the first
+of its kind (least document, then least start) is covered; runs of covered windows are the maximal repeats over the length
+threshold, and their words are removed.
 
 Nothing is compared in pairs: anchors and windows meet by hash, combined within each batch first, so a passage that many
 documents hold costs one row a batch. Whole copies are known by their fingerprint and take no part beyond it.
