@@ -63,20 +63,28 @@ def plain_ids(docs: DataFrame, id_col: str) -> bool:
     return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).take(1)
 
 
+def orderable(kind) -> bool:
+    """Whether rows can be ordered by a column of this type (maps and variants can't be)."""
+    name = kind.typeName()
+    if name == "array":
+        return orderable(kind.elementType)
+    return name not in ("map", "variant") and (name != "struct" or all(orderable(f.dataType) for f in kind.fields))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), plain: bool | None = None) -> DataFrame:
     """columns of docs with `_id` (the id) and `_key`: a long, one for each row, in the order of the ids.
 
-    Ids that are distinct integers are the keys. If an id is null or repeated, rows get numbers by (id, columns), nulls
-    first, so that each row is a document of its own.
+    Ids that are distinct integers are the keys. If an id is null or repeated, rows get ascending numbers by (id, columns),
+    nulls first, so that each row is a document of its own; columns that can't be ordered take no part in the order.
     """
     from pyspark.sql import functions as F
 
     slim = docs.select(F.col(id_col).alias("_id"), *columns)
     if plain if plain is not None else plain_ids(docs, id_col):
         return slim.withColumn("_key", F.col("_id").cast("long"))
-    ordered = slim.orderBy(F.col("_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return written(slim.sparkSession.createDataFrame(numbered, slim.schema.add("_key", "long")))
+    order = [F.col(c).asc_nulls_first() for c in ("_id", *columns) if orderable(slim.schema[c].dataType)]
+    # A sort deals by ranges, so numbers that ascend with the partition and within it follow the order.
+    return written(slim.orderBy(*order).withColumn("_key", F.monotonically_increasing_id()))
 
 
 def carried(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

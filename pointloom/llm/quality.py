@@ -4,12 +4,13 @@ Every document gets the base counts of its own text. Beside them, each normalise
 documents are counted for each host. A line is boilerplate where that count reaches the limit; boilerplate is removed,
 and a document that keeps too little is rejected. quality_rules() counts; accepted() returns the texts without the lines.
 
-Copies of one document share all their lines, which says nothing against those lines (that is for deduplication to
-settle). So a document counts by a fingerprint, the hash of its words in order: copies (also with other spacing) count
-once, any other difference makes a document of its own, and copies never weigh against the other holders of a line.
+Every row is a document, so 200 copies of a page count 200 times and reject themselves. Where another step settles
+copies, `collapse_copies` (off by default) counts documents by a fingerprint, the hash of their words in order: copies
+(also with other spacing) then count once, and any other difference makes a document of its own.
 
 Cases: a null or empty text has no words, no lines, and fails the base rules; a null host is a host of its own; repeated
-rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+rows are documents of their own; an empty table gives an empty result; other columns are ignored. Lines are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class QualityConfig:
     """Limits. A line is boilerplate on a host if at least min_docs distinct documents there hold it. A document is
-    rejected if boilerplate was removed and less than min_left_share of its words is left."""
+    rejected if boilerplate was removed and less than min_left_share of its words is left. collapse_copies: whether
+    documents with the same words in the same order count as one."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     min_docs: int = 20
     min_left_share: float = 0.34
+    collapse_copies: bool = False
 
 
 def _covered(ranked: Column) -> Column:
@@ -88,9 +91,11 @@ def without_lines(text: Column, codes: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, cfg: QualityConfig) -> DataFrame:
-    """(host, line) of boilerplate; lines: rows (host, line, print), one for each document and distinct line."""
-    distinct = lines.groupBy("host", "line", "print").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= cfg.min_docs).select("host", "line")
+    """(host, line) of boilerplate; lines: rows (host, line, print), one for each document and distinct line. Counts
+    combine before they are dealt, so a line that all documents hold costs one row a task."""
+    if cfg.collapse_copies:
+        lines = lines.groupBy("host", "line", "print").agg(F.count(F.lit(1)).alias("n"))
+    return lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= cfg.min_docs).select("host", "line")
 
 
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
@@ -100,18 +105,15 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col:
 
 def judged(docs: DataFrame, cfg: QualityConfig, id_col: str, host_col: str) -> DataFrame:
     """quality_rules() with `removed`: the codes of a document's boilerplate lines, null if it has none."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), "text")
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), "text")
     # A row number of its own keeps repeated rows apart.
     counts = base_counts(slim, cfg, ["doc_id", "host"]).withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", line_codes(F.col("_lines")))
     counts = written(counts)
     lines = counts.select("host", F.col("_print").alias("print"), F.explode(F.array_distinct(F.transform("_lines", lambda x: x["line"]))).alias("line"))
-    bad = boilerplate(lines, cfg)
-    found = (
-        counts.select("_row", "host", F.explode("_lines").alias("x")).select("_row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-        .groupBy("_row", "host", "line").agg(F.sum("words").alias("words"))
-        .join(bad, ["host", "line"])
-        .groupBy("_row").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("removed"))
-    )
+    bad = written(boilerplate(lines, cfg))  # a plain table, so that the join below can be split at a line that very many documents hold
+    each = counts.select("_row", "host", F.explode("_lines").alias("x")).select("_row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    found = each.join(bad, ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed"))
     out = counts.drop("_lines", "_print", "host").join(found, "_row", "left").drop("_row").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & (left < cfg.min_left_share * F.col("n_words"))

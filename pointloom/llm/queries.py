@@ -42,6 +42,18 @@ ORACLES["op4_substring_dedup"] = r"""with
  m as (select e.doc_id, count(*) n_words, count(c.i) n_removed, string_agg(case when c.i is null then word end, ' ' order by e.i) kept from e left join c on c.doc_id = e.doc_id and c.i = e.i group by e.doc_id)
  select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join m using (doc_id)"""
 
+ORACLES["op9_quality_rules"] = r"""with
+ d as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
+ g as (select doc_id, i, array_to_string(w[i:i+4], ' ') g from d, unnest(range(1, len(w) - 3)) t(i)),
+ r as (select doc_id, i, count(*) over (partition by doc_id, g) c from g),
+ c as (select doc_id, count(distinct i + j) n from r, range(0, 5) t(j) where c > 1 group by doc_id),
+ x as (select doc_id, source, regexp_replace(regexp_replace(lower(trim(line, ' ')), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') line, cast(sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as bigint) words from d, unnest(l) t(line) group by all),
+ b as (select source, line from x group by all having count(*) >= 20),
+ m as (select x.doc_id, cast(sum(words) as bigint) words from x join b on x.line = b.line and x.source is not distinct from b.source group by x.doc_id),
+ o as (select d.doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(c.n, 0) n_repeat_words, coalesce(m.words, 0) n_removed_words
+  from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id)
+ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not (n_removed_words > 0 and n_words - n_removed_words < cast(0.34 as double) * n_words) kept from o"""
+
 
 @_query
 def op1_ngram_jaccard_join(spark, sf_dir):

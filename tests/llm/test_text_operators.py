@@ -315,7 +315,10 @@ def test_line_frequency(spark, empty, repeated, clashing):
     body = lambda i: " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26)}{str(i).translate(letters)}" for j in range(30))
     items = [(i, f"{body(i)}\n{line}", "h") for i in range(40)] + [(100, f"{line}\nten", "h"), (101, f"{line}\nten", "other")]
     copies = [(200 + i, f"{body('c')}\n{body('d')}", "h") for i in range(60)]
-    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(items + copies, "doc_id long, text string, source string")).collect()}
+    df = spark.createDataFrame(items + copies, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert not any(out[200 + i]["kept"] for i in range(60)) and out[200]["n_removed_words"] == out[200]["n_words"]  # every row is a document
+    out = {r["doc_id"]: r for r in quality.quality_rules(df, quality.QualityConfig(collapse_copies=True)).collect()}
     assert out[0]["kept"] and out[0]["n_removed_words"] == 13
     assert not out[100]["kept"] and not out[100]["base_failed"]  # depleted
     assert out[101]["kept"]  # on its host the line is rare
@@ -335,12 +338,54 @@ def test_line_frequency_counts_documents(spark):
     mixed = [(100 + i, f"story {name(i)} tells what no other one has told before in so many words\n{footer}", "mixed") for i in range(25)]
     copies = [(200 + i, f"one page that was put up again and again by a machine that ran\n{footer}", "mixed") for i in range(100)]
     filled = [(400 + i, f"entry {i} of the table of entries\nwas seen {i * 7} times by all who looked at it", "filled") for i in range(30)]
-    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(pages + mixed + copies + filled, "doc_id long, text string, source string")).collect()}
+    template = [(1000 + i, "three lines that all pages of this host hold\nand nothing else but these\nthey are the whole page", "template") for i in range(200)]
+    df = spark.createDataFrame(pages + mixed + copies + filled + template, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert not any(out[1000 + i]["kept"] for i in range(200)) and not out[1000]["base_failed"]
+    assert {(r["n_removed_words"], r["kept"]) for i, r in out.items() if 100 <= i < 200} == {(len(footer.split()), True)}
+    assert not any(out[200 + i]["kept"] for i in range(100))
+    assert quality.accepted(df).where("doc_id >= 200").count() == 0
+    out = {r["doc_id"]: r for r in quality.quality_rules(df, quality.QualityConfig(collapse_copies=True)).collect()}
+    assert out[1000]["kept"]
     assert {(out[i]["n_removed_words"], out[i]["kept"]) for i in range(30)} == {(100, False)}
     assert {(r["n_removed_words"], r["kept"]) for i, r in out.items() if 100 <= i < 400} == {(len(footer.split()), True)}
     assert {(out[i]["n_removed_words"], out[i]["kept"]) for i in range(400, 430)} == {(17, False)}
 
 
+def brute_line_rule(items, cfg):
+    """(n_removed_words, kept) of rows (id, text, host), by plain counting."""
+    normal = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower().strip(" ")))
+    lines = [Counter() for _ in items]
+    for own, (_, t, _) in zip(lines, items, strict=True):
+        for x in (t or "").split("\n"):
+            if words(x):
+                own[normal(x)] += len(words(x))
+    held = {}
+    for at, (own, (_, t, h)) in enumerate(zip(lines, items, strict=True)):
+        for x in own:
+            held.setdefault((h, x), set()).add(tuple(words(t)) if cfg.collapse_copies else at)
+    out = []
+    for own, (_, t, h) in zip(lines, items, strict=True):
+        removed, n = sum(k for x, k in own.items() if len(held[h, x]) >= cfg.min_docs), len(words(t))
+        out.append((removed, not brute_quality(t)[-1] and not (removed and n - removed < cfg.min_left_share * n)))
+    return out
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+def test_line_rule_is_brute_force(spark, collapse):
+    """The whole rule on random pages of few lines, with copies, null and empty hosts and repeated rows."""
+    rng = np.random.default_rng(11)
+    pool = [" ".join(rng.choice([chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)], int(rng.integers(1, 14)))) for _ in range(60)]
+    pool += ["Page 1 of 20", "page  7 of 3", " \t ", "", "Page 9 of 9\t"]
+    items = [(i, "\n".join(rng.choice(pool, int(rng.integers(0, 9)))), [None, "", "h1", "h2"][int(rng.integers(0, 4))]) for i in range(400)]
+    items += [items[k] for k in rng.integers(0, 400, 120)] + [(900, None, "h1"), (901, None, None)]
+    cfg = quality.QualityConfig(min_docs=9, collapse_copies=collapse)
+    df = spark.createDataFrame(items, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r["doc_id"], r["n_removed_words"], r["kept"]) for r in quality.quality_rules(df, cfg).collect())
+    assert got == sorted((i, *x) for (i, _, _), x in zip(items, brute_line_rule(items, cfg), strict=True))
+    assert len({x[1:] for x in got}) > 20
+
+
 def test_boilerplate_lines_go(spark):
     """accepted() against brute force: lines of 20 documents of a host are taken out of the texts it returns."""
     rng = np.random.default_rng(9)
