@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.llm import ngram_join, packing, quality, secrets, substring
 from pointloom.llm._io import written
 
+#: Whole copies are the next stage's matter: there one of them stays. So they count once for the line rule, which would
+#: else reject all of them, and with them the only text that they hold.
+RULES = quality.QualityConfig(collapse_copies=True)
 #: Near duplicates: five words and a similarity of 0.8.
 NEAR = ngram_join.JoinConfig(size=5, percent=80)
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.accepted(docs)
+    return quality.accepted(docs, RULES)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
