@@ -42,6 +42,19 @@ ORACLES["op4_substring_dedup"] = r"""with
  m as (select e.doc_id, count(*) n_words, count(c.i) n_removed, string_agg(case when c.i is null then word end, ' ' order by e.i) kept from e left join c on c.doc_id = e.doc_id and c.i = e.i group by e.doc_id)
  select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join m using (doc_id)"""
 
+ORACLES["op5_secret_scan"] = r"""with
+ d as (select doc_id, source, coalesce(text, '') t from documents),
+ h as (select doc_id, source, 0 "rank", 'assign' kind, regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') h, regexp_split_to_array(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') g, regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) v from d
+  union all select doc_id, source, 1 "rank", 'access' kind, regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}') h, regexp_split_to_array(t, 'AKIA[A-Z0-9]{16,}') g, regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}') v from d
+  union all select doc_id, source, 2 "rank", 'hex' kind, regexp_extract_all(t, '[0-9a-f]{24,}') h, regexp_split_to_array(t, '[0-9a-f]{24,}') g, regexp_extract_all(t, '[0-9a-f]{24,}') v from d
+  union all select doc_id, source, 3 "rank", 'owned' kind, regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}') h, regexp_split_to_array(t, '[A-Za-z0-9+/_-]{24,}') g, regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}') v from d),
+ s as (select doc_id, source, "rank", kind, v[i] val, length(h[i]) n, cast(sum(length(g[i]) + length(h[i])) over (partition by doc_id, "rank" order by i) as bigint) e from h, unnest(range(1, len(h) + 1)) u(i)),
+ c as (select doc_id, source, "rank", kind, val, e - n b, e from s where "rank" <> 0 or length(val) >= 6),
+ f as (select * from c where "rank" < 3 or (length(regexp_replace(val, '[^0-9]', '', 'g')) >= 4 and length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 4 and not exists (select 1 from c x where x.doc_id = c.doc_id and x."rank" < 3 and x.b < c.e and c.b < x.e))),
+ o as (select val, count(distinct (coalesce('=' || source, ''), doc_id)) >= 20 and count(distinct coalesce('=' || source, '')) >= 3 example from f group by val),
+ j as (select f.*, example, kind || ':' || b || ':' || e label from f join o using (val) where "rank" < 3 or not example),
+ a as (select doc_id, count(*) filter ("rank" = 0) n_assign, count(*) filter ("rank" = 1) n_access, count(*) filter ("rank" = 2) n_hex, string_agg(label, ',' order by b, "rank") filter ("rank" < 3) base, string_agg(label, ',' order by b, "rank") spans, count(*) filter (not example) n_live, count(*) filter (example) n_example from j group by doc_id)
+ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example from d left join a using (doc_id)"""
 ORACLES["op9_quality_rules"] = r"""with
  d as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
  g as (select doc_id, i, array_to_string(w[i:i+4], ' ') g from d, unnest(range(1, len(w) - 3)) t(i)),

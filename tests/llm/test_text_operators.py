@@ -249,6 +249,47 @@ def test_secret_ownership(spark, empty, repeated, clashing):
     assert "04dbebab" not in text and "AKIA" not in text and "hunter22" not in text and text.count("[secret]") == 3 and "secret:abc" in text
 
 
+def brute_owned(items, cfg=secrets.SecretConfig()):
+    """All spans of rows (id, text, owner), by plain counting of repositories and owners."""
+    each = []
+    for i, t, o in items:
+        base = [(a, k, b, t[a:b]) for a, k, b in brute_secrets(t)]
+        base = [(a, k, b, re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", v)[1] if k == 0 else v) for a, k, b, v in base]
+        extra = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", t or "")]
+        extra = [x for x in extra if len(re.findall("[0-9]", x[3])) >= cfg.min_digits and len(re.findall("[A-Za-z]", x[3])) >= cfg.min_letters and not any(a < x[2] and x[0] < b for a, _, b, _ in base)]
+        each.append((i, o, base + extra))
+    repos, owners = {}, {}
+    for i, o, found in each:
+        for x in found:
+            repos.setdefault(x[3], set()).add((o, i))
+            owners.setdefault(x[3], set()).add(o)
+    example = {v for v in repos if len(repos[v]) >= cfg.example_repos and len(owners[v]) >= cfg.example_owners}
+    return sorted((i, sorted((a, k, b, v in example) for a, k, b, v in found if k < 3 or v not in example)) for i, o, found in each)
+
+
+def test_secret_spans_are_brute_force(spark):
+    """The method's own spans on random texts that share values over repositories and owners."""
+    rng = np.random.default_rng(12)
+    values = ["".join(rng.choice(list("abcdefXYZ0123456789"), int(rng.integers(20, 40)))) for _ in range(30)] + ["".join(rng.choice(list("0123456789abcdef"), 26)) for _ in range(20)]
+    glue = [" ", "\n", " token=", " secret : '", "'", " é ", "-", "/", " AKIA", " password="]
+    text = lambda: "".join(str(rng.choice(values)) + str(rng.choice(glue)) if rng.random() < 0.7 else str(rng.choice(glue)) for _ in range(int(rng.integers(0, 9))))
+    items = [(i, text(), [None, "", "a", "b", "c"][int(rng.integers(0, 5))]) for i in range(250)] + [(900, None, "a")]
+    cfg = secrets.SecretConfig(example_repos=12, example_owners=3)
+    df = spark.createDataFrame(items, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r["doc_id"], sorted((s["start"], s["rank"], s["end"], s["example"]) for s in r["spans"])) for r in secrets.secret_scan(df, cfg).collect())
+    assert got == brute_owned(items, cfg)
+    assert {(x[1], x[3]) for _, xs in got for x in xs} >= {(0, True), (0, False), (2, False), (3, False)}
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """Thousands of hits of each kind in one text: spans are found in time that grows with the text."""
+    t = " ".join(f"token=abc{i:06d} x{i:030d}Yyyy deadbeefdeadbeefdead{i:08x}" for i in range(6000))
+    df = spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")
+    r = secrets.digest(secrets.secret_scan(df)).first()
+    want = brute_secrets(t)
+    assert r["n_assign"] == 6000 and r["n_hex"] == sum(k == 2 for _, k, _ in want) >= 6000 and r["base_sha256"] == sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want))
+
+
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 
