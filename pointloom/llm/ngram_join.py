@@ -263,6 +263,7 @@ def _links(pairs: DataFrame, lists: _Lists, cfg: JoinConfig) -> DataFrame:
         near = near.coalesce(16)
     near = written(near.mapInArrow(plausible, "u long, v long"))
     left, right = (sets.select(F.col("_key").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "uv")
+    left, right = (side.join(bounded(near.select(k).distinct()), k, "left_semi") for side, k in ((left, "u"), (right, "v")))
     both = left.join(bounded(near), "u").join(right, "v")
     shared, total = F.size(F.array_intersect("tokens_u", "tokens_v")), F.size("tokens_u") + F.size("tokens_v")
     return both.where(100 * shared >= F.lit(percent) * (total - shared)).select("u", "v")
@@ -284,25 +285,29 @@ def _components(docs: DataFrame, cfg: JoinConfig, id_col: str) -> DataFrame:
     own = keyed(docs, id_col, plain=plain)
     surveyed = written(survey(own, cfg))
     sized = surveyed.where("kind = 0").select("_key", "n", "print")
+    # Aggregates are written before they are joined: as plain tables, so that a join can be split at a hot key.
     classes = sized.where("n > 0").groupBy("print", "n").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("c"))
-    hint = classes.where("c > 1").orderBy(F.desc("c"), "print").limit(cfg.copies).collect()
+    classes = written(classes.where("c > 1"))
+    hint = classes.orderBy(F.desc("c"), "print").limit(cfg.copies).collect()
     lists = _Lists(own, copies_of([(r["print"], r["rep"]) for r in hint]), sketch_levels(surveyed, cfg), cfg)
 
     shared = lists.tokens().groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
     posts = written(lists.postings(sc.broadcast(bitmap(shared, "token", cfg.bits))))
 
-    # Pivots first.
+    # Pivots first. A list of two is settled by that; longer ones go on without their pivots.
     pivots = posts.groupBy("token").agg(F.min_by(F.struct("_key", "n", "pos", "s0", "s1", "s2", "s3"), "_key").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pivots = pivots.select("token", "p.*").select("token", *_other())
-    star = written(_pairs(posts.join(pivots, "token").where((F.col("_key") != F.col("key2")) & _reachable(cfg) & _similar(cfg))))
+    pivots = written(pivots.select("token", "c", "p.*").select("token", "c", *_other()))
+    followed = written(posts.join(pivots, "token").where(F.col("_key") != F.col("key2")))
+    star = written(_pairs(followed.where(_reachable(cfg) & _similar(cfg))))
     links = written(_links(star, lists, cfg))
     found = components(links)
 
     # Then what no pivot's answers settle: members of a list that lie in different components.
-    labelled = posts.join(found.withColumnRenamed("u", "_key").withColumnRenamed("v", "comp"), "_key", "left").withColumn("comp", F.coalesce("comp", "_key"))
+    longer = followed.where("c > 2").select(*posts.columns)
+    labelled = longer.join(found.withColumnRenamed("u", "_key").withColumnRenamed("v", "comp"), "_key", "left").withColumn("comp", F.coalesce("comp", "_key"))
     parts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_lists = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
-    mixed = written(labelled.join(open_lists, "token"))
+    mixed = written(labelled.join(written(open_lists), "token"))
     # Blocks first: members of blocks that can't reach the overlap are never met.
     blocks = mixed.groupBy("token", "n", "pos", "comp", "major").agg(F.count(F.lit(1)).alias("c"))
     probed = blocks.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
