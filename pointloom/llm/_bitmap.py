@@ -1,4 +1,4 @@
-"""Fixed-size bitmaps of 64-bit hashes: broadcast hints whose size is a parameter, never the data's."""
+"""Bitmaps of 64-bit hashes: broadcast hints, sized by the hashes' number and bounded by a parameter."""
 
 from __future__ import annotations
 
@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 15  # bits of one aggregate
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """2**bits bits (as bytes, lowest first): those of every hash in the column are set. Blocks are native aggregates,
-    combined before they are dealt; 2**bits / 8 bytes reach the driver in all."""
+LEAST_BITS = 20
+
+
+def bits_for(n: int, most: int) -> int:
+    """log2 of a bitmap's size for n hashes: one bit in 64 is set at most, as long as `most` allows."""
+    return min(most, max(LEAST_BITS, (64 * max(n, 1) - 1).bit_length()))
+
+
+def bitmap(hashes: DataFrame, column: str, most: int) -> np.ndarray:
+    """A bitmap (as bytes, lowest first) with the bit of every hash in the column set; hashes: a written table.
+
+    It has 2**most bits at most: those bytes reach the driver. Beyond, more bits are set, and more candidates go on to the
+    exact step. Blocks are native aggregates, combined before they are dealt.
+    """
+    bits = bits_for(hashes.count(), most)
     slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     built = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(BLOCK - 1))).alias("packed"))
     out, size = np.zeros(1 << bits >> 3, np.uint8), BLOCK >> 3

@@ -45,12 +45,12 @@ BLOCK = 1 << 14
 @dataclass(frozen=True)
 class JoinConfig:
     """size: words of a shingle; percent: the least Jaccard similarity; sketch_bits: log2 of the count sketch's counters
-    (16 MB as levels); bits: log2 of the bitmaps' sizes (8 MB); copies: entries of the table of equal sets at most."""
+    (16 MB as levels); bits: log2 of the bitmaps' sizes at most (256 MB; they follow the data up to there); copies: entries of the table of equal sets at most."""
 
     size: int = 3
     percent: int = 90
     sketch_bits: int = 24
-    bits: int = 26
+    bits: int = 31
     copies: int = 1 << 16
 
     def overlap(self, n: Column, m: Column) -> Column:
@@ -291,7 +291,7 @@ def _components(docs: DataFrame, cfg: JoinConfig, id_col: str) -> DataFrame:
     hint = classes.orderBy(F.desc("c"), "print").limit(cfg.copies).collect()
     lists = _Lists(own, copies_of([(r["print"], r["rep"]) for r in hint]), sketch_levels(surveyed, cfg), cfg)
 
-    shared = lists.tokens().groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
+    shared = written(lists.tokens().groupBy("token").agg(F.sum("c").alias("c")).where("c > 1").select("token"))
     posts = written(lists.postings(sc.broadcast(bitmap(shared, "token", cfg.bits))))
 
     # Pivots first. A list of two is settled by that; longer ones go on without their pivots.

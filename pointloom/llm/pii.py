@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
-from ._io import keyed, process_cache, written
+from ._io import carried, keyed, process_cache, restored, written
 from ._words import WordHasher, chunks, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -47,11 +47,11 @@ _CONTEXT = "array<struct<term:bigint,start:int,end:int>>"
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """prior: weight of the smoothing, in documents; a term needs threshold."""
+    """prior: weight of the smoothing, in documents; a term needs threshold; bits: log2 of the term bitmap's size at most."""
 
     prior: float = 0.5
     threshold: float = 0.9
-    bits: int = 23
+    bits: int = 31
 
 
 def luhn(digits: str) -> bool:
@@ -143,7 +143,7 @@ def found(own: DataFrame, cfg: PiiConfig) -> DataFrame:
 
 
 def document_counts(own: DataFrame, terms: DataFrame, cfg: PiiConfig) -> DataFrame:
-    """(term, n): documents of the whole corpus that hold the term. A bitmap of fixed size keeps other words back."""
+    """(term, n): documents of the whole corpus that hold the term. terms: a written table; a bitmap of it keeps other words back."""
     known = own.sparkSession.sparkContext.broadcast(bitmap(terms, "term", cfg.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,10 @@ def disclosing(own: DataFrame, staged: DataFrame, cfg: PiiConfig) -> DataFrame:
 
 def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, _key, base, spans): every row of docs; spans are (start, rank, end) of base spans and terms, in order."""
-    own = keyed(docs, id_col)
+    return _spans_of(keyed(docs, id_col), cfg)
+
+
+def _spans_of(own: DataFrame, cfg: PiiConfig) -> DataFrame:
     staged = written(found(own, cfg))
     flagged = disclosing(own, staged, cfg)
     near = staged.where(F.size("base") > 0).select("_key", F.explode("context").alias("x")).select("_key", F.col("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
@@ -204,25 +207,24 @@ def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_i
 
 
 def sanitised(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id") -> DataFrame:
-    """docs (ids distinct) with entities generalised to their kind in brackets and revealing terms removed."""
-    spans = find_pii(docs, cfg, id_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), "spans")
-    joined = docs.join(spans, docs[id_col] == F.col("_i"), "left")
+    """docs, all its rows and columns, with entities generalised to their kind in brackets and revealing terms removed."""
+    own = carried(docs, id_col)
+    spans = _spans_of(own.select("_id", "_key", "text"), cfg).where(F.size("spans") > 0).select("_key", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in small(batches):
             texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 out, cursor = [], 0
-                for s in found or []:
+                for s in found:
                     if s["start"] >= cursor:
                         out.append(text[cursor : s["start"]] + ("" if s["rank"] == 4 else f"[{KINDS[s['rank']]}]"))
                     cursor = max(cursor, s["end"])
-                texts.append(text if text is None else "".join(out) + text[cursor:])
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+                texts.append("".join(out) + text[cursor:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_key", "_clean"])
 
-    return joined.select(*[docs[c] for c in docs.columns], "spans").mapInArrow(clean, docs.schema)
+    cleaned = own.select("_key", "text").join(spans, "_key").select("_key", "text", "spans").mapInArrow(clean, "_key long, _clean string")
+    return restored(own.join(cleaned, "_key", "left"), docs.columns, F.col("_clean").isNotNull(), "_clean")
 
 
 def digest(out: DataFrame) -> DataFrame:

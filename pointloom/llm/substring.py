@@ -21,23 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bitmap import bitmap, member
-from ._io import carried, keyed, process_cache, restored
+from ._io import carried, keyed, process_cache, restored, written
 from ._words import WordHasher, chunks, grams, mix, small
 
 
 @dataclass(frozen=True)
 class SubstringConfig:
-    """window: words of a repeat at least; gram: words of an anchor; bits: log2 of the anchor bitmap's size (8 MB);
-    copies: entries of the table of whole copies at most (the largest groups), beyond which copies go the common way."""
+    """window: words of a repeat at least; gram: words of an anchor; bits: log2 of the anchor bitmap's size at most (256 MB;
+    it follows the anchors' number up to there); copies: entries of the table of whole copies at most (the largest groups), beyond which copies go the common way."""
 
     window: int = 20
     gram: int = 10
-    bits: int = 26
+    bits: int = 31
     copies: int = 1 << 16
 
 
@@ -135,6 +135,7 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     seeds = docs.select("_key", "text").mapInArrow(seed, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    seeds = written(seeds.select("anchor"))
     known = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "anchor", cfg.bits))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +152,21 @@ def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> Da
                 again = np.lexsort((at[~first], row[~first]))
                 r, s, n = _runs(row[~first][again], at[~first][again])
                 out = [
-                    np.concatenate((content[first].view(np.int64), mix(keys[r].astype(np.uint64)).view(np.int64))),
+                    np.concatenate((content[first].view(np.int64), np.zeros(len(r), np.int64))),
                     np.concatenate((keys[row[first]], keys[r])),
                     np.concatenate((at[first], s)),
                     np.concatenate((np.zeros(int(first.sum()), np.int64), n)),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["content", "_key", "start", "run"])
-
-    rows = docs.select("_key", "text").mapInArrow(extend, "content long, _key long, start long, run long")
-    earlier = Window.partitionBy("content", F.col("run") > 0).orderBy("_key", "start")
-    ranked = rows.withColumn("_n", F.row_number().over(earlier))
-    return ranked.where("run > 0 or _n > 1").select("_key", F.col("start").cast("int").alias("start"), F.greatest("run", F.lit(1)).cast("int").alias("run"))
+                kinds = (np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, kinds, strict=True)], ["content", "_key", "start", "run"])
+
+    rows = written(docs.select("_key", "text").mapInArrow(extend, "content long, _key long, start int, run int"))
+    # The first of each kind combines before it is dealt, and stands as a plain table: the join can be split at a window
+    # that very many batches hold.
+    kinds = rows.where("run = 0").groupBy("content").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    kinds = written(kinds.select("content", F.col("first._key").alias("_k"), F.col("first.start").alias("_s")))
+    later = rows.where("run = 0").join(kinds, "content").where("_key <> _k or start <> _s").select("_key", "start", F.lit(1).alias("run"))
+    return rows.where("run > 0").select("_key", "start", "run").unionByName(later)
 
 
 def substring_dedup(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), id_col: str = "doc_id") -> DataFrame:

@@ -162,7 +162,21 @@ def test_pii_terms(spark, empty, repeated, clashing):
     clean = pii.sanitised(df).where("doc_id = 0").first()["text"]
     assert "zanzibarite" not in clean and "[email]" in clean and "zan@" not in clean
     assert pii.find_pii(empty).count() == 0 and pii.find_pii(repeated).count() == repeated.count()
-    assert pii.sanitised(clashing.where("doc_id = 12").drop("spans", "_key")).first()["text"].startswith("mail [email] and [email]")
+    clean = pii.sanitised(clashing.withColumn("_i", F.lit(1)))
+    assert clean.columns == [*clashing.columns, "_i"] and clean.where("doc_id = 12").first()["text"].startswith("mail [email] and [email]")
+    again = spark.createDataFrame([(0, "town at +44 (017) 555-7713 number")], "doc_id long, text string")
+    twice = df.where("doc_id = 0 or doc_id > 5").unionByName(again).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    texts = [r["text"] for r in pii.sanitised(twice).where("doc_id = 0").collect()]
+    assert sorted(texts, key=len)[0] == "town at [phone] number" and len(texts) == 2 and "[email]" in max(texts, key=len) and pii.sanitised(empty).count() == 0
+
+
+def test_unorderable_columns_and_repeated_ids(spark, repeated):
+    """Every operator that carries columns, with a map column, repeated and null ids."""
+    odd = repeated.withColumn("m", F.create_map(F.lit("a"), F.lit(1))).withColumn("s", F.struct(F.create_map(F.lit("b"), F.lit(2)).alias("x")))
+    for make in (quality.accepted, ngram_join.deduplicated, substring.deduplicated, secrets.redacted, pii.sanitised):
+        out = make(odd)
+        rows = out.collect()
+        assert out.columns == odd.columns and rows and all(r["m"] == {"a": 1} and r["s"]["x"] == {"b": 2} for r in rows)
 
 
 def test_pii_terms_of_rare_entities(spark):
