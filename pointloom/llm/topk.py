@@ -5,12 +5,14 @@ level. A query takes the segments by descending impact (the most that a posting
 accumulators. It stops only on proof: with the impacts still open, vectors whose upper bound lies below the k-th lower
 bound can't be members. The possible members are rescored exactly, and the blocks' results are merged for each query.
 
-Queries are a stated set; they meet all candidates in blocks, (query block, candidate block) being one group of bounded
-size. Components are floor(scale * x) of x as a double.
-
-Cases: vectors that are null, or hold a null or a component that isn't finite, take no part; shorter vectors have zeros
-at the end; an empty vector scores 0; ties go to the smaller id; null and repeated ids are rows of their own (see
-keyed()), and a query isn't its own candidate; an empty table gives an empty result; other columns are ignored.
+Queries are a stated set and meet all candidates: copies of the queries go to each block, where the index is made once
+from the block's candidates (bounded in number) and the queries stream through it in batches. Components are
+floor(scale * x) of x as a double.
+
+Cases: vectors that are null, or hold a null or a component that isn't finite, take no part, nor does one with a component
+whose scaled value is beyond a long; scores beyond a long are its limits; shorter vectors have zeros at the end; an empty
+vector scores 0; ties go to the smaller id; null and repeated ids are rows of their own (see keyed()), and a query isn't
+its own candidate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,13 @@ from ._io import keyed, written
 
 @dataclass(frozen=True)
 class TopkConfig:
-    """levels: equal steps that each component is quantised to; block: candidates of a block; queries: queries of a block; rest: share of
-    a block that may be rescored once it is proven to hold all members."""
+    """levels: equal steps that each component is quantised to; block: candidates of a block (about); rest: share of a block
+    that may be rescored once it is proven to hold all members."""
 
     k: int = 10
     scale: float = 1024.0
     levels: int = 32
     block: int = 16384
-    queries: int = 4096
     rest: float = 0.1
 
 
@@ -95,43 +96,74 @@ class ImpactIndex:
         return np.flatnonzero(upper >= bound - 1 - abs(bound) * 1e-9)
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+def _matrix(column: list[bytes], dims: int) -> np.ndarray:
+    """Vectors as rows of dims components, cut or with zeros at the end."""
     out = np.zeros((len(column), dims), np.int64)
-    for i, raw in enumerate(column.to_pylist()):
-        v = np.frombuffer(raw, "<i8")
+    for i, raw in enumerate(column):
+        v = np.frombuffer(raw, "<i8")[:dims]
         out[i, : len(v)] = v
     return out
 
 
 def _scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where every sum stays below 2**53, else in integers."""
-    if len(values) and float(np.abs(values).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2.0**53:
+    """Exact inner products: in doubles where every sum stays below 2**53, in longs below 2**62, else without a bound."""
+    most = float(np.abs(values.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * max(1, len(query))
+    if most < 2.0**53:
         return np.rint(values.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return (values * query).sum(axis=1, dtype=np.int64)
+    if most < 2.0**62:
+        return (values * query).sum(axis=1, dtype=np.int64)
+    exact = (values.astype(object) * query.astype(object)).sum(axis=1)
+    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+
+
+class Block:
+    """One block's candidates (keys in order, ids, vectors) and their index."""
+
+    def __init__(self, keys: list[int], ids: list, vectors: list[bytes], cfg: TopkConfig):
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.cfg, self.keys, self.ids = cfg, np.array(keys, np.int64)[order], [ids[i] for i in order]
+        self.values = _matrix([vectors[i] for i in order], max(len(v) // 8 for v in vectors))
+        self.index = ImpactIndex(self.values.astype(np.float64), cfg.levels)
+
+    def best(self, key: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the query's k best candidates."""
+        places = self.index.search(query.astype(np.float64), self.cfg.k + 1, self.cfg.rest)  # one more: the query's own row may be there
+        places = places[self.keys[places] != key]
+        scores = _scores(self.values[places], query)
+        best = np.lexsort((places, ~scores))[: self.cfg.k]
+        return places[best], scores[best]
 
 
-def search_block(left: pa.Table, right: pa.Table, cfg: TopkConfig) -> pa.Table:
-    """The cfg.k best candidates (left: _key, _id, q) of each query (right: _key, _id, q)."""
+def searched(rows: DataFrame, cfg: TopkConfig) -> DataFrame:
+    """Rows (query_key, query_id, _key, vec_id, score) of each block's best; rows: (_block, _asks, _key, _id, q), dealt and
+    sorted by block, candidates (_asks false) first."""
+    kind = rows.schema["_id"].dataType.simpleString()
     names = ["query_key", "query_id", "_key", "vec_id", "score"]
-    out: list[list] = [[], [], [], [], []]
-    if len(left) and len(right):
-        dims = max(len(x) // 8 for t in (left, right) for x in t.column("q").to_pylist())
-        left = left.sort_by("_key")
-        keys, values = left.column("_key").to_numpy(), _matrix(left.column("q"), dims)
-        ids = left.column("_id").to_pylist()
-        index = ImpactIndex(values.astype(np.float64), cfg.levels)
-        for key, own, query in zip(right.column("_key").to_pylist(), right.column("_id").to_pylist(), _matrix(right.column("q"), dims), strict=True):
-            places = index.search(query.astype(np.float64), cfg.k + 1, cfg.rest)  # one more: the query's own row may be there
-            places = places[keys[places] != key]
-            scores = _scores(values[places], query)
-            best = np.lexsort((places, -scores))[: cfg.k]
-            out[0] += [key] * len(best)
-            out[1] += [own] * len(best)
-            out[2] += keys[places[best]].tolist()
-            out[3] += [ids[p] for p in places[best]]
-            out[4] += scores[best].tolist()
-    kind = left.schema.field("_id").type
-    return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), kind, pa.int64(), kind, pa.int64()), strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, block = None, ([], [], []), None
+        for batch in batches:
+            blocks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])))) if len(blocks) else []
+            for a, b in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
+                if blocks[a] != own:
+                    own, held, block = blocks[a], ([], [], []), None
+                keys, ids, vectors = (batch.column(i).slice(a, b - a).to_pylist() for i in (2, 3, 4))
+                if not asks[a]:
+                    for to, new in zip(held, (keys, ids, vectors), strict=True):
+                        to.extend(new)
+                    continue
+                if block is None and held[0]:
+                    block = Block(*held, cfg)
+                out: list[list] = [[], [], [], [], []]
+                for key, name, query in zip(keys, ids, _matrix(vectors, block.values.shape[1]) if block else [], strict=bool(block)):
+                    places, scores = block.best(key, query)
+                    for to, new in zip(out, ([key] * len(places), [name] * len(places), block.keys[places].tolist(), [block.ids[p] for p in places], scores.tolist()), strict=True):
+                        to += new
+                t = batch.schema.field("_id").type
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, (pa.int64(), t, pa.int64(), t, pa.int64()), strict=True)], names)
+
+    return rows.select("_block", "_asks", "_key", "_id", "q").mapInArrow(run, f"query_key long, query_id {kind}, _key long, vec_id {kind}, score long")
 
 
 def quantised(rows: DataFrame, cfg: TopkConfig) -> DataFrame:
@@ -145,21 +177,17 @@ def quantised(rows: DataFrame, cfg: TopkConfig) -> DataFrame:
 
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vector = F.col("embedding").cast("array<double>")
-    kept = rows.where(F.col("embedding").isNotNull() & F.forall(vector, good)).select("_id", "_key", vector.alias("v"))
+    fits = lambda x: F.abs(F.lit(cfg.scale) * x) < 2.0**63
+    kept = rows.where(F.col("embedding").isNotNull() & F.forall(vector, good) & F.forall(vector, fits)).select("_id", "_key", vector.alias("v"))
     return kept.mapInArrow(run, f"_id {kind}, _key long, q binary")
 
 
 def top_k(table: DataFrame, is_query: Column, cfg: TopkConfig = TopkConfig(), id_col: str = "vec_id") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best candidates of each query; is_query is a condition on `_id`."""
     rows = written(quantised(keyed(table, id_col, ("embedding",)), cfg))
-    n, n_queries = rows.count(), rows.where(is_query).count()
-    blocks, parts = -(-max(n, 1) // cfg.block), -(-max(n_queries, 1) // cfg.queries)
-    block, part = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")
-    left = rows.select("*", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    right = rows.where(is_query).select("*", part.alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(
-        lambda a, b: search_block(a, b, cfg), f"query_key long, query_id {kind}, _key long, vec_id {kind}, score long"
-    )
+    blocks = -(-max(rows.count(), 1) // cfg.block)
+    left = rows.select(F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int").alias("_block"), F.lit(False).alias("_asks"), "_key", "_id", "q")
+    right = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(True).alias("_asks"), "_key", "_id", "q")
+    found = searched(left.unionByName(right).repartition("_block").sortWithinPartitions("_block", "_asks"), cfg)
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "_key")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")

@@ -112,7 +112,7 @@ def test_top_k(spark, block):
     items = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(301)] + [(1000 + i, [0.5] * 6) for i in range(60)]
     items += [(400, None), (401, [None, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (500, [1.0, 2.0]), (600, [])]
     df = spark.createDataFrame(items, "vec_id long, embedding array<float>").repartition(3)
-    cfg = topk.TopkConfig(block=block, queries=2)
+    cfg = topk.TopkConfig(block=block)
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("_id") % 100 == 0, cfg).collect())
     assert got == brute_top(items)
 
@@ -137,6 +137,9 @@ def test_top_k_of_odd_tables(spark):
     assert len(got) == 6 and [g[2] for g in got if g[1] == 1] == [None, None] and got[0][3] == 2048 * 1024
     huge = spark.createDataFrame([(0, [1e6, 1.0]), (1, [1e5 + 1, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
     assert [r["score"] for r in topk.top_k(huge, F.col("_id") % 100 == 0).orderBy("rank").collect()] == [1024**2 * 10**6 * (10**5 + 1), 3 * 1024 * 1024]
+    far = spark.createDataFrame([(0, [1e300, 1.0]), (100, [1e15, 1e15]), (1, [9e15, -9e15]), (2, [8e15, 8e15]), (3, [2.0, 1.0]), (4, [-8e15, -8e15])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(far, F.col("_id") % 100 == 0).orderBy("rank").collect()]  # 0 takes no part
+    assert got == [(100, 1, 2, 2**63 - 1), (100, 2, 3, 2**63 - 1), (100, 3, 1, 0), (100, 4, 4, -(2**63))]
 
 
 # --- pipeline -------------------------------------------------------------------------------------------------------
