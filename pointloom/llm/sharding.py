@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import written
+from ._io import scratch, written
 
 
 @dataclass(frozen=True)
@@ -92,19 +92,47 @@ def grown(slot_map: list[int], load: list[int], shards: int) -> list[int]:
     return out
 
 
-def slot_maps(spark: SparkSession, loads: DataFrame, cfg: ShardConfig) -> DataFrame:
-    """The stored map (version, slot, shard); loads: (virtual_slot, bytes), one row a slot at most."""
+def stored_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The latest version of the map below path, and its slots' shards in order; None if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    rows = spark.read.schema("version int, slot int, shard int").parquet(path)
+    version = rows.agg(F.max("version").alias("v")).first()["v"]
+    return None if version is None else (version, [r["shard"] for r in rows.where(F.col("version") == version).orderBy("slot").collect()])  # one row a slot
+
+
+def store_map(spark: SparkSession, path: str, version: int, slot_map: list[int]) -> None:
+    """Adds a version to the map below path; earlier ones stay."""
+    rows = [(version, s, x) for s, x in enumerate(slot_map)]
+    spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+
+
+def next_map(spark: SparkSession, loads: DataFrame, cfg: ShardConfig, path: str) -> list[int]:
+    """The map below path, edited to balance loads and stored as its next version; loads: (virtual_slot, bytes), one row a slot at most."""
     load = [0] * cfg.slots
     for r in loads.collect():  # at most cfg.slots rows
         load[r["virtual_slot"]] = int(r["bytes"])
-    first = [s % cfg.shards for s in range(cfg.slots)]
-    second = rebalanced(first, load, cfg.shards)
-    rows = [(v, s, m[s]) for v, m in ((1, first), (2, second)) for s in range(cfg.slots)]
-    return written(spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1))
-
-
-def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig(), id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard, virtual_slot."""
+    found = stored_map(spark, path)
+    if found is None:
+        found = (1, [s % cfg.shards for s in range(cfg.slots)])
+        store_map(spark, path, *found)
+    version, current = found
+    held = max(current) + 1
+    if len(current) != cfg.slots or held > cfg.shards:
+        raise ValueError(f"the stored map has {len(current)} slots and {held} shards")
+    for shards in range(held, cfg.shards):
+        current = grown(current, load, shards)
+    edited = rebalanced(current, load, cfg.shards)
+    store_map(spark, path, version + 1, edited)
+    return edited
+
+
+def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig(), id_col: str = "doc_id", map_path: str | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard, virtual_slot.
+
+    map_path: where the map's versions are kept; without one, the map is made for this call alone and goes with its scratch space.
+    """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = written(
@@ -116,7 +144,8 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig(), id_col: str = "doc_
         )
     )
     loads = slim.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    maps = slot_maps(spark, loads.select("virtual_slot", "bytes"), cfg).where("version = 2").select(F.col("slot").alias("virtual_slot"), "shard")
+    held = next_map(spark, loads.select("virtual_slot", "bytes"), cfg, map_path or scratch(spark))
+    maps = spark.createDataFrame(list(enumerate(held)), "virtual_slot int, shard int")
     # Places: rows of a slot follow those of the shard's earlier slots. One row a slot, so both sides are bounded by cfg.slots.
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = loads.join(F.broadcast(maps), "virtual_slot").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("virtual_slot", "shard", "base")

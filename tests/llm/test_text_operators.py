@@ -325,6 +325,40 @@ def test_sharding(spark, docs, rows, empty, repeated):
     assert len(twice) == repeated.count() and all(sorted(o.slot) == list(range(len(o))) for _, o in twice.groupby("shard"))
 
 
+def test_stored_map(spark, tmp_path):
+    """A kept map is edited from version to version; one more shard takes rows mostly into itself."""
+    path = str(tmp_path / "map")
+    rng = np.random.default_rng(4)
+    items = [(i, "x" * int(rng.integers(0, 900))) for i in range(4000)]
+    make = lambda n, shards: sharding.shard(spark.createDataFrame(items[:n], "doc_id long, text string"), sharding.ShardConfig(shards=shards, slots=1024), map_path=path).toPandas()
+    first, again, more, wider = make(3000, 8), make(3000, 8), make(4000, 8), make(4000, 9)
+    rows = spark.read.parquet(path)
+    assert sorted(r[0] for r in rows.groupBy("version").count().collect()) == [1, 2, 3, 4, 5] and rows.count() == 5 * 1024
+    place = lambda t: dict(zip(t.doc_id, t.shard, strict=True))
+    same = lambda a, b: np.mean([place(b)[i] == s for i, s in place(a).items()])
+    assert same(first, again) > 0.99 and same(first, more) > 0.9
+    moved = [(a, b) for i, a in place(more).items() if (b := place(wider)[i]) != a]
+    assert sum(b == 8 for _, b in moved) > 0.8 * len(moved) and 0.08 < len(moved) / 4000 < 0.16
+    for t in (first, more, wider):
+        loads = t.groupby("shard")["size"].sum()
+        assert loads.max() - loads.min() < 0.01 * loads.mean()
+    assert sharding.stored_map(spark, path)[0] == 5 and sharding.stored_map(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        make(100, 3)
+
+
+def test_operators_of_clashing_columns(clashing, docs):
+    """Columns with names that the operators use inside are ignored."""
+    import public_tokenizers
+
+    from pointloom.llm import bpe, token_counts
+
+    word, piece, byte = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
+    for make in (sharding.shard, lambda d: bpe.encode(d, word), lambda d: token_counts.token_counts(d, piece), lambda d: packing.pack_documents(d, byte), quality.quality_rules, lambda d: pii.digest(pii.find_pii(d)), lambda d: secrets.digest(secrets.secret_scan(d))):
+        rows = lambda df: sorted(map(str, make(df).collect()))
+        assert rows(clashing) == rows(docs)
+
+
 def test_slot_maps():
     rng = np.random.default_rng(3)
     load = rng.integers(0, 1000, 512).tolist()
