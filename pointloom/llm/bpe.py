@@ -4,8 +4,10 @@ The merges are compiled, in order, into a deterministic automaton over tokens th
 byte-pair merging gives. It starts as one state with an arc back to itself for every base symbol. Each merge (a, b) is a
 gadget: the state that a leads to is forked into a copy that lacks the arc b, a then leads to the copy, and every state
 that had the arc a gets an arc for the new token ab, which leads to where b led. Copies are kept as differences (the arc
-that was cut, and when), so the whole automaton takes one entry for each merge. A word is encoded by
-transitions of the table (state, arc): a state is the last token, and one path spells the word. Decoding emits the arcs' labels.
+that was cut, and when), so the whole automaton takes one entry for each merge: it is not written out as a full table of
+states and arcs. Whether a state has an arc is found from the differences when the pair is first met, and kept. A word is
+encoded by these transitions (state, arc): a state is the last token, one path spells the word, and it is found by taking
+the longest arc first and taking arcs back at dead places. Decoding emits the arcs' labels.
 
 Cases: a null or empty text has no tokens; special tokens' strings inside a text are those tokens; very long texts are
 worked on whole, batch by batch; repeated rows are encoded each; an empty table gives an empty result; columns other

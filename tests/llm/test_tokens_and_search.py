@@ -180,3 +180,30 @@ def test_registered_queries():
 
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are missing")
+def test_registered_digests(spark):
+    """The digest columns of the tokenizers' queries against their libraries, over the whole table."""
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from pointloom.llm.queries import QUERIES
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for i, t in texts.items():
+        ids = word.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(word.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op7_bpe_automaton"](spark, SF).collect()} == want
+    piece = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: (len(t.encode()), n := len(piece.encode(t)), n > 4096) for i, t in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op10_token_counts"](spark, SF).collect()} == want
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = QUERIES["op8_packing"](spark, SF).toPandas()
+    assert dict(out.groupby("doc_id").length.sum()) == {i: len(byte.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert {c: str(t) for c, t in out.dtypes.items() if c != "doc_id"} == {c: "int64" for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
