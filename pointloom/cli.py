@@ -5,14 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .models import scorer as models
 from .operators.directional import BandConfig
 from .plans import workflows
 from .sources import register
-from .sources.config import load_toml
+from .sources.config import load_toml, provenance, write_json
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,9 +30,45 @@ def _parser() -> argparse.ArgumentParser:
     split.add_argument("output")
     split.add_argument("--purge", type=int, default=20)
     split.add_argument("--domain", action="append")
+    for name, what in (("train", "train a scorer on a dataset's split"), ("evaluate", "the report of a role's points"), ("predict", "score points")):
+        one = sub.add_parser(name, help=what)
+        one.add_argument("--points", required=True)
+        one.add_argument("--output", required=True)
+        if name != "predict":
+            one.add_argument("--chunks", required=True)
+            one.add_argument("--plan", required=True)
+        if name != "train":
+            one.add_argument("--bundle", required=True)
+        else:
+            one.add_argument("--voxel-size", type=float, default=0.1)
+            one.add_argument("--epochs", type=int, default=models.TrainConfig().epochs)
+            one.add_argument("--checkpoint")
+        if name == "evaluate":
+            one.add_argument("--role", default="test")
+            one.add_argument("--by")
+        if name == "predict":
+            one.add_argument("--keys", default="recording,frame_index")
     return p
 
 
+def _model_command(spark: SparkSession, a: argparse.Namespace) -> None:
+    points = _recording(spark, a.points)
+    if a.command == "predict":
+        workflows.predict_points(points, models.Bundle.load(a.bundle), a.keys.split(",")).write.parquet(a.output)
+        return
+    plan = workflows.load_split_plan(spark.read.parquet(a.chunks), json.loads(Path(a.plan).read_text()))
+    if a.command == "evaluate":
+        workflows.save_summary(a.output, workflows.evaluate_scorer(points, plan, models.Bundle.load(a.bundle), a.role, a.by))
+        return
+    config = models.TrainConfig(epochs=a.epochs)
+    record = f"{a.output}.provenance.json"
+    made = provenance({"voxel_size": a.voxel_size, "epochs": a.epochs}, [a.plan])
+    write_json(record, made | {"status": "running"})
+    bundle, history = workflows.train_scorer(points, plan, a.voxel_size, config, a.checkpoint)
+    bundle.save(a.output)
+    write_json(record, made | {"status": "complete", "history": history})
+
+
 def _recording(spark: SparkSession, path: str):
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
@@ -55,7 +93,9 @@ def main(args: list[str] | None = None) -> int:
             print(json.dumps({"warnings": out.warnings}))
         elif a.command == "split":
             workflows.split_plan(spark.read.parquet(a.chunks), a.output, purge=a.purge, domains=a.domain)
-    except (ValueError, FileNotFoundError) as e:
+        else:
+            _model_command(spark, a)
+    except (ValueError, KeyError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

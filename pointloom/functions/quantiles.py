@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """One row a group: keys, n, and for each name the element at rint((n - 1) * q) of the sorted values.
@@ -19,6 +21,39 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict
     return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
 
 
+#: Half the share of a group's rows that linear_by() orders for a quantile, and the accuracy that finds them: the share is
+#: several times the sketch's error, so the rows that a quantile lies between are always among them.
+SHARE, ACCURACY = 5e-4, 20_000
+
+
+def linear_by(rows: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """(by, names): exact quantiles of large groups, with linear interpolation; NULL and NaN take no part.
+
+    A first pass finds by sketches between which values each quantile lies; a second counts what is below and orders only
+    the rows between. No buffer holds a group. Groups without values, or with a NULL key, have no row.
+    """
+    own = staged(rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"))  # the passes read this slim table
+    qs = list(quantiles.values())
+    ends = [F.percentile_approx("_v", F.array(F.lit(max(q - SHARE, 0.0)), F.lit(min(q + SHARE, 1.0))), ACCURACY) for q in qs]
+    frame = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*ends).alias("_ends"))
+    near = own.join(frame, list(by)) if by else own.crossJoin(F.broadcast(frame))  # one row
+    # One value more on either side: in a small group the sketch's ranks are a whole row apart from the quantile's.
+    low, high = (lambda i, k=k: F.col("_ends")[i][k] for k in (0, 1))
+    wider = [F.array(F.coalesce(F.max(F.when(F.col("_v") < low(i), F.col("_v"))), F.min(low(i))), F.coalesce(F.min(F.when(F.col("_v") > high(i), F.col("_v"))), F.min(high(i)))) for i in range(len(qs))]
+    frame = near.groupBy(*by).agg(F.max("_n").alias("_n"), F.array(*wider).alias("_ends"))
+    met = own.join(frame, list(by)) if by else own.crossJoin(F.broadcast(frame))  # one row
+    below = met.groupBy(*by).agg(F.array(*[F.count_if(F.col("_v") < F.col("_ends")[i][0]) for i in range(len(qs))]).alias("_below"), F.max("_n").alias("_n"))
+    asked = F.filter(F.sequence(F.lit(0), F.lit(len(qs) - 1)), lambda i: F.col("_v").between(F.get(F.get("_ends", i), F.lit(0)), F.get(F.get("_ends", i), F.lit(1))))
+    steps = met.select(*by, "_v", F.explode(asked).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = steps.join(below, list(by)) if by else steps.crossJoin(F.broadcast(below))  # one row
+    upto = F.get("_below", F.col("_i")) + F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v"))
+    at = (F.col("_n") - 1) * F.get(F.array(*map(F.lit, qs)), F.col("_i"))
+    placed = counted.withColumn("_upto", upto).withColumn("_at", at)
+    pick = lambda i, rank: F.min(F.when((F.col("_i") == i) & (F.col("_upto") > rank(F.col("_at"))), F.col("_v")))
+    share = lambda i: F.max(F.when(F.col("_i") == i, F.col("_at") - F.floor("_at")))
+    return placed.groupBy(*by).agg(*[(pick(i, F.floor) * (1 - share(i)) + pick(i, F.ceil) * share(i)).alias(name) for i, name in enumerate(quantiles)])
+
+
 def linear(value: Column, q: float) -> Column:
-    """Exact quantile with linear interpolation."""
+    """Exact quantile with linear interpolation, of groups that fit a buffer (a frame's points, a count a frame)."""
     return F.percentile(value.cast("double"), F.lit(q))

@@ -1,13 +1,33 @@
-"""Cutting long lineages between the rounds of an iteration."""
+"""Cutting long lineages: tables written once and read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the session's shared folder (spark.checkpoint.dir), removed when the application ends.
+
+    Only where the session names no folder, as in local tests, it is one of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="pointloom-"))
+        base = _LOCAL[0]
+    path = f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed in the shared folder if the session has one, else kept (and spilled) by executors,
-    which compute what they lose anew."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+    """df computed once, as a written table: lost executors cost nothing, and no cache is held."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

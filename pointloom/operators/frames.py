@@ -6,13 +6,13 @@ Windows are partitioned by recording; a recording has thousands of frames, so it
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import is_finite
+from ..functions.staging import staged
 
 
 def frame_layout(points: DataFrame, recording: str = "recording", time: str = "time_s") -> DataFrame:
@@ -104,10 +104,14 @@ def _on_grid(at: Column, n: Column, most: int) -> Column:
 def _global_preview(df: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
     """Rows of one total order at the grid's places. Places come from the sorted partitions' sizes, once."""
     n = df.count()
-    step = (n - 1) / (most - 1) if most > 1 else 0.0
-    wanted = range(n) if n <= most else {*(math.floor(j * step) for j in range(most - 1)), n - 1} if most > 1 else range(most)
-    chosen = df.orderBy(*order).rdd.zipWithIndex().filter(lambda x: x[1] in wanted).map(lambda x: x[0])
-    return df.sparkSession.createDataFrame(chosen, df.schema)
+    if n <= most:
+        return df
+    # Numbers that ascend with a sorted table's partitions and within them; the partitions' sizes (one row each) make them gapless.
+    numbered = staged(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_m", 33))
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    at = F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(base), "_part").where(_on_grid(at, F.lit(n), most)).select(*df.columns)
 
 
 def time_chunks(frames: DataFrame, duration_s: float, start_s: float = 0.0, end_s: float | None = None, time: str = "relative_s") -> DataFrame:
@@ -149,7 +153,20 @@ def calibration_split(frames: DataFrame, fraction: float, recording: str = "reco
 
 def first_frames(df: DataFrame, most: int, recording: str = "recording") -> DataFrame:
     """Rows of the first `most` frames of each recording."""
-    return df.withColumn("_f", F.dense_rank().over(Window.partitionBy(recording).orderBy("frame_index"))).where(F.col("_f") <= most).drop("_f")
+    own = df.select(recording, "frame_index").distinct()  # ranks need one row a frame, not the points
+    kept = own.withColumn("_f", F.row_number().over(Window.partitionBy(recording).orderBy("frame_index"))).where(F.col("_f") <= most)
+    return df.join(kept.drop("_f"), [recording, "frame_index"], "left_semi")
+
+
+def across_files(points: DataFrame, recording: str, file: str = "recording") -> DataFrame:
+    """The points of one recording's files as one recording: files follow by name, frames are numbered through, and time_s
+    counts from the recording's first frame (message_time_ns)."""
+    per_file = points.groupBy(F.col(file).alias("_file")).agg(F.max("frame_index").alias("_last"), F.min("message_time_ns").alias("_from"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = per_file.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_base"), F.min("_from").over(Window.partitionBy(F.lit(1))).alias("_origin"))
+    rows = points.join(F.broadcast(base), F.col(file) == F.col("_file"))
+    rows = rows.withColumn("frame_index", (F.col("frame_index") + F.col("_base")).cast("int")).withColumn("time_s", (F.col("message_time_ns") - F.col("_origin")) * F.lit(1e-9) + F.col("offset_s"))
+    return rows.withColumn(file, F.lit(recording)).drop("_file", "_base", "_origin")
 
 
 def point_offset(points: DataFrame, frames: DataFrame, recording: str = "recording", time: str = "time_s") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import ratio
+from ..functions.staging import staged
 
 BUCKETS = 256
 SMALL = 50_000
@@ -42,6 +43,7 @@ def cumulated(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     One task cumulates a group of up to SMALL distinct scores; beyond, scores are dealt by BUCKETS quantiles.
     """
     total = Window.partitionBy(*by, F.lit(1))
+    steps = staged(steps)  # its upstream runs once
     known = steps.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col("score").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("e")).first()
     edges = sorted(set(known["e"])) if known["n"] > SMALL else []
     rows = steps.withColumn("_bucket", _bucket(F.col("score"), edges))
@@ -94,13 +96,18 @@ def invalid_inputs(rows: DataFrame, score: str = "score", label: str = "label")
     return rows.where(~F.col(label).isin(0, 1) | F.col(label).isNull() | F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf")))
 
 
-def summary(rows: DataFrame, threshold: float, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """Confusion counts at the threshold and what follows from them, overall (NULL groups) and for each value of by."""
-    positive, predicted = F.col(label) == 1, F.col(score) >= threshold
+def summary(rows: DataFrame, threshold: float, by: Sequence[str] = (), score: str = "score", label: str = "label", positive: Column | None = None, negative: Column | None = None) -> DataFrame:
+    """Confusion counts at the threshold and what follows from them, overall (NULL groups) and for each value of by.
+    positive and negative: how many points of each kind a row stands for, or one by its label."""
+    pos = (F.when(F.col(label) == 1, 1).otherwise(0) if positive is None else positive).cast("long")
+    neg = (F.when(F.col(label) == 1, 0).otherwise(1) if negative is None else negative).cast("long")
+    s, predicted = F.col(score), F.col(score) >= threshold
     grouped = rows.rollup(*by) if by else rows.groupBy()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     counts = grouped.agg(
-        F.count(F.lit(1)).alias("points"), F.count_if(positive).alias("positives"), F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier_score"), F.count_if(predicted & positive).alias("true_positive"),
-        F.count_if(predicted & ~positive).alias("false_positive"), F.count_if(~predicted & ~positive).alias("true_negative"), F.count_if(~predicted & positive).alias("false_negative"),
+        total(pos + neg).alias("points"), total(pos).alias("positives"), (F.sum(pos * F.pow(s - 1, F.lit(2)) + neg * s * s) / F.sum(pos + neg)).alias("brier_score"),
+        total(F.when(predicted, pos).otherwise(0)).alias("true_positive"), total(F.when(predicted, neg).otherwise(0)).alias("false_positive"),
+        total(F.when(predicted, 0).otherwise(neg)).alias("true_negative"), total(F.when(predicted, 0).otherwise(pos)).alias("false_negative"),
     )
     tp, fp, tn, fn = (F.col(c) for c in ("true_positive", "false_positive", "true_negative", "false_negative"))
     zero = F.lit(0.0)
@@ -110,11 +117,11 @@ def summary(rows: DataFrame, threshold: float, by: Sequence[str] = (), score: st
     )
 
 
-def report(rows: DataFrame, threshold: float, by: str, score: str = "score", label: str = "label") -> DataFrame:
-    """summary() with average precision and AUC, for "overall" and each value of by."""
+def report(rows: DataFrame, threshold: float, by: str, score: str = "score", label: str = "label", positive: Column | None = None, negative: Column | None = None) -> DataFrame:
+    """summary() with average precision and AUC, for "overall" and each value of by; positive, negative: as in summary()."""
     doubled = rows.withColumn("_g", F.explode(F.array(F.lit("overall"), F.col(by).cast("string"))))
-    table = cumulated(by_score(doubled, score, label, ["_g"]), ["_g"])
-    own = summary(doubled, threshold, ["_g"], score, label).where("_g is not null")
+    table = cumulated(by_score(doubled, score, label, ["_g"], positive, negative), ["_g"])
+    own = summary(doubled, threshold, ["_g"], score, label, positive, negative).where("_g is not null")
     return own.join(average_precision(table, ["_g"]), "_g", "left").join(roc_auc(table, ["_g"]), "_g", "left").withColumnRenamed("_g", "group")
 
 

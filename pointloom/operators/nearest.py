@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.semantics import is_finite
 from ..functions.staging import staged
 
 _CELL = ("_gx", "_gy", "_gz")
@@ -41,21 +42,31 @@ def nearest_within(queries: DataFrame, reference: DataFrame, radius: float, key:
     return pairs.where(F.col("_d") <= radius).groupBy(*key).agg(F.min("_d").alias("distance"))
 
 
-def nearest_exact(queries: DataFrame, reference: DataFrame, radius: float, key: Sequence[str], rounds: int = 60, **names) -> DataFrame:
+def nearest_exact(queries: DataFrame, reference: DataFrame, radius: float, key: Sequence[str], columns: Sequence[str] = ("x", "y", "z"), reference_columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """(key, distance) of every query: those without a neighbour within the radius go on with twice the radius.
 
-    A query is settled in the first round that finds it a neighbour, since all within the radius were compared. Rounds
-    end when none is left; each works on the remainder only. Without reference points there are no rows.
+    A query is settled in the first round that finds it a neighbour, since all within the radius were compared. Each round
+    works on the remainder only, and the radius ends at the extent of both sides, where all are settled. The distance is
+    NULL for a query with a coordinate that isn't finite, and for all where no reference point is finite.
     """
-    done, left, at = None, queries, radius
-    for _ in range(rounds if reference.take(1) else 0):
-        found = staged(nearest_within(left, reference, at, key, **names))
-        done = found if done is None else done.unionByName(found)
+    finite = lambda names: is_finite(*[F.col(c) for c in names])
+    own = staged(queries.select(*key, *columns))  # rounds read slim tables, whatever made them
+    left, known = own.where(finite(columns)), staged(reference.select(*reference_columns).where(finite(reference_columns)))
+    ends = lambda rows, names: rows.agg(*[f(F.col(c).cast("double")) for c in names for f in (F.min, F.max)]).first()
+    a, b = ends(left, columns), ends(known, reference_columns)
+    done, at = own.where(~finite(columns)).select(*key, F.lit(None).cast("double").alias("distance")), radius
+    if b[0] is None:
+        return own.select(*key, F.lit(None).cast("double").alias("distance"))
+    if a[0] is None:
+        return done
+    extent = sum((max(a[i + 1], b[i + 1]) - min(a[i], b[i])) ** 2 for i in (0, 2, 4)) ** 0.5 * (1 + 1e-9)
+    while True:
+        found = staged(nearest_within(left, known, at, key, columns, reference_columns))
+        done = done.unionByName(found)
         left = staged(left.join(found.select(*key), list(key), "left_anti"))
-        if not left.take(1):
-            break
-        at *= 2
-    return done if done is not None else queries.select(*key, F.lit(None).cast("double").alias("distance")).limit(0)
+        if at >= extent or not left.take(1):
+            return done
+        at = min(2 * at, max(extent, radius))
 
 
 def isolated(points: DataFrame, distance: float, key: Sequence[str] = ("recording", "frame_index", "point_index"), frame: Sequence[str] = ("recording", "frame_index"), valid: str | None = None, columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import move, normalised, slerp, vector
 from ..functions.semantics import is_finite
 
+#: How much wider the buckets of long intervals are.
+COARSE = 4096
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
 
@@ -27,19 +29,24 @@ def at_times(frames: DataFrame, poses: DataFrame, max_gap_ns: int = 250_000_000,
 
     pose_status: exact, between, gap (the neighbours are further apart than max_gap_ns) or outside. Intervals between
     poses are dealt by time buckets, so the as-of join is an equi-join: an interval is copied to each bucket it touches.
+    Long intervals are dealt by buckets COARSE times as wide, and frames look in both.
     """
     order = Window.partitionBy(session).orderBy("time_ns")
     unit = dict(zip(POSE[3:], normalised([F.col(c) for c in POSE[3:]]), strict=True))
     own = poses.select(session, "time_ns", *POSE).withColumns(unit)
     nexts = own.select(session, F.col("time_ns").alias("_t0"), *[F.col(c).alias(f"_a_{c}") for c in POSE], F.lead("time_ns").over(order).alias("_t1"), *[F.lead(c).over(order).alias(f"_b_{c}") for c in POSE])
-    # The last pose is an interval of its own. Long gaps touch their first and last bucket's frames alike, so they are cut to what can be met.
+    # The last pose is an interval of its own.
     last = F.coalesce(F.col("_t1") - 1, F.col("_t0"))
-    bucket = lambda t: F.floor(t / F.lit(bucket_ns)).cast("long")
-    spans = nexts.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_t0")), bucket(last))))
-    joined = frames.withColumn("_bucket", bucket(F.col("time_ns"))).join(spans, [session, "_bucket"], "left").where("_t0 is null or (time_ns >= _t0 and time_ns <= coalesce(_t1 - 1, _t0))")
-    # A frame whose bucket has intervals, but none that holds it, is outside; it comes back by the left join below.
+    bucket = lambda t, level: F.floor(t / F.lit(bucket_ns * COARSE**level)).cast("long")
+    wide = bucket(last, 0) - bucket(F.col("_t0"), 0) > 64
+    touched = F.when(wide, F.sequence(bucket(F.col("_t0"), 1), bucket(last, 1))).otherwise(F.when(~wide, F.sequence(bucket(F.col("_t0"), 0), bucket(last, 0))))
+    spans = nexts.withColumn("_level", wide.cast("int")).withColumn("_bucket", F.explode(touched))
+    looked = frames.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), bucket(F.col("time_ns"), x).alias("bucket")) for x in (0, 1)])))
+    looked = looked.withColumn("_level", F.col("_at.level")).withColumn("_bucket", F.col("_at.bucket")).drop("_at")
+    joined = looked.join(spans, [session, "_level", "_bucket"]).where("time_ns >= _t0 and time_ns <= coalesce(_t1 - 1, _t0)")
+    # A frame that no interval holds is outside; it comes back by the left join below.
     keys = [c for c in frames.columns if c in (session, "time_ns", "frame_index")]
-    found = joined.where("_t0 is not null").drop("_bucket")
+    found = joined.drop("_level", "_bucket")
     out = frames.join(found.select(*keys, *[c for c in found.columns if c.startswith("_")]), keys, "left")
     f = F.when(F.col("time_ns") == F.col("_t0"), 0.0).otherwise((F.col("time_ns") - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
     status = F.when(F.col("_t0").isNull(), "outside").when(F.col("time_ns") == F.col("_t0"), "exact").when(F.col("_t1") - F.col("_t0") > max_gap_ns, "gap").otherwise("between")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import nearest_rank
+from ..functions.quantiles import linear_by, nearest_rank
 from ..functions.semantics import safe_name
 from ..operators import datasets, directional, frames, metrics, nearest, poses, regions, splits, voxels
 
@@ -579,9 +579,9 @@ def manifest_mismatches(spark, sf):
     return datasets.manifest_mismatches(actual.withColumn("points", wrong), actual)
 
 
-@_query("with v as (select event_type role, user_id % 7 chunk_index, value::bigint frame from events where event_type in ('click', 'view') and value < 12), t as (select chunk_index, frame from (select distinct * from v) group by all having count(*) > 1) select chunk_index, frame, 'more than one role' problem from t union all select distinct chunk_index, frame, 'not in the chunk' from v where frame >= 10")
+@_query("with v as (select event_type role, user_id % 7 chunk_index, value::bigint frame from events), t as (select chunk_index, frame from (select distinct * from v) group by all having count(*) > 1) select chunk_index, frame, 'more than one role' problem from t union all select distinct chunk_index, frame, 'not in the chunk' from v where frame >= 10")
 def role_conflicts(spark, sf):
-    rows = _read(spark, sf, "events").where("event_type in ('click', 'view') and value < 12").select(F.col("event_type").alias("role"), (F.col("user_id") % 7).alias("chunk_index"), F.rint("value").cast("long").alias("frame"))
+    rows = _read(spark, sf, "events").select(F.col("event_type").alias("role"), (F.col("user_id") % 7).alias("chunk_index"), F.rint("value").cast("long").alias("frame"))
     plan = splits.compact_ranges(rows, ["role", "chunk_index"], "frame")
     chunks = spark.range(7).select(F.col("id").alias("chunk_index"), F.lit(10).cast("long").alias("frames"))
     return splits.role_conflicts(plan, chunks)
@@ -594,6 +594,136 @@ def stream_ids(spark, sf):
     return splits.stream_id(rows).groupBy("stream_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@_query("select event_type, round(quantile_cont(value, 0.5), 6) middle, round(quantile_cont(value, 0.999), 6) high from events group by event_type")
+def group_quantiles(spark, sf):
+    out = linear_by(_read(spark, sf, "events"), ["event_type"], "value", {"middle": 0.5, "high": 0.999})
+    return out.select("event_type", _r("middle").alias("middle"), _r("high").alias("high"))
+
+
+@_query(f"with {_NN} select vec_id, case when vec_id % 10 = 5 then null else round(d, 6) end distance from nn")
+def nearest_of_odd_points(spark, sf):
+    """Queries and reference points with coordinates that aren't finite."""
+    cloud = _cloud(spark, sf)
+    asked = cloud.where("vec_id % 2 = 1").withColumn("x", F.when(F.col("vec_id") % 10 == 5, F.lit(float("nan"))).otherwise(F.col("x")))
+    known = cloud.where("vec_id % 2 = 0").unionByName(cloud.limit(1).withColumn("z", F.lit(float("inf"))))
+    return nearest.nearest_exact(asked, known, 0.01, ["vec_id"]).select("vec_id", _r("distance").alias("distance"))
+
+
+@_query(f"""with {_CLS} select vec_id % 4 chunk, count(distinct frame) frames, count(*) points, count(*) filter (where label = 0) unaffected, count(*) filter (where label = 1) impacted, count(*) filter (where label = 254) excluded, count(*) filter (where label = 255) ignored,
+ round(quantile_cont(d, 0.5), 6) distance_p5, round(quantile_cont(d, 0.99), 6) distance_p99 from l group by vec_id % 4""")
+def chunk_distances(spark, sf):
+    from .workflows import chunk_report
+
+    rows = regions.classify(_near(spark, sf), _RULES).withColumns({"session_id": F.lit("s"), "chunk": F.col("vec_id") % 4, "frame_index": F.col("frame")})
+    out = chunk_report(rows)
+    return out.select("chunk", "frames", "points", "unaffected", "impacted", "excluded", "ignored", _r("distance_p5").alias("distance_p5"), _r("distance_p99").alias("distance_p99"))
+
+
+# --- sources and sinks: written to files and read again -------------------------------------------------------------
+
+
+@_query("""with p as (select l_returnflag r, l_linenumber % 3 k, date_diff('day', date '1990-01-01', cast(l_shipdate as date)) d from lineitem)
+ select r recording_id, 's' session_id, 'moving' source_domain, 'smoke' as condition, count(distinct d) frames, count(*) points, count(*) filter (where k = 0) unimpacted, count(*) filter (where k = 1) smoke_impacted, count(*) filter (where k = 2) "ignore", row_number() over (order by r) - 1 chunk_index from p group by r""")
+def dataset_files(spark, sf):
+    """The canonical dataset in files, its manifest read with verified checksums."""
+    from pyspark.sql import Window
+
+    from ..functions.staging import scratch
+    from ..sources.config import read_manifest
+    from ..sources.sinks import write_dataset
+
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01"))
+    raw = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("recording_id"), day.alias("day"), "l_linenumber")
+    days = raw.groupBy("recording_id", "day").agg(F.count(F.lit(1)).alias("n_points")).withColumn("frame_index", F.row_number().over(Window.partitionBy("recording_id").orderBy("day")) - 1)
+    label = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(255)), F.col("l_linenumber") % 3 + 1)
+    fixed = {"schema_version": F.lit(datasets.VERSION), "session_id": F.lit("s"), "source_domain": F.lit("moving"), "condition": F.lit("smoke"), "label": label, "line": F.col("l_linenumber"), "tag": F.lit(0), "point_index": F.lit(0)}
+    points = raw.join(days, ["recording_id", "day"]).withColumns(fixed | {c: F.lit(0.5) for c in ("x", "y", "z", "intensity", "point_offset_s")})
+    timed = days.withColumn("frame_time_s", F.col("day").cast("double"))
+    typed = lambda df, schema: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    path = scratch(spark).removeprefix("file:")
+    write_dataset(path, typed(points, datasets.POINTS), typed(timed, datasets.FRAMES))
+    out = read_manifest(spark, f"{path}/manifest.json", datasets.VERSION, verify=True)
+    return out.select("recording_id", "session_id", "source_domain", "condition", "frames", "points", "unimpacted", "smoke_impacted", "ignore", "chunk_index")
+
+
+@_query("select o_orderkey, o_custkey, o_totalprice from orders")
+def archive_files(spark, sf):
+    """Array archives written by executors and read again."""
+    from ..functions.staging import scratch
+    from ..sources import register
+
+    register(spark)
+    path = scratch(spark).removeprefix("file:")
+    _read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").write.format("npz").mode("append").save(path)
+    return spark.read.format("npz").load(path).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@_query("select event_id, to_json({event_id: event_id, user_id: user_id, event_type: event_type}) as line from events")
+def json_line_files(spark, sf):
+    from ..functions.staging import scratch
+    from ..sources.sinks import write_json_lines
+
+    path = scratch(spark)
+    write_json_lines(path, _read(spark, sf, "events").select("event_id", "user_id", "event_type"))
+    return spark.read.text(path).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.col("value").alias("line"))
+
+
+@_query(f"with {_C} select vec_id, printf('%.5f %.5f %.5f', x, y, z) || case when frame = 0 then ' 70 130 180' when frame = 1 then ' 220 60 40' else ' 128 128 128' end || ' ' || frame as line from cloud")
+def ply_lines(spark, sf):
+    from ..sources.sinks import label_colour, ply_rows
+
+    rows = ply_rows(_cloud(spark, sf), colour=label_colour(F.col("frame")), extra=["frame", "vec_id"])
+    return rows.select(F.element_at(F.split("value", " "), -1).cast("long").alias("vec_id"), F.regexp_replace("value", " [0-9]+$", "").alias("line"))
+
+
+@_query(f"with {_C} select vec_id point_index, frame frame_index, round(least(greatest(x + 0.5, 0), 1), 4) probability, round(1 - least(greatest(x + 0.5, 0), 1), 4) reliability, case when least(greatest(x + 0.5, 0), 1) >= 0.55 then 1 else 0 end predicted_label, true as valid, frame % 2 source_label from cloud")
+def prediction_rows(spark, sf):
+    from ..sources.sinks import predictions
+
+    rows = _cloud(spark, sf).select(F.col("frame").alias("frame_index"), F.col("vec_id").alias("point_index"), "x", "y", "z", F.least(F.greatest(F.col("x") + 0.5, F.lit(0.0)), F.lit(1.0)).alias("probability"), (F.col("frame") % 2).alias("label"))
+    out = predictions(rows, 0.55)
+    return out.select("point_index", "frame_index", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("probability", "reliability")], F.col("predicted_label").cast("int").alias("predicted_label"), "valid", "source_label")
+
+
+@_query("""with p as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag f, l_linenumber - 1 i, epoch_us(l_shipdate) * 1000 t from lineitem), b as (select f, max(i) n, min(t) t from p group by f),
+ o as (select f, coalesce(sum(n + 1) over (order by f rows between unbounded preceding and 1 preceding), 0) base, min(t) over () origin from b)
+ select l_orderkey, l_partkey, l_suppkey, l_linenumber, 'run' recording, cast(i + base as integer) frame_index, round((t - origin) / 1e9, 3) time_s from p join o using (f)""")
+def frames_across_files(spark, sf):
+    rows = _read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_returnflag").alias("recording"), (F.col("l_linenumber") - 1).alias("frame_index"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("message_time_ns"), F.lit(0.0).alias("offset_s"))
+    return frames.across_files(rows, "run").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "recording", "frame_index", _r("time_s", 3).alias("time_s"))
+
+
+_LINEAR = " + ".join(f"0.1 * (f.{c} - n.{c}_c) / case when n.{c}_s < 1e-6 then 1 else n.{c}_s end" for c in voxels.FEATURES)
+_RAW = ", ".join(f"avg({c}) {n}_mean, stddev_pop({c}) {n}_std" for n, c in (("intensity", "intensity"), ("range", "r"), ("x", "x"), ("y", "y"), ("z", "z")))
+
+
+@_query(f"""with {_V}, f as (select recording, vx, vy, vz, ln(1 + count(*)) log_count, {_RAW} from v group by recording, vx, vy, vz), n as (select {", ".join(f"avg({c}) {c}_c, stddev_pop({c}) {c}_s" for c in voxels.FEATURES)} from f),
+ s as (select f.recording, f.vx, f.vy, f.vz, {_LINEAR} + 0.5 logit from f, n) select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(logit, 3) logit from v join s using (recording, vx, vy, vz)""")
+def linear_scores(spark, sf):
+    """A scorer of one linear layer with fixed weights, applied in Arrow batches to every voxel's points."""
+    import numpy as np
+
+    from ..models import scorer
+
+    features = _features(spark, sf)
+    fixed = scorer.Scorer([np.full((len(voxels.FEATURES), 1), 0.1)], [np.array([0.5])])
+    scored = scorer.score(voxels.normalised(features, voxels.normaliser(features)), fixed)
+    return voxels.scores_to_points(_points(spark, sf), scored, 0.5, ["recording"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _r("logit", 3).alias("logit"))
+
+
+@_query("select count(*) points, count(*) filter (where event_type <> 'error') positives, 0.0::double slope_gradient, 0.0::double bias_gradient from events where value is not null")
+def platt_optimum(spark, sf):
+    """The log loss's mean gradient at the calibration that was found: zero in both directions."""
+    from ..functions.semantics import sigmoid
+    from ..models.scorer import calibrate
+
+    rows = _read(spark, sf, "events").where("value is not null").select((F.col("value") / 25).alias("score"), (F.col("event_type") != "error").cast("int").alias("label"))
+    found = calibrate(metrics.by_score(rows))
+    off = sigmoid(F.lit(found.slope) * F.col("score") + found.bias) - F.col("label")
+    # + 0.0: no negative zero.
+    return rows.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("label") == 1).alias("positives"), (F.round(F.avg(off * F.col("score")), 5) + 0.0).alias("slope_gradient"), (F.round(F.avg(off), 5) + 0.0).alias("bias_gradient"))
+
+
 @_query()
 def platt_calibration(spark, sf):
     """Slope and bias on one row; the optimum is tested against its neighbours."""

@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import apply_matrix, vector
+from ..functions.geometry import apply_matrix, pose_matrix, vector
+from ..functions.quantiles import linear_by
+from ..functions.staging import staged
 from ..models import scorer as models
 from ..operators import datasets, directional, frames, metrics, nearest, poses, regions, splits, voxels
+from ..sources import register
 from ..sources.config import sha256_json, write_json
 from ..sources.sinks import predictions, write_dataset, write_ply
 
@@ -92,15 +95,53 @@ class MovingConfig:
     alignment: tuple[tuple[float, ...], ...] | None = None
 
 
+def checked_trajectory(trajectory: DataFrame) -> DataFrame:
+    """trajectory, if every session has two poses or more, in increasing time, finite and of one pair of frames."""
+    problems = [r.asDict() for r in poses.pose_problems(trajectory).limit(5).collect()]
+    if not problems and {"world_frame", "body_frame"} <= set(trajectory.columns):
+        problems = [r.asDict() for r in poses.changing_frames(trajectory).limit(5).collect()]
+    if problems:
+        raise ValueError(f"not a usable trajectory: {problems}")
+    return trajectory
+
+
+def checked_transform(rows: DataFrame, parent: str, child: str) -> np.ndarray:
+    """The static transform from child to parent as a matrix; one that is missing, or that changes, is an error."""
+    row = poses.static_transform(rows, parent, child).first()
+    if row is None or not row["consistent"]:
+        raise ValueError(f"the transform from {child} to {parent} " + ("is missing" if row is None else f"changes by {row['spread']}"))
+    return pose_matrix([row[c] for c in poses.POSE[:3]], [row[c] for c in poses.POSE[3:]])
+
+
+def load_recording(spark: SparkSession, path: str, topic: str | None = None, point_stride: int = 1, max_points: int | None = None) -> tuple[DataFrame, bool]:
+    """The points of a recording (all its files, as one), and whether max_points cut it.
+
+    Whole frames are kept while their points stay within max_points; a recording without a complete frame is an error.
+    """
+    register(spark)
+    options = {"stride": str(point_stride)} | ({"topic": topic} if topic else {})
+    points = frames.across_files(spark.read.format("lidar_mcap").options(**options).load(path), Path(path.rstrip("/")).name.removesuffix(".mcap"))
+    sizes = points.groupBy("recording", "frame_index").agg(F.count(F.lit(1)).alias("n_points"))
+    capped = frames.cap_points(sizes, max_points).persist()
+    kept, truncated = capped.where("kept"), bool(capped.where("truncated").take(1))
+    if not kept.take(1):
+        raise ValueError(f"{path} holds no complete frame" + (f" of {max_points} points at most" if max_points is not None else ""))
+    return (points if not truncated else points.join(kept.select("recording", "frame_index"), ["recording", "frame_index"], "left_semi")), truncated
+
+
 def _posed(points: DataFrame, trajectory: DataFrame, cfg: MovingConfig) -> tuple[DataFrame, DataFrame]:
-    """points with world coordinates, and their frames with times and pose status."""
+    """points with world coordinates, and their frames with times and pose status. Frames before the first or after the last
+    pose are left out; one in a gap between poses is an error."""
     times = points.select("session_id", "frame_index", F.col("header_time_ns").alias("time_ns")).distinct()
     timed = frames.relative_time(times)
     chosen = timed.where(F.col("relative_s") >= cfg.start_s)
     if cfg.end_s is not None:
         chosen = chosen.where(F.col("relative_s") < cfg.end_s)
     chosen = frames.stride(chosen, cfg.frame_stride, "frame_index")
-    posed = poses.at_times(chosen, trajectory, cfg.max_gap_ns)
+    posed = staged(poses.at_times(chosen, checked_trajectory(trajectory), cfg.max_gap_ns))  # one row a frame, read by all that follows
+    gaps = posed.where("pose_status = 'gap'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("time_ns").alias("first")).limit(5).collect()
+    if gaps:
+        raise ValueError(f"frames lie in gaps of the trajectory: {[r.asDict() for r in gaps]}")
     moved = poses.to_world(points.withColumnsRenamed({"x": "sx", "y": "sy", "z": "sz"}).withColumnsRenamed({"ux": "x", "uy": "y", "uz": "z"}), posed)
     if cfg.alignment is not None:
         aligned = apply_matrix(np.array(cfg.alignment), vector("wx", "wy", "wz"))
@@ -117,7 +158,8 @@ def reference_map(points: DataFrame, trajectory: DataFrame, cfg: MovingConfig) -
 
 
 def label_moving(points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig) -> DataFrame:
-    """points with world coordinates, distance to the reference, labels and reasons, and the time chunk of their frame.
+    """points with world coordinates, distance to the reference (exact in the covered volume, infinite outside it), labels
+    and reasons, and the time chunk of their frame.
 
     The whole session is one pass; chunks are a column to partition the output by.
     """
@@ -129,13 +171,22 @@ def label_moving(points: DataFrame, trajectory: DataFrame, reference: DataFrame,
     moved = moved.join(alone, key, "left").withColumn("isolated", F.coalesce("isolated", F.lit(False))).withColumn("input_valid", F.col("input_valid") & ~F.col("isolated"))
     covered = moved.where(F.col("input_valid") & cfg.rules.crop.shrunk(cfg.rules.margin).holds())
     reach = max([cfg.rules.structure_max, cfg.rules.smoke_min, *[b.min_distance or 0.0 for b in cfg.rules.confirmed]])
-    near = nearest.nearest_within(covered, reference, reach, key, ("wx", "wy", "wz"))
+    near = nearest.nearest_exact(covered, reference, reach, key, ("wx", "wy", "wz"))
     moved = moved.join(near.withColumnRenamed("distance", "nearest_distance"), key, "left").withColumn("nearest_distance", F.coalesce("nearest_distance", F.lit(float("inf"))).cast("float"))
     labelled = regions.classify(moved, cfg.rules, isolated="isolated")
     chunks = frames.time_chunks(posed.select("session_id", "frame_index", "relative_s"), cfg.chunk_s, cfg.start_s, cfg.end_s)
     return labelled.join(chunks.select("session_id", "frame_index", "chunk"), ["session_id", "frame_index"])
 
 
+def chunk_report(labelled: DataFrame) -> DataFrame:
+    """One row a session and time chunk of label_moving(): frames, points by label, and quantiles of the exact distances."""
+    by = ["session_id", "chunk"]
+    codes = (("unaffected", directional.UNAFFECTED), ("impacted", directional.IMPACTED), ("excluded", directional.EXCLUDED), ("ignored", directional.IGNORED))
+    counts = labelled.groupBy(*by).agg(F.count_distinct("frame_index").alias("frames"), F.count(F.lit(1)).alias("points"), *[F.count_if(F.col("label") == c).alias(n) for n, c in codes])
+    far = linear_by(labelled.where(F.col("nearest_distance") < float("inf")), by, "nearest_distance", {f"distance_p{str(q)[2:]}": q for q in (0.5, 0.9, 0.95, 0.99, 0.999)})
+    return counts.join(far, by, "left")
+
+
 def validate_clean(points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig) -> DataFrame:
     """False positives of the rules on a clean interval, with exact distances for their quantiles."""
     moved, _ = _posed(points, trajectory, cfg)
@@ -178,10 +229,12 @@ def inspect(points: DataFrame) -> DataFrame:
     """One row a recording: frames, points, ranges, time span, and which fields are ever set."""
     r = F.sqrt(F.col("x").cast("double") ** 2 + F.col("y").cast("double") ** 2 + F.col("z").cast("double") ** 2)
     good = F.when(~F.isnan(r) & (r < float("inf")), r)
-    return points.groupBy("recording").agg(
-        F.count_distinct("frame_index").alias("frames"), F.count(F.lit(1)).alias("points"), F.min(good).alias("range_min"), F.median(good).alias("range_median"), F.max(good).alias("range_max"),
+    middle = linear_by(points.select("recording", good.alias("_r")), ["recording"], "_r", {"range_median": 0.5})
+    out = points.groupBy("recording").agg(
+        F.count_distinct("frame_index").alias("frames"), F.count(F.lit(1)).alias("points"), F.min(good).alias("range_min"), F.max(good).alias("range_max"),
         (F.max("time_s") - F.min("time_s")).alias("span_s"), *[F.bool_or(F.col(c) != 0).alias(f"has_{c}") for c in ("reflectivity", "tag", "line")],
     )
+    return out.join(middle, "recording", "left")
 
 
 def split_plan(chunks: DataFrame, path: str | None = None, fractions: Sequence[float] = splits.FRACTIONS, purge: int = 20, domains: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
@@ -221,11 +274,19 @@ def load_split_plan(chunks: DataFrame, value: Mapping) -> DataFrame:
     return plan.where("role <> 'excluded'")
 
 
+def _usable(features: DataFrame) -> DataFrame:
+    """features, if all of them are finite."""
+    bad = [r.asDict() for r in voxels.unusable_features(features).limit(3).collect()]
+    if bad:
+        raise ValueError(f"features that aren't finite: {bad}")
+    return features
+
+
 def train_scorer(points: DataFrame, plan: DataFrame, voxel_size: float = 0.1, config: models.TrainConfig = models.TrainConfig(), checkpoint: str | None = None) -> tuple[models.Bundle, list[dict]]:
     """Features of each role's frames, then training. points: chunk_index, frame, x, y, z, intensity, label[, domain]."""
     placed = splits.role_points(points, plan)
     keys = ["role", "chunk_index", "frame", *[c for c in ("domain",) if c in points.columns]]
-    features = voxels.voxel_features(placed, voxel_size, keys).persist()
+    features = _usable(voxels.voxel_features(placed, voxel_size, keys).persist())
     parts = {r: features.where(F.col("role") == r) for r in splits.ROLES[:3]}
     out = models.train(parts, voxel_size, config, ("chunk_index", "frame"), "domain" if "domain" in points.columns else None, checkpoint)
     features.unpersist()
@@ -236,10 +297,10 @@ def evaluate_scorer(points: DataFrame, plan: DataFrame, bundle: models.Bundle, r
     """The report of a role's labelled points, overall and by group; scores stay at voxel level until they are counted."""
     keys = ["role", "chunk_index", "frame", *([by] if by else [])]
     features = voxels.voxel_features(splits.role_points(points, plan.where(F.col("role") == role)), bundle.voxel_size, keys)
-    scored = bundle.predict(features)
-    repeated = scored.withColumn("_l", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("n_pos").alias("n")), F.struct(F.lit(0).alias("label"), F.col("n_neg").alias("n")))))
-    rows = repeated.where("_l.n > 0").select(F.col("probability").cast("double").alias("score"), F.col("_l.label").alias("label"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_l.n"))).alias("_"), (F.col(by) if by else F.lit("all")).alias("domain"))
-    return metrics.report(rows, bundle.threshold, "domain")
+    scored = staged(bundle.predict(_usable(features)).where("n_pos + n_neg > 0").select(F.col("probability").cast("double").alias("score"), "n_pos", "n_neg", (F.col(by) if by else F.lit("all")).alias("domain")))
+    if metrics.invalid_inputs(scored.withColumn("label", F.lit(0))).take(1):
+        raise ValueError("the scorer gave scores that aren't finite")
+    return metrics.report(scored, bundle.threshold, "domain", positive=F.col("n_pos"), negative=F.col("n_neg"))
 
 
 def predict_points(points: DataFrame, bundle: models.Bundle, keys: Sequence[str] = ("recording", "frame_index")) -> DataFrame:

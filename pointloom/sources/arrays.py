@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from itertools import batched
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+#: Rows of an archive that is written.
+ROWS = 200_000
 _AXES = {2: "xy", 3: "xyz"}
 
 
@@ -52,11 +55,10 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        rows = list(iterator)
-        if rows:
+        for number, rows in enumerate(batched(iterator, ROWS)):  # one archive for so many rows, so that a task holds no more
             Path(self.folder).mkdir(parents=True, exist_ok=True)
             columns = {n: np.array([r[i] for r in rows]) for i, n in enumerate(self.names)}
-            np.savez_compressed(Path(self.folder) / f"part-{TaskContext.get().partitionId():05d}.npz", **columns)
+            np.savez_compressed(Path(self.folder) / f"part-{TaskContext.get().partitionId():05d}-{number:03d}.npz", **columns)
         return WriterCommitMessage()
 
 

@@ -31,35 +31,44 @@ class Cloud:
     data: bytes
 
 
-def decode_cloud(cloud: Cloud) -> np.ndarray:
-    """A structured array of all points, row by row without the rows' padding."""
-    order = ">" if cloud.big_endian else "<"
-    names, formats, offsets = [], [], []
-    for f in cloud.fields:
-        if f.datatype not in FORMATS or f.count < 1:
-            raise ValueError(f"field {f.name} has an unknown type")
-        kind = np.dtype(order + FORMATS[f.datatype])
-        if f.offset < 0 or f.offset + kind.itemsize * f.count > cloud.point_step:
-            raise ValueError(f"field {f.name} lies outside the point")
-        names.append(f.name)
-        formats.append(kind if f.count == 1 else (kind, (f.count,)))
-        offsets.append(f.offset)
-    if cloud.point_step < 1 or cloud.row_step < cloud.width * cloud.point_step:
+def _table(cloud: Cloud) -> np.ndarray:
+    """The cloud's bytes as one row a point, without what pads its rows."""
+    used = cloud.width * cloud.point_step
+    if cloud.point_step < 1 or used > cloud.row_step:
         raise ValueError("rows are shorter than their points")
-    if len(cloud.data) < cloud.row_step * cloud.height:
+    size = cloud.height * cloud.row_step
+    if size > len(cloud.data):
         raise ValueError("the cloud is truncated")
-    kind = np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": cloud.point_step})
-    rows = [np.frombuffer(cloud.data, kind, cloud.width, r * cloud.row_step) for r in range(cloud.height)]
-    return np.concatenate(rows) if rows else np.zeros(0, kind)
+    return np.frombuffer(cloud.data, np.uint8, size).reshape(cloud.height, cloud.row_step)[:, :used].reshape(-1, cloud.point_step)
 
 
-def lidar_columns(points: np.ndarray) -> dict[str, np.ndarray]:
+def _cut(table: np.ndarray, field: Field, order: str) -> np.ndarray:
+    """A field's bytes of every point as numbers; a field of several values is a row each."""
+    if field.count < 1 or field.datatype not in FORMATS:
+        raise ValueError(f"field {field.name} has an unknown type")
+    kind = np.dtype(order + FORMATS[field.datatype])
+    upto = field.offset + field.count * kind.itemsize
+    if not 0 <= field.offset < upto <= table.shape[1]:
+        raise ValueError(f"field {field.name} lies outside the point")
+    values = np.ascontiguousarray(table[:, field.offset : upto]).view(kind)
+    return values if field.count > 1 else values[:, 0]
+
+
+def decode_cloud(cloud: Cloud) -> dict[str, np.ndarray]:
+    """The fields of all points, row by row: each is cut out of the one table of bytes."""
+    table, order = _table(cloud), ">" if cloud.big_endian else "<"
+    return {f.name: _cut(table, f, order) for f in cloud.fields}
+
+
+def lidar_columns(points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The columns of a lidar frame: coordinates, intensity, tag, line, time_ns (rounded half-even) and point_index."""
-    missing = [n for n in REQUIRED if n not in (points.dtype.names or ())]
+    missing = [n for n in REQUIRED if n not in points]
     if missing:
         raise ValueError(f"the cloud lacks {', '.join(missing)}")
+    if points["timestamp"].ndim != 1 or not np.isfinite(points["timestamp"]).all():
+        raise ValueError("a timestamp isn't a finite number")
     out = {c: points[c].astype(np.float32) for c in ("x", "y", "z", "intensity")}
     out |= {c: points[c].astype(np.int16) for c in ("tag", "line")}
     out["time_ns"] = np.rint(points["timestamp"]).astype(np.int64)
-    out["point_index"] = np.arange(len(points), dtype=np.int64)
+    out["point_index"] = np.arange(len(out["time_ns"]), dtype=np.int64)
     return out

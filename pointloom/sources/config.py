@@ -6,6 +6,7 @@ import copy
 import hashlib
 import json
 import os
+import shutil
 import subprocess
 import sys
 import tomllib
@@ -25,18 +26,16 @@ def load_toml(path: str | Path, defaults: Mapping[str, Mapping[str, Any]] | None
 
     resolve: "section.key" entries that are paths relative to the file.
     """
-    source = Path(path).expanduser().resolve()
-    own = tomllib.loads(source.read_text(encoding="utf-8"))
-    out = copy.deepcopy({k: dict(v) for k, v in defaults.items()}) if defaults is not None else own
+    place = Path(path).expanduser().resolve()
+    with open(place, "rb") as f:
+        out = tomllib.load(f)
     if defaults is not None:
-        for section, values in own.items():
-            if section not in out:
-                raise ValueError(f"unknown section {section}")
-            out[section].update(values)
-    for name in resolve:
-        section, key = name.split(".")
-        if key in out.get(section, {}):
-            out[section][key] = str((source.parent / out[section][key]).resolve())
+        if strange := sorted(out.keys() - defaults.keys()):
+            raise ValueError(f"unknown sections: {', '.join(strange)}")
+        out = {name: copy.deepcopy(dict(values)) | out.get(name, {}) for name, values in defaults.items()}
+    for section, key in (name.split(".") for name in resolve):
+        if (value := out.get(section, {}).get(key)) is not None:
+            out[section][key] = str((place.parent / value).resolve())
     return out
 
 
@@ -76,25 +75,26 @@ def read_manifest(spark: SparkSession, path: str, version: int | str, verify: bo
     for k in ("frames", "points"):
         if k in value.get("totals", {}) and value["totals"][k] != sum(c[k] for c in chunks):
             raise ValueError(f"{k} of the chunks don't sum to the total")
-    rows = [{k: v for k, v in c.items() if k != "labels"} | {"chunk_index": i} | c.get("labels", {}) for i, c in enumerate(chunks)]
+    rows = [{k: v for k, v in c.items() if k not in ("labels", "files")} | {"chunk_index": i} | c.get("labels", {}) for i, c in enumerate(chunks)]
     out = spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
     if verify:
         base = path.rsplit("/", 1)[0]
-        files = spark.read.format("binaryFile").load([f"{base}/{c['path']}" for c in chunks]).select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.sha2("content", 256).alias("_sha"))
-        wrong = out.withColumn("_file", F.element_at(F.split("path", "/"), -1)).join(files, "_file", "left").where("not (sha256 <=> _sha)")
+        listed = [(f["path"], f.get("sha256")) for c in chunks for f in c.get("files") or [c]]
+        files = spark.read.format("binaryFile").load([f"{base}/{p}" for p, _ in listed])
+        files = files.select(F.substring_index("path", f"/{base.rsplit('/', 1)[-1]}/", -1).alias("path"), F.sha2("content", 256).alias("_sha"))
+        wrong = spark.createDataFrame(listed, "path string, sha256 string").join(files, "path", "left").where("not (sha256 <=> _sha)")
         if wrong.take(1):
-            raise ValueError("a chunk's checksum is wrong")
+            raise ValueError("a file's checksum is wrong")
     return out
 
 
-def _git(root: Path) -> dict[str, Any] | None:
-    def say(*args: str) -> str:
-        return subprocess.run(["git", "-C", str(root), *args], capture_output=True, text=True, timeout=5, check=True).stdout.strip()
-
-    try:
-        return {"commit": say("rev-parse", "HEAD"), "dirty": bool(say("status", "--porcelain"))}
-    except (OSError, subprocess.SubprocessError):
+def code_state(root: str | Path) -> dict[str, Any] | None:
+    """The commit that a folder is at and whether files differ from it; None where that can't be told."""
+    if not shutil.which("git"):
         return None
+    asked = subprocess.run(["git", "describe", "--always", "--exclude=*", "--abbrev=40", "--dirty"], cwd=root, capture_output=True, text=True)
+    commit, changed, _ = asked.stdout.strip().partition("-dirty")
+    return {"commit": commit, "dirty": bool(changed)} if asked.returncode == 0 else None
 
 
 def provenance(config: Mapping[str, Any], sources: Iterable[str | Path], packages: Iterable[str] = ("numpy", "pyarrow", "pyspark"), root: str | Path = ".") -> dict[str, Any]:
@@ -109,7 +109,7 @@ def provenance(config: Mapping[str, Any], sources: Iterable[str | Path], package
         "started_utc": datetime.now(UTC).isoformat(),
         "python": sys.version.split()[0],
         "packages": versions,
-        "git": _git(Path(root)),
+        "git": code_state(root),
         "config": dict(config),
         "config_sha256": sha256_json(config),
         "sources": [{"path": str(Path(s).resolve()), "sha256": sha256_file(s)} for s in sources],

@@ -118,7 +118,7 @@ def bag_messages(data: bytes) -> Iterator[BagMessage]:
     yield from walk(_records(data, len(MAGIC)))
 
 
-def cloud_message(data: bytes) -> tuple[int, str, np.ndarray]:
+def cloud_message(data: bytes) -> tuple[int, str, dict[str, np.ndarray]]:
     """Stamp, frame id and points of a point-cloud message."""
     c = Cursor(data)
     stamp, frame = c.header()
@@ -165,7 +165,7 @@ class _Reader(DataSourceReader):
             if self.kind == "points" and m.kind.endswith("PointCloud2"):
                 stamp, frame_id, points = cloud_message(m.data)
                 own = lidar_columns(points)
-                n = len(points)
+                n = len(own["time_ns"])
                 fixed = [pa.array([v] * n, t) for v, t in ((name, pa.string()), (m.topic, pa.string()), (frame, pa.int32()), (stamp, pa.int64()), (frame_id, pa.string()))]
                 order = ["point_index", "x", "y", "z", "intensity", "tag", "line", "time_ns"]
                 yield pa.RecordBatch.from_arrays(fixed + [pa.array(own[c]) for c in order], [c.split()[0] for c in _KINDS["points"].split(", ")])
