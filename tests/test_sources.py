@@ -144,3 +144,15 @@ def test_config(tmp_path):
     assert config.alignment({"matrix": [1.0] * 16, "validated": True}).shape == (4, 4)
     record = config.provenance({"k": 1}, [tmp_path / "c.toml"], root=tmp_path)
     assert record["git"] is None and len(record["config_sha256"]) == 64 and record["sources"][0]["sha256"] == config.sha256_file(tmp_path / "c.toml")
+
+
+def test_formats_are_known_in_other_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def round_trip():
+        register(spark)
+        spark.range(3).write.format("npz").mode("append").save(str(tmp_path / "archives"))
+        return sorted(r["id"] for r in spark.read.format("npz").load(str(tmp_path / "archives")).collect())
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(round_trip).result() == [0, 1, 2]
