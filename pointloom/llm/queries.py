@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, quality, secrets, sharding, substring, token_counts, topk
+from . import bpe, language, lexical, merkle, ngram_join, packing, pii, quality, secrets, sharding, substring, token_counts, topk
 from ._io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,53 @@ ORACLES["op9_quality_rules"] = r"""with
   from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id)
  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not (n_removed_words > 0 and n_words - n_removed_words < cast(0.34 as double) * n_words) kept from o"""
 
+ORACLES["op11_ranked_search"] = r"""with
+ d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+ i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from benchmark),
+ c as (select count(*) n, cast(sum(len(w)) as bigint) l from d where len(w) > 0),
+ p as (select doc_id, term, count(*) tf from d, unnest(w) t(term) group by all),
+ q as (select item_id, term, count(*) times from i, unnest(w) t(term) group by all),
+ f as (select term, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) weight from p, c where term in (select term from q) group by term, n),
+ m as (select doc_id, 100 - 75 + (75 * len(w) * n) // l m from d, c where len(w) > 0),
+ s as (select item_id, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) score from q join p using (term) join f using (term) join m using (doc_id) group by all),
+ r as (select *, row_number() over (partition by item_id order by score desc, doc_id) "rank" from s where score > 0)
+ select item_id, cast("rank" as integer) "rank", doc_id, score from r where "rank" <= 10"""
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql() -> str:
+    # Levels as one CTE each: eight in a language (8**8 rows), four above.
+    part = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    whole = lambda text: " || ".join(map(part, ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)))
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ord(k[i]))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295)"
+    ctes = [
+        "k as (select *, coalesce(cast(doc_id as varchar), '') k from documents)",
+        f"a as (select doc_id, lang, sha256({whole('text')}) leaf, case when {crc} % 3 = 0 then sha256({whole(_LOWERED)}) end changed from k)",
+        "g as (select *, dense_rank() over (order by lang nulls first) - 1 tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by lang) n from a)",
+        "t0 as (select tree, pos, n, leaf h from g)",
+    ]
+    levels = 12
+    for i in range(1, levels + 1):
+        # After the eighth level each language is one node: they become the nodes of one tree.
+        below = f"t{i - 1}" if i != 9 else "(select 0 tree, tree pos, count(*) over () n, h from t8)"
+        ctes.append(f"s{i} as (select *, pos // 8 run, coalesce(string_agg(h, '' order by pos) over (partition by tree, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') b, coalesce(string_agg(h, '' order by pos) over (partition by tree, pos // 8 order by pos rows between 1 following and unbounded following), '') e from {below} _)")
+        ctes.append(f"t{i} as (select tree, run pos, (n + 7) // 8 n, case when n > 1 then sha256(string_agg(h, '' order by pos)) else max(h) end h from s{i} group by tree, run, n)")
+    joins, at, tree, proof, folded = "", "g.pos", "g.tree", "''", "coalesce(g.changed, g.leaf)"
+    for i in range(1, levels + 1):
+        if i == 9:
+            at, tree = "g.tree", "0"
+        joins += f" join s{i} on s{i}.tree = {tree} and s{i}.pos = {at} // {8 ** ((i - 1) % 8)}"
+        proof += f" || case when s{i}.n > 1 then s{i}.b || s{i}.e else '' end"
+    ctes.append(f"j0 as (select g.doc_id, g.leaf, t8.h subroot, t{levels}.h root, sha256({proof}) proof_sha256, {folded} f, " + ", ".join(f"case when s{i}.n > 1 then s{i}.b end b{i}, s{i}.e e{i}" for i in range(1, levels + 1)) + f" from g{joins} join t8 on t8.tree = g.tree, t{levels})")
+    for i in range(1, levels + 1):
+        ctes.append(f"j{i} as (select * replace (case when b{i} is null then f else sha256(b{i} || f || e{i}) end as f) from j{i - 1})")
+    return "with\n " + ",\n ".join(ctes) + f"\n select doc_id, leaf, subroot, root, proof_sha256, f folded_root, f = root verified from j{levels}"
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
+
 
 @_query
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -124,3 +171,18 @@ def op9_quality_rules(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@_query
+def op11_ranked_search(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_language_id(spark, sf_dir):
+    return language.language_ids(table(spark, sf_dir, "documents")).drop("mixture")
+
+
+@_query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.every_third())
