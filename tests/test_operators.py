@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,34 @@ def test_stationary_workflow(spark):
     assert out.windows.count() == 8 and out.windows.agg(F.min("target_frame")).first()[0] == 4
     assert out.warnings == []
     assert {r["recording"] for r in out.summary.collect()} == {"clean", "smoke", None}
+
+
+def test_far_queries_meet_few_points(spark):
+    """A room of 120,000 wall and floor points: queries far from all of them are answered exactly, with few pairs."""
+    rng = np.random.default_rng(11)
+    n = 20_000
+    sides = [rng.uniform((0, 0, 0), (12, 9, 3), (n, 3)) for _ in range(6)]
+    for i, side in enumerate(sides):
+        side[:, i // 2] = (0, (12, 9, 3)[i // 2])[i % 2]
+    reference = np.concatenate([*sides, sides[0][:500]])  # with copies
+    queries = np.concatenate([rng.uniform((2, 2, 1), (10, 7, 2), (150, 3)), rng.normal(0, 300, (40, 3)), reference[:30] + 0.01, [[6, 4.5, 1.5]] * 20])
+    want = [float(np.sqrt(((reference - q) ** 2).sum(1)).min()) for q in queries]
+    left = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(queries)] + [(900, float("nan"), 0.0, 0.0), (901, None, 0.0, 0.0)], "id int, x double, y double, z double")
+    right = spark.createDataFrame(pd.DataFrame(reference, columns=["x", "y", "z"])).repartition(4)
+    got = {r["id"]: r["distance"] for r in nearest.nearest_exact(left, right, 0.25, ["id"]).collect()}
+    assert len(got) == len(want) + 2 and got[900] is None and got[901] is None
+    assert np.allclose([got[i] for i in range(len(want))], want, rtol=1e-12, atol=1e-12)
+    points = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate("xyz")]).distinct()
+    edge, levels = nearest.pyramid(points, 0.25)
+    cells = nearest.candidate_cells(left.where("id < 190").select(F.col("id").alias("_q"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate("xyz")]), levels, edge)
+    held = points.groupBy(*[c.alias(n) for n, c in zip(nearest._CELL, nearest._cells(["_r0", "_r1", "_r2"], edge), strict=True)]).count()
+    pairs = [r[0] for r in cells.join(held, list(nearest._CELL)).groupBy("_q").agg(F.sum("count")).select(F.col("sum(count)")).collect()]
+    assert len(pairs) == 190 and max(pairs) < 1500 and sum(pairs) / 190 < 300  # of 120,000
+
+
+def test_nearest_without_reference(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id int, x double, y double, z double")
+    assert nearest.nearest_exact(left, left.limit(0), 0.5, ["id"]).collect()[0]["distance"] is None
+    assert nearest.nearest_exact(left.limit(0), left, 0.5, ["id"]).count() == 0
+    one = spark.createDataFrame([(1, -7.0, 1e6, 3.0)], "id int, x double, y double, z double")
+    assert nearest.nearest_exact(left, one, 0.5, ["id"]).collect()[0]["distance"] == pytest.approx((49 + 1e12 + 9) ** 0.5)
