@@ -21,37 +21,65 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict
     return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
 
 
-#: Half the share of a group's rows that linear_by() orders for a quantile, and the accuracy that finds them: the share is
-#: several times the sketch's error, so the rows that a quantile lies between are always among them.
-SHARE, ACCURACY = 5e-4, 20_000
+#: Bins of a pass: by magnitude in the first one (2.5 % apart, both signs), then equal parts of a span.
+_SCALE, _SHIFT, _LAST, _PARTS = 40, 746, 65_000, 65_536
 
 
-def linear_by(rows: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """(by, names): exact quantiles of large groups, with linear interpolation; NULL and NaN take no part.
+def _magnitude(v: Column) -> Column:
+    """A bin number that never falls as v rises: logarithms are monotone, and so are products with constants and floor()."""
+    size = F.least(F.floor((F.ln(F.abs(v)) + _SHIFT) * _SCALE), F.lit(_LAST)) + 1
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+
 
-    A first pass finds by sketches between which values each quantile lies; a second counts what is below and orders only
-    the rows between. No buffer holds a group. Groups without values, or with a NULL key, have no row.
+def linear_columns(rows: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]], written: bool = False) -> DataFrame:
+    """(by, names): exact quantiles (column, q) of large groups, with linear interpolation; NULL and NaN take no part.
+
+    Quantiles are selected, not sorted: a histogram of all columns finds the bin of each wanted rank, and further passes
+    split only these bins, until a rank is its bin's least or largest value. Bins carry counts and ends, so they combine
+    before they are dealt, and no task holds more than 131,072 bins of a group and column, however large the group. Further
+    passes narrow a bin 65,536 times, or to single values if it has no more values than that; five are the most. The counts
+    of a split bin must add up to the bin's, else the query fails. Groups without values, or with a NULL key, have no row.
+    written: rows is a table that costs little to read, so it isn't staged again.
     """
-    own = staged(rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)"))  # the passes read this slim table
-    qs = list(quantiles.values())
-    ends = [F.percentile_approx("_v", F.array(F.lit(max(q - SHARE, 0.0)), F.lit(min(q + SHARE, 1.0))), ACCURACY) for q in qs]
-    frame = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*ends).alias("_ends"))
-    near = own.join(frame, list(by)) if by else own.crossJoin(F.broadcast(frame))  # one row
-    # One value more on either side: in a small group the sketch's ranks are a whole row apart from the quantile's.
-    low, high = (lambda i, k=k: F.col("_ends")[i][k] for k in (0, 1))
-    wider = [F.array(F.coalesce(F.max(F.when(F.col("_v") < low(i), F.col("_v"))), F.min(low(i))), F.coalesce(F.min(F.when(F.col("_v") > high(i), F.col("_v"))), F.min(high(i)))) for i in range(len(qs))]
-    frame = near.groupBy(*by).agg(F.max("_n").alias("_n"), F.array(*wider).alias("_ends"))
-    met = own.join(frame, list(by)) if by else own.crossJoin(F.broadcast(frame))  # one row
-    below = met.groupBy(*by).agg(F.array(*[F.count_if(F.col("_v") < F.col("_ends")[i][0]) for i in range(len(qs))]).alias("_below"), F.max("_n").alias("_n"))
-    asked = F.filter(F.sequence(F.lit(0), F.lit(len(qs) - 1)), lambda i: F.col("_v").between(F.get(F.get("_ends", i), F.lit(0)), F.get(F.get("_ends", i), F.lit(1))))
-    steps = met.select(*by, "_v", F.explode(asked).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counted = steps.join(below, list(by)) if by else steps.crossJoin(F.broadcast(below))  # one row
-    upto = F.get("_below", F.col("_i")) + F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v"))
-    at = (F.col("_n") - 1) * F.get(F.array(*map(F.lit, qs)), F.col("_i"))
-    placed = counted.withColumn("_upto", upto).withColumn("_at", at)
-    pick = lambda i, rank: F.min(F.when((F.col("_i") == i) & (F.col("_upto") > rank(F.col("_at"))), F.col("_v")))
-    share = lambda i: F.max(F.when(F.col("_i") == i, F.col("_at") - F.floor("_at")))
-    return placed.groupBy(*by).agg(*[(pick(i, F.floor) * (1 - share(i)) + pick(i, F.ceil) * share(i)).alias(name) for i, name in enumerate(quantiles)])
+    keys, columns = [f"_b{i}" for i in range(len(by))], list(dict.fromkeys(c for c, _ in wanted.values()))
+    group = [*keys, "_c"]
+    slim = rows.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], *[(F.col(c).cast("double") + F.lit(0.0)).alias(f"_v{j}") for j, c in enumerate(columns)])
+    own = slim.where(" and ".join(f"{k} is not null" for k in keys) or "true")
+    own = own if written else staged(own)  # the passes read a slim table
+    values = own.select(*keys, F.inline(F.array(*[F.struct(F.lit(j).alias("_c"), F.col(f"_v{j}").alias("_v")) for j in range(len(columns))]))).where("_v is not null and not isnan(_v)")
+    ends = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    def summed(bins: DataFrame, own: Sequence[str]) -> DataFrame:
+        return bins.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*own).orderBy("_bin", "_lo"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*own)))
+
+    within = (F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
+    asked = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(columns.index(c)).alias("_of"), F.lit(float(q)).alias("_q")) for i, (c, q) in enumerate(wanted.values())])
+    at = (F.col("_all") - 1) * F.col("_q")
+    two = F.array(*[F.struct(F.lit(k).alias("_end"), f(at).cast("long").alias("_rank"), (at - F.floor(at)).alias("_share")) for k, f in enumerate((F.floor, F.ceil))])
+    fields = [*group, "_i", "_end", "_share", "_rank", "_n", "_lo", "_hi"]
+    first = summed(values.groupBy(*group, _magnitude(F.col("_v")).alias("_bin")).agg(*ends), group)
+    first = first.select("*", F.inline(asked)).where("_of = _c").select("*", F.inline(two)).where(within)
+    found = staged(first.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).select(*fields))
+    unsettled = (F.col("_lo") < F.col("_hi")) & (F.col("_rank") > 0) & (F.col("_rank") < F.col("_n") - 1)
+    while (left := found.where(unsettled)).take(1):
+        spans = left.groupBy(*group).agg(F.collect_set(F.struct("_lo", "_hi", "_n")).alias("_spans"))  # one for each rank at most
+        met = values.join(spans, group).withColumn("_span", F.get(F.filter("_spans", lambda s: F.col("_v").between(s["_lo"], s["_hi"])), F.lit(0))).where("_span is not null")
+        low, high = F.col("_span._lo"), F.col("_span._hi")
+        part, one = F.floor((F.col("_v") - low) / (high - low) * (_PARTS - 1)), F.when(F.col("_span._n") <= _PARTS, F.col("_v"))
+        bins = summed(met.groupBy(*group, low.alias("_from"), F.col("_span._n").alias("_was"), part.alias("_bin"), one.alias("_one")).agg(*ends), [*group, "_from"])
+        sure = F.assert_true(F.col("_all") == F.col("_was"), F.lit("a quantile's bin doesn't hold what was counted")).isNull()
+        further = left.select(*group, "_i", "_end", "_share", "_rank", F.col("_lo").alias("_from")).join(bins.where(sure), [*group, "_from"]).where(within)
+        found = staged(found.where(~unsettled).unionByName(further.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).select(*fields)))
+    value = F.when(F.col("_rank") == 0, F.col("_lo")).otherwise(F.col("_hi"))
+    pick = lambda i, end, what: F.max(F.when((F.col("_i") == i) & (F.col("_end") == end), what))
+    share = lambda i: pick(i, 0, F.col("_share"))
+    mixed = [(pick(i, 0, value) * (1 - share(i)) + pick(i, 1, value) * share(i)).alias(name) for i, name in enumerate(wanted)]
+    return found.groupBy(*keys).agg(*mixed).select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *wanted)
+
+
+def linear_by(rows: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """linear_columns() of one column."""
+    return linear_columns(rows, by, {name: (value, q) for name, q in quantiles.items()})
 
 
 def linear(value: Column, q: float) -> Column:

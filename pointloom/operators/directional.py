@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import linear_by, nearest_rank
+from ..functions.quantiles import linear_columns, nearest_rank
+from ..functions.staging import staged
 from ..functions.semantics import atan2_signed, clip, f32, holds, is_finite, norm3
 
 UNAFFECTED, IMPACTED, EXCLUDED, IGNORED = 0, 1, 254, 255
@@ -105,8 +106,8 @@ def band_of(expected: Column, edges: Sequence[float], as_float: bool = True) ->
 def calibrate(looked_up: DataFrame, cfg: BandConfig, value: str = "range", as_float: bool = True) -> DataFrame:
     """One row a band, also for empty ones: n, normal and early thresholds (NULL under min_samples), usable."""
     rows = looked_up.where(F.col("valid_reference") & is_finite(F.col(f"expected_{value}"), F.col("residual"))).withColumn("band", band_of(F.col(f"expected_{value}"), cfg.edges, as_float)).where("band is not null")
-    rows = rows.select("band", F.abs("residual").alias("_size"), (-F.col("residual")).alias("_ahead"))
-    spread = linear_by(rows, ["band"], "_size", {"_normal": cfg.normal_q}).join(linear_by(rows, ["band"], "_ahead", {"_early": cfg.early_q}), "band")
+    rows = staged(rows.select("band", F.abs("residual").alias("_size"), (-F.col("residual")).alias("_ahead")))
+    spread = linear_columns(rows, ["band"], {"_normal": ("_size", cfg.normal_q), "_early": ("_ahead", cfg.early_q)}, written=True)
     stats = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).join(spread, "band")
     bands = rows.sparkSession.range(len(cfg.edges) - 1).select(F.col("id").cast("int").alias("band"))
     enough = F.coalesce(F.col("n") >= cfg.min_samples, F.lit(False))

@@ -301,3 +301,35 @@ def test_nearest_without_reference(spark):
     assert nearest.nearest_exact(left.limit(0), left, 0.5, ["id"]).count() == 0
     one = spark.createDataFrame([(1, -7.0, 1e6, 3.0)], "id int, x double, y double, z double")
     assert nearest.nearest_exact(left, one, 0.5, ["id"]).collect()[0]["distance"] == pytest.approx((49 + 1e12 + 9) ** 0.5)
+
+
+def test_quantiles_by_selection(spark):
+    """All quantiles of two columns at once, against numpy: ties, huge and tiny values, both signs, infinities, gaps."""
+    from pointloom.functions.quantiles import linear_columns
+
+    rng = np.random.default_rng(12)
+    groups = {
+        "a": rng.normal(0, 1, 4000), "b": np.repeat([1.5, -2.0, 7.0], 300), "c": 10.0 ** rng.uniform(-300, 300, 3000) * rng.choice([-1, 1], 3000), "d": np.array([3.25]),
+        "e": np.nextafter(1.0, 2.0) + np.arange(5000) * 2.0**-52, "f": np.concatenate((np.full(5, np.inf), np.zeros(7), np.full(5, -np.inf))), "g": np.arange(2000) * 5e-324, "h": np.float32(rng.normal(5, 1, 3000)).astype(float),
+    }
+    rows = [(g, float(v), -float(v) if i % 3 else None) for g, vs in groups.items() for i, v in enumerate(vs)]
+    rows += [("a", None, None), ("a", float("nan"), float("nan")), (None, 1.0, 1.0), ("none", None, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(4)
+    qs = (0.0, 0.03, 0.5, 0.999, 1.0)
+    wanted = {f"{c}{i}": (c, q) for c in "vw" for i, q in enumerate(qs)}
+    got = {r["g"]: r for r in linear_columns(df, ["g"], wanted).collect()}
+    assert set(got) == set(groups)
+    for g in groups:
+        for c, own in (("v", [v for k, v, _ in rows if k == g and v == v]), ("w", [w for k, _, w in rows if k == g and w is not None and w == w])):
+            own = sorted(x for x in own if x is not None)
+            for i, q in enumerate(qs):
+                if not own:
+                    assert got[g][f"{c}{i}"] is None
+                    continue
+                at = (len(own) - 1) * q
+                low, high, share = own[math.floor(at)], own[math.ceil(at)], at - math.floor(at)
+                want = low * (1 - share) + high * share
+                assert got[g][f"{c}{i}"] == want or want != want, (g, c, q)
+    whole = linear_columns(df, [], {"m": ("v", 0.5)}).collect()
+    assert len(whole) == 1 and whole[0]["m"] == np.median([v for _, v, _ in rows if v is not None and v == v])
+    assert linear_columns(df.limit(0), ["g"], wanted).count() == 0 and linear_columns(df.limit(0), [], wanted).collect()[0]["v0"] is None
