@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .models import scorer as models
 from .operators.directional import BandConfig
 from .plans import workflows
-from .sources import register
 from .sources.config import load_toml, provenance, write_json
 
 
@@ -48,11 +47,14 @@ def _parser() -> argparse.ArgumentParser:
             one.add_argument("--by")
         if name == "predict":
             one.add_argument("--keys", default="recording,frame_index")
+    for one in set(sub.choices.values()) - {split}:
+        one.add_argument("--topic", help="of a recording's messages; without it, the first one met")
+        one.add_argument("--max-points", type=int, help="whole frames of a recording are kept while they stay within it")
     return p
 
 
 def _model_command(spark: SparkSession, a: argparse.Namespace) -> None:
-    points = _recording(spark, a.points)
+    points = _recording(spark, a.points, a)
     if a.command == "predict":
         workflows.predict_points(points, models.Bundle.load(a.bundle), a.keys.split(",")).write.parquet(a.output)
         return
@@ -69,11 +71,14 @@ def _model_command(spark: SparkSession, a: argparse.Namespace) -> None:
     write_json(record, made | {"status": "complete", "history": history})
 
 
-def _recording(spark: SparkSession, path: str):
+def _recording(spark: SparkSession, path: str, a: argparse.Namespace):
+    """The points of a table, or of a recording: all its files as one."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    register(spark)
-    return spark.read.format("lidar_mcap").load(path)
+    points, truncated = workflows.load_recording(spark, path, a.topic, max_points=a.max_points)
+    if truncated:
+        print(f"{path}: only the first frames, of {a.max_points} points at most", file=sys.stderr)
+    return points
 
 
 def main(args: list[str] | None = None) -> int:
@@ -81,12 +86,12 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pointloom").getOrCreate()
     try:
         if a.command == "inspect":
-            workflows.inspect(_recording(spark, a.path)).show(truncate=False)
+            workflows.inspect(_recording(spark, a.path, a)).show(truncate=False)
         elif a.command == "label":
             c = load_toml(a.config)
             cfg = workflows.StationaryConfig(BandConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in c["bands"].items()}), **c.get("stationary", {}))
-            rows = _recording(spark, a.recordings)
-            out = workflows.label_stationary(_recording(spark, a.reference), _recording(spark, a.control), rows if "condition" in rows.columns else rows.withColumn("condition", F.lit("smoke_test")), cfg)
+            rows = _recording(spark, a.recordings, a)
+            out = workflows.label_stationary(_recording(spark, a.reference, a), _recording(spark, a.control, a), rows if "condition" in rows.columns else rows.withColumn("condition", F.lit("smoke_test")), cfg)
             out.points.write.partitionBy("recording").parquet(f"{a.output}/points")
             out.windows.write.json(f"{a.output}/windows")
             workflows.save_summary(f"{a.output}/summary.json", out.summary)

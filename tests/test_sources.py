@@ -156,3 +156,109 @@ def test_formats_are_known_in_other_threads(spark, tmp_path):
 
     with ThreadPoolExecutor(1) as pool:
         assert pool.submit(round_trip).result() == [0, 1, 2]
+
+
+def _indexed_mcap(chunks, indexed=True):
+    """chunks: lists of (channel, log time, data); channel 1 is /lidar, 2 is /other, 3 is /text (another schema)."""
+
+    def record(op, body):
+        return struct.pack("<BQ", op, len(body)) + body
+
+    names = record(3, struct.pack("<H", 1) + _s(mcap.SCHEMA_NAME) + _s("ros2msg") + struct.pack("<I", 0)) + record(3, struct.pack("<H", 2) + _s("std_msgs/String") + _s("ros2msg") + struct.pack("<I", 0))
+    for number, schema, topic in ((1, 1, "/lidar"), (2, 1, "/other"), (3, 2, "/text")):
+        names += record(4, struct.pack("<HH", number, schema) + _s(topic) + _s("cdr") + struct.pack("<I", 0))
+    out, infos, counts = mcap.MAGIC + record(1, _s("") + _s("test")), b"", {}
+    for messages in chunks:
+        inner, places = names, {}
+        for channel, time, data in messages:
+            places.setdefault(channel, []).append((time, len(inner)))
+            counts[channel] = counts.get(channel, 0) + 1
+            inner += record(5, struct.pack("<HIQQ", channel, 0, time, time) + data)
+        times = [t for _, t, _ in messages]
+        body = record(6, struct.pack("<QQQI", min(times), max(times), len(inner), 0) + _s("") + struct.pack("<Q", len(inner)) + inner)
+        at, out, offsets, first = len(out), out + body, b"", len(out) + len(body)
+        for channel, own in places.items():
+            offsets += struct.pack("<HQ", channel, len(out))
+            out += record(7, struct.pack("<HI", channel, 16 * len(own)) + b"".join(struct.pack("<QQ", *o) for o in own))
+        infos += record(8, struct.pack("<QQQQ", min(times), max(times), at, len(body)) + struct.pack("<I", len(offsets)) + offsets + struct.pack("<Q", len(out) - first) + _s("") + struct.pack("<QQ", len(inner), len(inner)))
+    if not indexed:
+        return out + record(15, b"") + mcap.MAGIC
+    stats = struct.pack("<QHIIIIQQ", sum(counts.values()), 2, 3, 0, 0, len(chunks), 0, 0) + struct.pack("<I", 10 * len(counts)) + b"".join(struct.pack("<HQ", *c) for c in counts.items())
+    out += record(15, struct.pack("<I", 0))
+    return out + names + infos + record(11, stats) + record(2, struct.pack("<QQI", len(out), 0, 0)) + mcap.MAGIC
+
+
+def test_mcap_is_split_by_chunks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    chunks, time = [], 0
+    for c in range(12):
+        messages = []
+        for _ in range(int(rng.integers(1, 6))):
+            time += 10
+            channel = 3 if c == 0 else int(rng.integers(1, 4))
+            points = [(i, c, i, time, 9, 1, 2) for i in range(int(rng.integers(0, 40)))]
+            messages.append((channel, time, lidar_message(points, timebase=time + 5) if channel < 3 else b"text"))
+        chunks.append(messages)
+    chunks[1].append((2, time + 1, lidar_message()))
+    for name, indexed in (("split", True), ("whole", False)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run_0.mcap").write_bytes(_indexed_mcap(chunks, indexed))
+        (tmp_path / name / "run_1.mcap").write_bytes(_indexed_mcap([[(2, 5, lidar_message())], [(1, 6, lidar_message())]], indexed))
+    register(spark)
+
+    def read(name, **options):
+        return spark.read.format("lidar_mcap").options(**options).load(str(tmp_path / name))
+
+    for options in ({}, {"topic": "/lidar"}, {"topic": "/other"}, {"topic": "/none"}, {"start_ns": "120", "end_ns": "230", "topic": "/lidar"}, {"stride": "3"}):
+        want = sorted(map(str, read("whole", **options).collect()))
+        assert sorted(map(str, read("split", split_bytes="900", **options).collect())) == want, options
+    first = next(ch for m in chunks for ch, _, _ in m if ch < 3)
+    assert {r["topic"] for r in read("split").select("topic").distinct().collect()} == {"", "/lidar", "/other"} & {["/lidar", "/other"][first - 1]}  # one topic for all files
+    assert read("split", topic="/lidar", split_bytes="900").rdd.getNumPartitions() > 4 >= read("whole", topic="/lidar").rdd.getNumPartitions()
+    path = str(tmp_path / "split" / "run_0.mcap")
+    whole, some = mcap.plan(path, "/lidar", 1, None, None), mcap.plan(path, "/lidar", 1, 120, 150)
+    size = lambda parts: sum(n for group, _ in parts for _, _, n in group)
+    assert 0 < size(some) < size(whole) / 2  # a time range reads fewer bytes
+
+
+def test_bag_is_split_by_chunks(spark, tmp_path):
+    def fields(**f):
+        return b"".join(struct.pack("<I", len(k) + 1 + len(v)) + k.encode() + b"=" + v for k, v in f.items())
+
+    def record(head, body):
+        return struct.pack("<I", len(head)) + head + struct.pack("<I", len(body)) + body
+
+    u, t = lambda n: struct.pack("<I", n), lambda ns: struct.pack("<II", ns // 10**9, ns % 10**9)
+    spec = [("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("intensity", 12, 7), ("tag", 16, 2), ("line", 17, 2), ("timestamp", 18, 8)]
+
+    def cloud_bytes(x, n):
+        body = b"".join(struct.pack("<ffffBBd", x, i, 3, 4, 5, 6, 2.5e9) for i in range(n))
+        return struct.pack("<III", 0, 2, 3) + _s("lidar") + struct.pack("<II", 1, n) + u(len(spec)) + b"".join(_s(a) + struct.pack("<IBI", o, k, 1) for a, o, k in spec) + struct.pack("<BII", 0, 26, 26 * n) + u(26 * n) + body + b"\1"
+
+    odometry = struct.pack("<III", 0, 2, 3) + _s("map") + _s("body") + struct.pack("<7d", 1, 2, 3, 0, 0, 0, 1) + struct.pack("<36d", *[0] * 36)
+    kinds = {0: ("/p", "sensor_msgs/PointCloud2"), 1: ("/o", "nav_msgs/Odometry"), 2: ("/q", "sensor_msgs/PointCloud2")}
+    connections = {c: record(fields(op=b"\x07", conn=u(c), topic=a.encode()), fields(topic=a.encode(), type=k.encode())) for c, (a, k) in kinds.items()}
+    rng, time = np.random.default_rng(9), 0
+    head = lambda at, n: record(fields(op=b"\x03", index_pos=struct.pack("<Q", at), conn_count=u(3), chunk_count=u(n)), b" " * 4000)
+    out, infos = rosbag.MAGIC + head(0, 0), b""
+    for c in range(9):
+        inner, counts, first = b"".join(connections.values()) if c == 0 else b"", {}, time
+        for _ in range(int(rng.integers(1, 6))):
+            time += 10
+            own = 0 if c == 4 else int(rng.integers(0, 3))
+            counts[own] = counts.get(own, 0) + 1
+            inner += record(fields(op=b"\x02", conn=u(own), time=t(time)), odometry if own == 1 else cloud_bytes(time, int(rng.integers(0, 30))))
+        infos += record(fields(op=b"\x06", ver=u(1), chunk_pos=struct.pack("<Q", len(out)), start_time=t(first + 10), end_time=t(time), count=u(len(counts))), b"".join(u(a) + u(b) for a, b in counts.items()))
+        out += record(fields(op=b"\x05", compression=b"none", size=u(len(inner))), inner)
+    place = len(out)
+    (tmp_path / "split.bag").write_bytes(out[: len(rosbag.MAGIC)] + head(place, 9) + out[len(rosbag.MAGIC) + len(head(0, 0)) :] + b"".join(connections.values()) + infos)
+    (tmp_path / "whole.bag").write_bytes(out)
+    register(spark)
+
+    def read(name, **options):
+        return spark.read.format("ros_bag").options(**options).load(str(tmp_path / f"{name}.bag"))
+
+    for options in ({}, {"topic": "/p"}, {"kind": "odometry"}, {"topic": "/q", "start_ns": "60", "end_ns": "170"}):
+        want = sorted(map(str, read("whole", **options).drop("bag").collect()))
+        assert want and sorted(map(str, read("split", split_bytes="500", **options).drop("bag").collect())) == want, options
+    assert read("split", split_bytes="500").rdd.getNumPartitions() > 3 and read("whole").rdd.getNumPartitions() == 1
