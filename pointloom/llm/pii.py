@@ -1,17 +1,25 @@
 """Personal data by fixed patterns, and information-theoretic sanitisation of what else reveals it.
 
 Emails, IP addresses, card and phone numbers (the protected entities) are found in every whole text. Corpus
-co-occurrence then estimates how strongly a term in an entity's documents reveals it: with N documents, a term t, an entity e and
-p = n(e) / N, the entity's share among the documents of the term is q = (n(t,e) + w p) / (n(t) + w), smoothed by a prior
-of weight w (half a document), and the pointwise mutual information log2(q / p) as a share of the entity's information
-log2(1 / p) is near 1 where the term gives the entity away and 0 or less where it tells nothing. The smoothing stands for
-a least number of documents: every entity has its estimate, also one in a single document. Terms at or above the
-threshold are further spans, of kind `term`, at every place in each document that holds the entity. sanitised()
-generalises entities to their kind and removes such terms.
-
-All three counts are of whole documents; words that touch a base span are no terms. Entities in exactly the same documents
-have the same counts, so they go as one set. A term is counted in the whole corpus only if its documents with entities
-don't rule it out: n(t) is no less than those, and the share falls as n(t) grows.
+co-occurrence then estimates how strongly a term in an entity's documents reveals it. With N documents, a term t and an
+entity e in p = n(e) / N of them, q = n(t,e) / n(t) is the entity's share among the term's documents. Only m documents
+vouch for q: those with both, where near copies (with one least shingle of five words) count once. The estimate that is
+judged is the lower one b = (m q + w p) / (m + w), drawn to p by w documents that speak against the term. A term
+discloses an entity if it leaves at most log2(1 / certainty) bits of it open, b >= certainty, and tells at least the share
+`threshold` of its information, log2(b / p) >= threshold * log2(1 / p). The first bound is the probability of the entity
+given the term and does not loosen as the corpus grows; the second keeps words from being flagged for entities that are
+everywhere. At the default weight a term needs three vouching documents.
+
+An entity that is too rare for that has its class to fall back on: the mail domain, the network (three parts of an
+address), the card's first six and the phone's first five digits are entities of their own for these estimates. Terms that
+disclose an entity or its class are further spans, of kind `term`, at every place in each document that holds it.
+sanitised() generalises entities to their kind and removes such terms.
+
+All counts are of whole documents; words that touch a base span are no terms. Entities in exactly the same documents have
+the same counts, so they go as one set, told apart by their number of documents and a 64-bit XOR of these documents'
+hashes. Terms and sets are not paired by whole documents: a set must hold `certainty` of the term's documents, so it is in
+one of any n(t) - ceil(certainty n(t)) + 1 of them, and candidates come from those with the fewest sets. So a directory of
+very many entities makes pairs only for terms of which most documents are such directories.
 
 Cases: a null or empty text has no spans; very long texts are searched whole, in time that grows with their length; null
 and repeated ids are rows of their own (see keyed()); an empty table gives an empty result; other columns are ignored.
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, member
 from ._io import carried, keyed, process_cache, restored, written
-from ._words import WordHasher, chunks, small
+from ._words import WordHasher, chunks, grams, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -43,14 +51,16 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 _CONTEXT = "array<struct<term:bigint,start:int,end:int>>"
+_SHINGLE = 5
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """prior: weight of the smoothing, in documents; a term needs threshold; bits: log2 of the term bitmap's size at most."""
+    """prior: documents that speak against a term; certainty, threshold: what a term needs; bits: log2 of the term bitmap's size at most."""
 
-    prior: float = 0.5
-    threshold: float = 0.9
+    prior: float = 2.5
+    certainty: float = 0.5
+    threshold: float = 0.5
     bits: int = 31
 
 
@@ -101,8 +111,8 @@ def _hasher() -> WordHasher:
     return process_cache("lower_words", lambda: WordHasher(lower=True))
 
 
-def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends (in characters) of the words that touch no span."""
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes, starts and ends (in characters) of the words that touch no span, and the text's least shingle."""
     data = text.encode()
     starts, ends, hashes = _hasher()(data)
     place = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
@@ -110,21 +120,24 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np
     free = np.ones(len(starts), bool)
     for s, _, e in spans:
         free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
-    return hashes[free].view(np.int64), starts[free], ends[free]
+    least = int(grams(hashes, min(_SHINGLE, len(hashes))).view(np.int64).min())
+    return hashes[free].view(np.int64), starts[free], ends[free], least
 
 
 def found(own: DataFrame, cfg: PiiConfig) -> DataFrame:
-    """Rows (_id, _key, base, context) of keyed documents; context: the terms of documents with entities."""
+    """Rows (_id, _key, base, context, shingle) of keyed documents; the last two are of documents with entities."""
     kind = own.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            base, context, bounds = [], [(np.zeros(0, np.int64),) * 3], [0]
+            base, context, bounds, least = [], [(np.zeros(0, np.int64),) * 3], [0], []
             for text in batch.column(2).to_pylist():
                 spans = entities(text)
                 base.append([{"start": s, "rank": k, "end": e, "value": text[s:e]} for s, k, e in spans])
+                least.append(None)
                 if spans:
-                    context.append(_terms(text, spans))
+                    *words, least[-1] = _terms(text, spans)
+                    context.append(tuple(words))
                 bounds.append(bounds[-1] + (len(context[-1][0]) if spans else 0))
             i32, span = pa.int32(), pa.struct
             term, start, end = (np.concatenate(x) for x in zip(*context, strict=True))
@@ -135,11 +148,12 @@ def found(own: DataFrame, cfg: PiiConfig) -> DataFrame:
                     batch.column(1),
                     pa.array(base, pa.list_(span([("start", i32), ("rank", i32), ("end", i32), ("value", pa.string())]))),
                     pa.ListArray.from_arrays(pa.array(bounds, i32), words),
+                    pa.array(least, pa.int64()),
                 ],
-                ["_id", "_key", "base", "context"],
+                ["_id", "_key", "base", "context", "shingle"],
             )
 
-    return own.select("_id", "_key", "text").mapInArrow(run, f"_id {kind}, _key long, base {_SPANS}, context {_CONTEXT}")
+    return own.select("_id", "_key", "text").mapInArrow(run, f"_id {kind}, _key long, base {_SPANS}, context {_CONTEXT}, shingle long")
 
 
 def document_counts(own: DataFrame, terms: DataFrame, cfg: PiiConfig) -> DataFrame:
@@ -161,33 +175,51 @@ def document_counts(own: DataFrame, terms: DataFrame, cfg: PiiConfig) -> DataFra
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def _share(n_joint: Column, n_term: Column, n_entity: Column, total: int, cfg: PiiConfig) -> Column:
+def _discloses(n_joint: Column, n_vouching: Column, n_term: Column, n_entity: Column, total: int, cfg: PiiConfig) -> Column:
     p = n_entity / F.lit(float(max(total, 1)))
-    q = (n_joint + cfg.prior * p) / (n_term + cfg.prior)
-    return F.when(p < 1, F.log2(q / p) / -F.log2(p)).otherwise(0.0)
+    b = (n_vouching * n_joint / n_term + cfg.prior * p) / (n_vouching + cfg.prior)
+    return (p < 1) & (b >= cfg.certainty) & (F.log2(b / p) >= cfg.threshold * -F.log2(p))
+
+
+def classes(base: Column) -> Column:
+    """The classes of the entities in base spans, as strings that no entity's own name is."""
+
+    def one(x: Column) -> Column:
+        digits = F.translate(x["value"], "+ ().-", "")
+        name = F.when(x["rank"] == 0, F.lower(F.substring_index(x["value"], "@", -1))).when(x["rank"] == 1, F.substring_index(x["value"], ".", 3))
+        return F.concat(x["rank"].cast("string"), F.lit(":"), name.when(x["rank"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5)))
+
+    return F.transform(base, one)
 
 
 def disclosing(own: DataFrame, staged: DataFrame, cfg: PiiConfig) -> DataFrame:
-    """(_key, terms): the terms that reveal an entity of the document at or above the threshold."""
-    total = own.count()
+    """(_key, terms): the terms that reveal an entity of the document, or its class."""
+    total, which = own.count(), ["set", "n_entity"]
     holds = staged.where(F.size("base") > 0)
-    held = holds.select("_key", F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
-    same = held.groupBy("entity").agg(F.bit_xor(F.xxhash64("_key")).alias("set"), F.count(F.lit(1)).alias("n_entity"))
-    # A term in more documents than `most` falls below the threshold even if all documents of the entity hold it.
-    p = F.col("n_entity") / F.lit(float(max(total, 1)))
-    most = F.floor((F.col("n_entity") + cfg.prior * p) / F.pow(p, F.lit(1 - cfg.threshold)) - cfg.prior + 1e-6)
-    sets = written(held.join(same, "entity").select("_key", "set", "n_entity", most.alias("most")).distinct())
-    terms = holds.select("_key", F.explode(F.array_distinct(F.transform("context", lambda x: x["term"]))).alias("term"))
-    largest = sets.agg(F.max("most")).first()[0] or 0
-    rare = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(F.col("n_held") <= largest)
-    by_doc = sets.groupBy("_key").agg(F.collect_list(F.struct("set", "n_entity", "most")).alias("sets"))
-    pairs = terms.join(rare, "term").join(by_doc, "_key").select("_key", "term", "n_held", F.explode(F.filter("sets", lambda x: x["most"] >= F.col("n_held"))).alias("x"))
-    pairs = written(pairs.select("_key", "term", "n_held", F.col("x.set").alias("set"), F.col("x.n_entity").alias("n_entity")))
-    joint = pairs.groupBy("term", "set", "n_entity").agg(F.count(F.lit(1)).alias("n_joint"), F.max("n_held").alias("n_held"))
-    share = lambda n: _share(F.col("n_joint"), F.col(n), F.col("n_entity"), total, cfg)
-    joint = written(joint.where(share("n_held") >= cfg.threshold).drop("n_held"))
-    flagged = joint.join(document_counts(own, joint, cfg), "term").where(share("n_term") >= cfg.threshold).select("term", "set")
-    return pairs.join(flagged, ["term", "set"]).groupBy("_key").agg(F.collect_set("term").alias("terms"))
+    names = F.concat(F.transform("base", lambda x: F.concat(F.lit("="), x["value"])), classes(F.col("base")))
+    held = written(holds.select("_key", F.explode(F.array_distinct(names)).alias("entity")))
+    # One document can't vouch for anything, so entities and terms of one are out. Aggregates are written before they are
+    # joined, so that Spark can split the rows of a frequent key.
+    same = written(held.groupBy("entity").agg(F.bit_xor(F.xxhash64("_key")).alias("set"), F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"))
+    sets = written(held.join(same, "entity").select("_key", *which).distinct())
+    by_doc = written(sets.groupBy("_key").agg(F.collect_list(F.struct(*which)).alias("sets"), F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("size")))
+    largest = sets.agg(F.max("n_entity")).first()[0] or 0
+    terms = holds.select("_key", "shingle", F.explode(F.array_distinct(F.transform("context", lambda x: x["term"]))).alias("term"))
+    met = written(terms.join(by_doc.select("_key", "size"), "_key"))
+    # The term's documents by how many sets they have (powers of two), and the power up to which a set that qualifies is met.
+    sizes = met.groupBy("term", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("n_met"), F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"))
+    asked = F.col("n_met") - F.ceil(F.col("n_met") * cfg.certainty) + 1
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("size"))
+    step = lambda x, y: F.when(x["n"] >= asked, x).otherwise(F.struct((x["n"] + y["n"]).alias("n"), y["size"].alias("size")))
+    light = sizes.where((F.col("n_met") > 1) & (F.col("n_met") * cfg.certainty <= largest)).select("term", "n_met", F.aggregate("sizes", start, step)["size"].alias("upto"))
+    few = met.join(written(light), "term").where("size <= upto").select("_key", "term", "n_met").join(by_doc, "_key")
+    candidates = few.select("term", "n_met", F.inline(F.filter("sets", lambda x: x["n_entity"] >= F.col("n_met") * cfg.certainty))).distinct()
+    pairs = written(met.join(written(candidates), "term").join(sets, ["_key", *which]).select("_key", "shingle", "term", "n_met", *which))
+    joint = pairs.groupBy("term", *which).agg(F.count(F.lit(1)).alias("n_joint"), F.count_distinct("shingle").alias("n_vouching"), F.max("n_met").alias("n_met"))
+    passes = lambda n: _discloses(F.col("n_joint"), F.col("n_vouching"), F.col(n), F.col("n_entity"), total, cfg)
+    joint = written(joint.where(passes("n_met")).drop("n_met"))
+    flagged = written(joint.join(document_counts(own, joint, cfg), "term").where(passes("n_term")).select("term", *which))
+    return pairs.join(flagged, ["term", *which]).groupBy("_key").agg(F.collect_set("term").alias("terms"))
 
 
 def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id") -> DataFrame:

@@ -152,7 +152,7 @@ def test_pii_base(docs, rows):
 
 
 def test_pii_terms(spark, empty, repeated, clashing):
-    items = [(i, f"some text about it, zanzibarite lives at zan@ex{i // 6}.org in town number {i}") for i in range(6)] + [(i, f"plain text {i} about town and it in some way at number") for i in range(6, 60)]
+    items = [(i, f"some text{i} about it{i}, zanzibarite lives{i} at zan@ex{i // 6}.org in{i} town number {i}") for i in range(6)] + [(i, f"plain text {i} about town and it in some way at number") for i in range(6, 60)]
     df = spark.createDataFrame(items, "doc_id long, text string")
     out = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(df)).collect()}
     at = items[0][1].index("zanzibarite")
@@ -179,16 +179,45 @@ def test_unorderable_columns_and_repeated_ids(spark, repeated):
         assert out.columns == odd.columns and rows and all(r["m"] == {"a": 1} and r["s"]["x"] == {"b": 2} for r in rows)
 
 
-def test_pii_terms_of_rare_entities(spark):
-    """Entities in one document and in two."""
-    plain = [(i, f"plain text about the usual things and number {i % 50}") for i in range(10, 400)]
-    items = [(0, "the usual solitaria at one@ex.org and things"), (1, "the doubletta at two@ex.org"), (2, "about doubletta at two@ex.org"), (3, "the tripletta at three@ex.org"), (4, "plain tripletta"), (5, "a tripletta")]
-    out = {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.createDataFrame(items + plain, "doc_id long, text string"))).collect()}
-    place = lambda i, w: f"term:{items[i][1].index(w)}:{items[i][1].index(w) + len(w)}"
-    assert out[0]["spans"].startswith(place(0, "solitaria")) and out[0]["n_term"] == 1
-    assert all(place(i, "doubletta") in out[i]["spans"] and out[i]["n_term"] == 1 for i in (1, 2))
-    assert out[3]["n_term"] == 0  # held by other documents too
-    assert not any(out[i]["n_term"] for i, _ in plain)
+def test_pii_terms_need_evidence(spark):
+    """One document, or copies of one, vouch for nothing; three do; a class vouches for its rare entities."""
+    plain = [(i, f"plain text about the usual things of it in a so or lives at by and number {i % 50}") for i in range(100, 2000)]
+    items = [(0, "mail bob@example.com zanzibarish typoo filler text")]
+    items += [(i, "a copied letter of copywordia that many people hold, from joe@copy.net to all of them") for i in range(1, 8)]
+    items += [(10 + i, f"the tripletta of story{i} lives at three@ex.org and place{i * 7} in town{i * 5}") for i in range(3)]
+    items += [(20 + i, f"note{i} by quadrupla at four@ey.org of some{i} kind{i}" if i < 3 else f"plain quadrupla and others{i}") for i in range(8)]
+    items += [(40 + i, f"story{i * 3} of classica and user{i}@rare.org or thing{i * 11} so on{i}") for i in range(4)]
+    table = spark.createDataFrame(items + plain, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.digest(pii.find_pii(table)).collect()}
+    place = lambda i, w: f"term:{dict(items)[i].index(w)}:{dict(items)[i].index(w) + len(w)}"
+    assert all(out[i]["n_term"] == 0 for i in (0, *range(1, 8), *range(20, 28), *(i for i, _ in plain)))
+    assert all(place(10 + i, "tripletta") in out[10 + i]["spans"] and out[10 + i]["n_term"] == 1 for i in range(3))
+    assert all(place(40 + i, "classica") in out[40 + i]["spans"] and out[40 + i]["n_term"] == 1 for i in range(4))  # every user is in one document
+
+
+def test_pii_rule_is_stable():
+    """What a term needs hardly depends on the size of the corpus."""
+    cfg = pii.PiiConfig()
+
+    def needs(total):
+        for n in range(1, 50):
+            p = 3 / total
+            b = (3 * min(3, n) / n + cfg.prior * p) / (3 + cfg.prior)
+            if b < cfg.certainty:
+                return n
+        return None
+
+    assert {needs(10**k) for k in (3, 6, 9, 12)} == {4}
+
+
+def test_pii_directory(spark):
+    """A directory of 20,000 addresses, each also in two other documents, doesn't pair them with its 20,000 words."""
+    lines = [f"name{i} u{i}@d{i % 7000}.org" for i in range(20000)]
+    items = [(0, "\n".join(lines))]
+    items += [(1 + k, "\n".join(lines[a : a + 40])) for k, a in enumerate([*range(0, 20000, 40), *range(20, 19980, 40)])]
+    table = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["n_term"] for r in pii.digest(pii.find_pii(table)).collect()}
+    assert len(out) == len(items) and out[0] > 10000  # a name and its address go together
 
 
 def brute_terms(items, cfg=pii.PiiConfig()):
@@ -198,12 +227,18 @@ def brute_terms(items, cfg=pii.PiiConfig()):
     every = {i: {w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for i, t in items}
     held = {i: {t[a:b] for a, _, b in spans[i]} for i, t in items}
     flagged = {i: set() for i, _ in items}
+    kinds = {i: {f"{k}:" + (t[a:b].split("@")[-1].lower() if k == 0 else t[a:b].rsplit(".", 1)[0] if k == 1 else re.sub("[^0-9]", "", t[a:b])[: 6 if k == 2 else 5]) for a, k, b in spans[i]} for i, t in items}
+    held = {i: {"=" + x for x in held[i]} | kinds[i] for i in held}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for i, t in items}
+    least = {i: min((" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))), key=lambda g: int(grams(WordHasher(True)(g.encode())[2], min(5, g.count(" ") + 1)).view(np.int64)[0])) for i, w in words.items() if held[i]}
     for e in set().union(*held.values()):
         own = [i for i in held if e in held[i]]
         p = len(own) / len(items)
         for w in {x[2] for i in own for x in terms[i]}:
-            q = (sum(any(x[2] == w for x in terms[i]) for i in own) + cfg.prior * p) / (sum(w in x for x in every.values()) + cfg.prior)
-            if np.log2(q / p) / -np.log2(p) >= cfg.threshold:
+            both = [i for i in own if any(x[2] == w for x in terms[i])]
+            m = len({least[i] for i in both})
+            b = (m * len(both) / sum(w in x for x in every.values()) + cfg.prior * p) / (m + cfg.prior)
+            if p < 1 and b >= cfg.certainty and np.log2(b / p) >= cfg.threshold * -np.log2(p):
                 for i in own:
                     flagged[i].add(w)
     return {i: [(a, b) for a, b, w in terms[i] if w in flagged[i]] for i, _ in items}
@@ -213,9 +248,9 @@ def test_pii_terms_of_whole_documents(spark):
     """Terms on other lines, far from the entity and repeated, against brute force."""
     rng = np.random.default_rng(8)
     plain = [(i, " ".join(f"w{x}é" for x in rng.integers(0, 40, 25))) for i in range(100, 500)]
-    far = " ".join(f"w{k % 40}é" for k in range(30))
-    items = [(i, f"Zanzibarite lives here\n{far}\nzan@ex.org\n{far} ZANZIBARITE\tagain zanzibarite") for i in range(4)]
-    items += [(10 + i, f"rare{i // 2} person{i}\n{far} u{i % 3}@ex.org {far} rare{i // 2} and 10.0.0.{i % 2} team{i % 3}") for i in range(9)]
+    far = lambda i: " ".join(f"w{k * (i + 3) % 40}é" for k in range(30))
+    items = [(i, f"Zanzibarite lives here in house{i}\n{far(i)}\nzan@ex.org\n{far(i)} ZANZIBARITE\tagain zanzibarite") for i in range(4)]
+    items += [(10 + i, f"rare{i // 4} person{i}\n{far(i)} u{i % 3}@ex.org {far(i)} rare{i // 4} and 10.0.0.{i % 2} team{i % 3}") for i in range(9)]
     want = brute_terms(items + plain)
     out = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(items + plain, "doc_id long, text string")).collect()}
     assert {i: [(s["start"], s["end"]) for s in x if s["rank"] == 4] for i, x in out.items()} == want
