@@ -8,8 +8,11 @@ planned on the driver and broadcast. It is stored as a table (version, slot, sha
 The law kept is `bytes`: shard sizes are near equal. (Slots depend on the id alone, so adding a shard is another edit of
 the map; see grown().)
 
-Cases: a null or empty text has 16 bytes; a null id hashes like any value; rows with equal ids and texts are separate
-rows, ordered by their bytes' checksum and then arbitrarily; an empty table gives an empty result; other columns are ignored.
+Where ids are null or repeated, an id would tie its rows to one slot, however many they are. Then rows are numbered in the
+order of id, checksum and size, and the slot is a hash of all four, so that the law holds for them as well.
+
+Cases: a null or empty text has 16 bytes; null and repeated ids spread over all slots, rows alike in everything included;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import scratch, written
+from ._io import plain_ids, scratch, written
 
 
 @dataclass(frozen=True)
@@ -135,14 +138,13 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig(), id_col: str = "doc_
     """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(data) + cfg.row_bytes).cast("long").alias("size"),
-            F.crc32(data).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(cfg.slots)).cast("int").alias("virtual_slot"),
-        )
-    )
+    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + cfg.row_bytes).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    known = ["doc_id"]
+    if not plain_ids(docs, id_col):
+        order = [F.col(c).asc_nulls_first() for c in ("doc_id", "text_crc32", "size")]
+        slim = written(slim.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+        known = ["doc_id", "text_crc32", "size", "_row"]
+    slim = written(slim.withColumn("virtual_slot", F.pmod(F.xxhash64(*known), F.lit(cfg.slots)).cast("int")))
     loads = slim.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     held = next_map(spark, loads.select("virtual_slot", "bytes"), cfg, map_path or scratch(spark))
     maps = spark.createDataFrame(list(enumerate(held)), "virtual_slot int, shard int")

@@ -360,6 +360,17 @@ def test_sharding(spark, docs, rows, empty, repeated):
     assert len(twice) == repeated.count() and all(sorted(o.slot) == list(range(len(o))) for _, o in twice.groupby("shard"))
 
 
+def test_sharding_of_null_and_repeated_ids(spark):
+    """The law holds where one id, or none, is on all rows, and where all rows are alike."""
+    rng = np.random.default_rng(5)
+    for rows in ([(None, "x" * int(rng.integers(0, 200))) for _ in range(4000)], [(7, "same")] * 3000 + [(i, "y" * (i % 90)) for i in range(3000)], [(None, None)] * 4000):
+        out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+        loads = out.groupby("shard")["size"].sum()
+        assert len(out) == len(rows) and len(loads) == 40 and loads.max() - loads.min() < 0.03 * loads.mean()
+        assert all(sorted(own.slot) == list(range(len(own))) for _, own in out.groupby("shard"))
+        assert out.virtual_slot.value_counts().max() < 40
+
+
 def test_stored_map(spark, tmp_path):
     """A kept map is edited from version to version; one more shard takes rows mostly into itself."""
     path = str(tmp_path / "map")
