@@ -1,11 +1,13 @@
 """A small multilayer scorer over voxel features.
 
 All points of a voxel share its score, so training and calibration use one row a voxel with its counts of labelled
-points as weights. The optimiser's loop runs on the driver over streamed partitions; inference is an Arrow function.
+points as weights. An epoch is one barrier stage: its tasks stream their frames, sum their gradients in every step, and apply
+the same update to the same weights, so the driver sees weights and sums only. Inference is an Arrow function.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 from collections.abc import Iterator, Sequence
@@ -14,13 +16,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import sigmoid
 from ..operators import metrics
-from ..operators.splits import shuffled
 from ..operators.voxels import FEATURES
 from ..sources.config import write_json
 
@@ -101,6 +103,9 @@ class AdamW:
 
 @dataclass(frozen=True)
 class TrainConfig:
+    """A step takes batch_frames frames of each worker; workers: tasks of an epoch at most (all run at once, and every step
+    sends each of them all workers' sums, some 30 kB a worker at the default layers)."""
+
     epochs: int = 30
     patience: int = 5
     rate: float = 1e-3
@@ -110,30 +115,98 @@ class TrainConfig:
     seed: int = 0
     batch_frames: int = 1
     max_hours: float = 4.0
+    workers: int = 8
+
+
+def dealt_frames(features: DataFrame, keys: Sequence[str], seed: int, workers: int) -> DataFrame:
+    """(keys, features, n_pos, n_neg) with whole frames dealt to so many partitions, there in a seeded order: by the first
+    key (chunks), then within it."""
+    order = [c for i, k in enumerate(keys) for c in (F.xxhash64(F.lit(seed), *keys[: i + 1]), F.col(k))]
+    rows = features.select(*keys, *FEATURES, "n_pos", "n_neg")
+    return rows.repartition(workers, F.xxhash64(*keys)).sortWithinPartitions(*order)
 
 
-def frame_batches(features: DataFrame, keys: Sequence[str], seed: int, batch_frames: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, n_pos, n_neg) of each batch of frames in a seeded order; partitions reach the driver one at a time."""
-    rows = shuffled(features.withColumnsRenamed(dict(zip(keys, ("chunk_index", "frame"), strict=True))), seed) if len(keys) == 2 else features.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
-    names = ("chunk_index", "frame") if len(keys) == 2 else tuple(keys)
+def frame_batches(batches: Iterator[pa.RecordBatch], keys: int, batch_frames: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, n_pos, n_neg) of so many frames each. Rows: the frames' keys first, frames together."""
     frame, held, count = None, [], 0
-    for r in rows.select(*names, *FEATURES, "n_pos", "n_neg").toLocalIterator(prefetchPartitions=True):
-        own = tuple(r[: len(names)])
-        if own != frame:
-            frame, count = own, count + 1
+    for batch in batches:
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        values = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(keys, batch.num_columns)], axis=1) if len(batch) else np.zeros((0, 0))
+        cuts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else frame)]
+        if len(names) and (not cuts or cuts[0]):
+            held.append(values[: cuts[0] if cuts else len(names)])  # more of the frame that the last batch ended with
+        for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+            count += 1
             if held and count > batch_frames:
                 yield _arrays(held)
                 held, count = [], 1
-        held.append(r[len(names) :])
+            held.append(values[a:b])
+        frame = names[-1] if names else frame
     if held:
         yield _arrays(held)
 
 
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a = np.array(rows, np.float64)
+def _arrays(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.concatenate(parts)
     return a[:, :-2], a[:, -2], a[:, -1]
 
 
+def _flat(values: Sequence[np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in values]) if values else np.zeros(0)
+
+
+def _shaped(flat: np.ndarray, like: Sequence[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([v.size for v in like])[:-1]
+    return [x.reshape(v.shape).copy() for x, v in zip(np.split(flat, cuts), like, strict=True)] if len(flat) else []
+
+
+def epoch(features: DataFrame, keys: Sequence[str], seed: int, config: TrainConfig, scorer: Scorer, adam: AdamW) -> tuple[Scorer, AdamW, float | None]:
+    """The scorer and optimiser after one pass over the frames, and the mean loss of its steps.
+
+    In each step every task gives the gradients of its next frames, weighted by their labelled points, and all tasks meet;
+    a task whose frames are used up gives nothing, and the pass ends when none gives any. If a task is lost, the stage
+    starts again from the weights that it was given, so the result is the same.
+    """
+    workers = max(1, min(config.workers, features.sparkSession.sparkContext.defaultParallelism))
+    given = (scorer.weights, scorer.biases, adam)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        weights, biases, own = given
+        net, steps = Scorer([w.copy() for w in weights], [b.copy() for b in biases]), []
+        optimiser = AdamW(own.rate, own.decay, own.step, [m.copy() for m in own.first], [m.copy() for m in own.second])
+        mine = frame_batches(batches, len(keys), config.batch_frames)
+        while True:
+            batch = next(mine, None)
+            sums = np.zeros(0)
+            if batch is not None:
+                x, pos, neg = batch
+                n = float(pos.sum() + neg.sum())
+                loss, gradients = net.gradients(x, pos, neg, config.pos_weight)
+                sums = np.concatenate(([n, n * loss], n * _flat(gradients)))
+            met = [np.frombuffer(base64.b64decode(m), np.float64) for m in context.allGather(base64.b64encode(sums.tobytes()).decode())]
+            met = [m for m in met if len(m)]
+            if not met:
+                break
+            total = np.sum(met, axis=0)
+            if total[0] == 0:
+                continue
+            if not np.isfinite(total[1]):
+                raise FloatingPointError("the loss isn't finite")
+            optimiser.update(net.values(), _shaped(total[2:] / total[0], net.values()))
+            steps.append(total[1] / total[0])
+        if context.partitionId() == 0:
+            state = [_flat(net.values()), _flat(optimiser.first), _flat(optimiser.second)]
+            columns = [pa.array([s.tolist()], pa.list_(pa.float64())) for s in state]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([optimiser.step], pa.int64()), pa.array([float(np.mean(steps)) if steps else None], pa.float64())], ["v", "m", "s", "step", "loss"])
+
+    row = dealt_frames(features, keys, seed, workers).mapInArrow(run, "v array<double>, m array<double>, s array<double>, step long, loss double", barrier=True).collect()[0]
+    like = scorer.values()
+    v, m, s = (_shaped(np.array(row[k], np.float64), like) for k in ("v", "m", "s"))
+    n = len(scorer.weights)
+    return Scorer(v[:n], v[n:]), AdamW(adam.rate, adam.decay, row["step"], m, s), row["loss"]
+
+
 def score(features: DataFrame, scorer: Scorer) -> DataFrame:
     """features with logit (double)."""
     weights, biases = [w.copy() for w in scorer.weights], [b.copy() for b in scorer.biases]
@@ -281,19 +354,11 @@ def train(parts: dict[str, DataFrame], voxel_size: float, config: TrainConfig =
     ready = {k: bundle.normalised(v).persist() for k, v in parts.items()}
     group = [domain] if domain else []
     best, kept, since, began = -1.0, replace_values(bundle.scorer), 0, time.time()
-    for epoch in range(len(history) + 1, config.epochs + 1):
-        losses = []
-        for x, pos, neg in frame_batches(ready["train"], keys, config.seed + epoch, config.batch_frames):
-            if pos.sum() + neg.sum() == 0:
-                continue
-            loss, gradients = bundle.scorer.gradients(x, pos, neg, config.pos_weight)
-            if not np.isfinite(loss):
-                raise FloatingPointError("the loss isn't finite")
-            adam.update(bundle.scorer.values(), gradients)
-            losses.append(loss)
+    for number in range(len(history) + 1, config.epochs + 1):
+        bundle.scorer, adam, loss = epoch(ready["train"], keys, config.seed + number, config, bundle.scorer, adam)
         table = metrics.cumulated(labelled_scores(score(ready["selection"], bundle.scorer), group), group)
         ap = metrics.average_precision(table, group).agg(F.avg("average_precision")).first()[0]
-        history.append({"epoch": epoch, "loss": float(np.mean(losses)) if losses else None, "selection_ap": ap})
+        history.append({"epoch": number, "loss": loss, "selection_ap": ap})
         if ap is not None and ap > best:
             best, kept, since = ap, replace_values(bundle.scorer), 0
         else:

@@ -44,6 +44,37 @@ def test_calibration(spark):
         models.calibrate(metrics.by_score(df.where("label = 1")))
 
 
+@pytest.mark.parametrize("workers", [1, 3])
+def test_epoch_is_the_sequential_loop(spark, workers):
+    """Summed gradients of all workers, step by step, against plain loops; one worker takes its frames one by one."""
+    rng = np.random.default_rng(2)
+    rows = [(c, f, *map(float, np.float32(rng.normal(size=len(models.FEATURES)))), int(rng.integers(0, 3)) * (f != 4), int(rng.integers(0, 5)) * (f != 4)) for c in range(2) for f in range(7) for _ in range(int(rng.integers(1, 6)))]
+    columns = ["chunk_index", "frame", *models.FEATURES, "n_pos", "n_neg"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if i < 2 or i > len(columns) - 3 else 'double'}" for i, c in enumerate(columns)))
+    config = models.TrainConfig(hidden=(6, 4), workers=workers, batch_frames=2, rate=0.01)
+    net, adam = models.Scorer.fresh(len(models.FEATURES), config.hidden, 1), models.AdamW(config.rate, config.decay)
+    got, state, loss = models.epoch(df, ["chunk_index", "frame"], 5, config, net, adam)
+    parts = [p for p in models.dealt_frames(df, ["chunk_index", "frame"], 5, workers).withColumn("p", F.spark_partition_id()).toPandas().groupby("p")]
+    queues = []
+    for _, own in parts:
+        frames = [own[(own.chunk_index == c) & (own.frame == f)] for c, f in own[["chunk_index", "frame"]].drop_duplicates().itertuples(index=False)]
+        queues.append([np.concatenate([x[[*models.FEATURES, "n_pos", "n_neg"]].to_numpy(float) for x in frames[i : i + 2]]) for i in range(0, len(frames), 2)])
+    assert sum(map(len, queues)) >= 7 and (workers == 1 or len(queues) > 1)
+    losses = []
+    while any(queues):
+        batches = [q.pop(0) for q in queues if q]
+        n = sum(b[:, -2:].sum() for b in batches)
+        if n == 0:
+            continue
+        x = np.concatenate(batches)
+        step, gradients = net.gradients(x[:, :-2], x[:, -2], x[:, -1], config.pos_weight)
+        adam.update(net.values(), gradients)
+        losses.append(step)
+    assert state.step == adam.step == len(losses) and loss == pytest.approx(np.mean(losses))
+    for a, b in zip([*got.values(), *state.first, *state.second], [*net.values(), *adam.first, *adam.second], strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
 def test_train_predict_resume(spark, tmp_path):
     points = _points(spark)
     chunks = spark.createDataFrame([(0, "stationary", "s", "a", 40, None)], "chunk_index long, domain string, session string, recording string, frames long, source_start_s double")
