@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import running_total
 from ..functions.semantics import is_finite
 from ..functions.staging import staged
 
@@ -67,13 +68,21 @@ def cap_points(frames: DataFrame, most: int | None, order: Sequence[str] = ("rec
     """
     if most is None:
         return frames.withColumn("kept", F.lit(True)).withColumn("truncated", F.lit(False))
-    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    after = F.sum("n_points").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = frames.withColumn("_after", after).withColumn("_before", F.col("_after") - F.col("n_points"))
+    if group:
+        after = F.sum("n_points").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        rows = frames.withColumn("_after", after)
+    else:
+        rows = running_total(frames, order, "n_points", "_after")
+    rows = rows.withColumn("_before", F.col("_after") - F.col("n_points"))
     rows = rows.withColumn("kept", (F.col("_before") < most) & (F.col("_after") <= most))
-    dropped = F.max((~F.col("kept")).cast("int")).over(own) == 1
-    reached = F.max(F.when(F.col("kept"), F.col("_after"))).over(own) >= most
-    return rows.withColumn("truncated", dropped | F.coalesce(reached, F.lit(False))).drop("_after", "_before")
+    dropped, reached = F.max((~F.col("kept")).cast("int")), F.max(F.when(F.col("kept"), F.col("_after")))
+    cut = lambda d, r: (d == 1) | F.coalesce(r >= most, F.lit(False))
+    if group:
+        own = Window.partitionBy(*group)
+        rows = rows.withColumn("truncated", cut(dropped.over(own), reached.over(own)))
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(cut(dropped, reached).alias("truncated"))))  # one row
+    return rows.drop("_after", "_before")
 
 
 def preview(df: DataFrame, most: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:

@@ -333,3 +333,18 @@ def test_quantiles_by_selection(spark):
     whole = linear_columns(df, [], {"m": ("v", 0.5)}).collect()
     assert len(whole) == 1 and whole[0]["m"] == np.median([v for _, v, _ in rows if v is not None and v == v])
     assert linear_columns(df.limit(0), ["g"], wanted).count() == 0 and linear_columns(df.limit(0), [], wanted).collect()[0]["v0"] is None
+
+
+def test_running_total_over_many_frames(spark):
+    from pointloom.functions.scan import running_total
+
+    df = spark.range(0, 300_000, 1, 8).select((F.col("id") % 7).cast("string").alias("recording"), F.col("id").alias("frame_index"), F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(50))).alias("n_points"))
+    got = running_total(df, ["recording", "frame_index"], "n_points", "after")
+    table = got.toPandas().sort_values(["recording", "frame_index"])
+    assert (table.after.to_numpy() == table.n_points.fillna(0).cumsum().to_numpy()).all()
+    spread = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 300_000  # no task holds them all
+    assert running_total(df.limit(0), ["frame_index"], "n_points", "after").count() == 0
+    capped = frames.cap_points(df.na.fill(0), 1_000_000)
+    kept = table[table.after <= 1_000_000]
+    assert capped.where("kept").count() == len(kept) and capped.where("not truncated").count() == 0
