@@ -13,10 +13,12 @@ _LOCAL: list[str] = []
 def scratch(spark: SparkSession) -> str:
     """A new path in the session's shared folder (spark.checkpoint.dir), removed when the application ends.
 
-    Only where the session names no folder, as in local tests, it is one of this machine.
+    Only where the session names no folder and runs on this machine alone, as in local tests, it is one of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="pointloom-"))
         base = _LOCAL[0]
