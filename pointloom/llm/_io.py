@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, removed when the application ends.
 
-    A machine-local folder is used only where the session names none, as in local tests.
+    A machine-local folder is used only where the session names none and runs on this machine alone, as in local tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         base = process_cache("scratch_base", lambda: tempfile.mkdtemp(prefix="pointloom-"))
     path = f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
