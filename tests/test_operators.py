@@ -348,3 +348,30 @@ def test_running_total_over_many_frames(spark):
     capped = frames.cap_points(df.na.fill(0), 1_000_000)
     kept = table[table.after <= 1_000_000]
     assert capped.where("kept").count() == len(kept) and capped.where("not truncated").count() == 0
+
+
+def test_many_boxes(spark):
+    """10,000 boxes of sizes from centimetres to the whole scene, by cells; the same as branches for few of them."""
+    rng = np.random.default_rng(13)
+    low = rng.uniform(-60, 60, (10_000, 3))
+    side = 10 ** rng.uniform(-1, 0.5, (10_000, 3))
+    boxes = [regions.Box(str(i), tuple(map(float, a)), tuple(map(float, a + b))) for i, (a, b) in enumerate(zip(low, side, strict=True))]
+    boxes[5] = regions.Box("all", (-100.0, -100.0, -100.0), (50.0, 100.0, 100.0))
+    points = np.concatenate([rng.uniform(-80, 80, (600, 3)), low[:50], (low + side)[50:100]])
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)] + [(9000, float("nan"), 0.0, 0.0), (9001, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, wx double, wy double, wz double")
+    a, b = np.array([x.low for x in boxes]), np.array([x.high for x in boxes])
+    inside = [np.flatnonzero(((a <= p) & (p <= b)).all(axis=1)) for p in points]
+    want = {i: int(x[-1]) if len(x) else -1 for i, x in enumerate(inside)} | {9000: -1, 9001: -1}
+    got = regions.with_last_region(df, boxes, "region")
+    assert got.columns == ["i", "wx", "wy", "wz", "region"] and dict(_rows(got, "i", "region")) == want
+    few = boxes[:40]
+    assert _rows(regions.with_last_region(df, few, "region"), "i", "region") == _rows(df.withColumn("region", regions.last_region(few)), "i", "region")
+    rules = regions.DistanceRules(regions.Box("crop", (-70.0,) * 3, (70.0,) * 3), 0.5, 0.1, 0.25, excluded=tuple(boxes[:90]), hard_negative=tuple(boxes[90:120]))
+    full = df.withColumn("nearest_distance", F.lit(0.4).cast("float")).withColumn("input_valid", F.lit(True))
+    joined = sorted(map(str, regions.classify(full, rules).collect()))
+    before, regions.BRANCHES = regions.BRANCHES, 1000
+    try:
+        assert sorted(map(str, regions.classify(full, rules).collect())) == joined
+    finally:
+        regions.BRANCHES = before
