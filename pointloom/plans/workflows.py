@@ -33,6 +33,7 @@ class StationaryConfig:
     sequence_length: int = 5
     max_gap_s: float = 0.25
     held_out_limit_percent: float = 0.2
+    least_points: int = 1000
 
 
 @dataclass
@@ -48,7 +49,8 @@ class StationaryResult:
 def label_stationary(reference: DataFrame, control: DataFrame, recordings: DataFrame, cfg: StationaryConfig) -> StationaryResult:
     """Labels recordings (points with recording, condition, frame_index, point_index, x, y, z, reflectivity, time_s).
 
-    The reference's cells come from one clean recording; thresholds from the control's first part, the rest is held out.
+    The reference's cells come from one clean recording; thresholds from the control's first part, the rest is held out;
+    each part needs cfg.least_points points.
     control is also one of the labelled recordings (condition clean_control).
     """
     for name, part in (("reference", reference), ("control", control)):
@@ -58,7 +60,11 @@ def label_stationary(reference: DataFrame, control: DataFrame, recordings: DataF
     layout = frames.frame_layout(control)
     split = frames.calibration_split(layout, cfg.calibration_fraction)
     looked = directional.look_up(directional.with_cells(control, cfg.resolution_deg), table, cfg.lookup).join(F.broadcast(split), "recording")  # one row a recording
-    bands = directional.calibrate(looked.where(F.col("time_s") < F.col("split_time_s")), cfg.bands).persist()
+    first = F.coalesce(F.col("time_s") < F.col("split_time_s"), F.lit(False))
+    sides = control.join(F.broadcast(split), "recording").agg(F.count_if(first).alias("first"), F.count_if(~first).alias("rest")).first()
+    if min(sides) < cfg.least_points:
+        raise ValueError(f"the control is too short: {sides['first']} points to calibrate and {sides['rest']} held out, not {cfg.least_points} each")
+    bands = directional.calibrate(looked.where(first), cfg.bands).persist()
     points = recordings.unionByName(control.withColumn("condition", F.lit("clean_control")), allowMissingColumns=True)
     labelled = directional.label_residuals(directional.look_up(directional.with_cells(points, cfg.resolution_deg), table, cfg.lookup), bands, cfg.bands)
     labelled = directional.mask_invalid(labelled, directional.input_valid(cfg.minimum_range, cfg.maximum_range, "x", "y", "z"))

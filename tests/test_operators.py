@@ -270,6 +270,8 @@ def test_stationary_workflow(spark):
     assert out.windows.count() == 8 and out.windows.agg(F.min("target_frame")).first()[0] == 4
     assert out.warnings == []
     assert {r["recording"] for r in out.summary.collect()} == {"clean", "smoke", None}
+    with pytest.raises(ValueError, match="900 points to calibrate and 900 held out"):
+        workflows.label_stationary(recording("ref", False), recording("clean", False).where("frame_index < 6"), recording("smoke", True), cfg)
 
 
 def test_far_queries_meet_few_points(spark):
