@@ -1,16 +1,21 @@
-"""Substring deduplication: exact window hashing behind a filter of winnowed anchors (no join on anchors, no extension).
+"""Substring deduplication by seed and extend: documents meet on winnowed anchors, matches are extended word by word.
 
 Seeds: of every `window` consecutive words, the k-word gram with the least hash (the leftmost of equals) is the window's
-anchor, so equal windows have equal anchors at equal places. Anchors are counted over the corpus; only windows whose
-anchor occurs twice can repeat. Windows: each window with such an anchor is hashed whole, and every window but the first
-of its kind (least document, then least start) is covered; runs of covered windows are the maximal repeats over the length
-threshold, and their words are removed.
+anchor, so equal windows have equal anchors at equal places. Anchors are counted over the corpus; only those that occur
+twice go on, each with the words of the windows that it is the anchor of.
 
-Nothing is compared in pairs: anchors and windows meet by hash, combined within each batch first, so a passage that many
-documents hold costs one row a batch. Whole copies are known by their fingerprint and take no part beyond it.
+Extension: an anchor's occurrences are joined with its first one (least document, then least place), never in pairs, and
+the match is extended left and right while words agree. Windows inside the match occur earlier. An occurrence's other
+windows can equal only windows that stayed open likewise: there the window itself is the seed, joined with the first of
+its kind. Covered windows that run together are the maximal repeats over the length threshold; their words are removed.
 
-Words and windows are told apart by 64-bit hashes. Cases: a null or empty text has no words; a text of any length is
-worked on whole; null and repeated ids are rows of their own (see keyed()); an empty table gives an empty result; other
+Both joins are combined within each batch first (occurrences that the batch's own first one settles are not dealt), and
+their other side is a written table of one row a seed, so that a hot seed can be split. Whole copies are known by their
+fingerprint and take no part beyond it.
+
+Anchors only propose: words decide across batches, 64-bit word hashes compared place by place within one. Open windows are
+told apart by 128-bit hashes, whole copies by 64-bit ones. Cases: a null or empty text has no words; a text of any length
+is worked on whole; null and repeated ids are rows of their own (see keyed()); an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -21,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bitmap import bitmap, member
 from ._io import carried, keyed, process_cache, restored, written
-from ._words import WordHasher, chunks, grams, mix, small
+from ._words import LONG_WORD, WordHasher, chunks, grams, mix, small
 
 
 @dataclass(frozen=True)
@@ -103,70 +109,167 @@ def _anchors(hashes: np.ndarray, bounds: np.ndarray, cfg: SubstringConfig) -> tu
     return inside, place[inside], codes
 
 
-def _runs(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, length) of runs of consecutive starts; sorted input."""
-    if not len(rows):
-        return rows, starts, starts
-    fresh = np.concatenate(([True], (np.diff(rows) != 0) | (np.diff(starts) != 1)))
-    at = np.flatnonzero(fresh)
-    return rows[at], starts[at], np.diff(np.concatenate((at, [len(rows)])))
+@dataclass
+class _Part:
+    """The documents of a part of a batch: keys, the words of all in a row (bytes and hashes), and each one's bounds."""
+
+    keys: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+    def words(self, first: int, last: int) -> bytes:
+        """Words first to last, joined by single spaces; a very long one as its digest behind a tab, which no word holds."""
+        text = self.data[self.starts[first] : self.ends[last]]
+        parts = text.split()
+        if len(text) > LONG_WORD:
+            parts = [w if len(w) <= LONG_WORD else b"\t" + xxhash.xxh3_128_hexdigest(w).encode() for w in parts]
+        return b" ".join(parts)
+
+
+def _part(texts: list, keys: np.ndarray, cfg: SubstringConfig, copies: Copies) -> _Part:
+    """The texts of a window's words at least that aren't known copies; the others are there without words."""
+    parts = [b"" if t is None else t.encode() for t in texts]
+    data = b"\n".join(parts)
+    starts, ends, hashes = _hasher()(data)
+    begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+    bounds = np.searchsorted(starts, begins, "left")
+    sizes = np.diff(bounds)
+    keep = (sizes >= cfg.window) & ~later_copies(copies, _fingerprints(hashes, bounds), keys)
+    own = np.repeat(keep, sizes)
+    return _Part(keys, data, starts[own], ends[own], hashes[own], np.concatenate(([0], np.cumsum(np.where(keep, sizes, 0)))))
+
+
+def _agreeing(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
+    """How many words in a row are equal from places a and b on, in the direction of step, most at most."""
+    out, going = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for j in range(int(most.max()) if len(most) else 0):
+        x, y = np.where(going & (j < most), a + j * step, 0), np.where(going & (j < most), b + j * step, 0)
+        going &= (j < most) & (hashes[x] == hashes[y])
+        out += going
+    return out
+
+
+def _settled(part: _Part, place: np.ndarray, first: np.ndarray, n: np.ndarray, pivot: np.ndarray, cfg: SubstringConfig) -> np.ndarray:
+    """Which occurrences (anchor's place, first window, number of windows) lie wholly in the match with their pivot.
+
+    A match that is extended from the anchor holds all of an occurrence's windows if it holds the words from the first
+    window's start to the last one's end, and the pivot has windows there.
+    """
+    ahead, behind = place - first, first + n - 1 + cfg.window - place
+    room = (ahead <= ahead[pivot]) & (behind <= behind[pivot])
+    left = _agreeing(part.hashes, place - 1, place[pivot] - 1, -1, np.where(room, ahead, 0))
+    right = _agreeing(part.hashes, place, place[pivot], 1, np.where(room, behind, 0))
+    return room & (left == ahead) & (right == behind) & (pivot != np.arange(len(place)))
+
+
+def matched(words: list[bytes], ahead: int, pivot: list[bytes], pivot_ahead: int, cfg: SubstringConfig) -> tuple[int, int]:
+    """(first, end): the windows of words (counted from their start) inside the match with pivot.
+
+    The anchors stand at ahead and pivot_ahead; the match is extended from there both ways. Windows hold the anchor.
+    """
+    if words[ahead : ahead + cfg.gram] != pivot[pivot_ahead : pivot_ahead + cfg.gram]:
+        return 0, 0  # different grams of one hash
+    left = 0
+    while left < min(ahead, pivot_ahead) and words[ahead - 1 - left] == pivot[pivot_ahead - 1 - left]:
+        left += 1
+    right = cfg.gram
+    while right < min(len(words) - ahead, len(pivot) - pivot_ahead) and words[ahead + right] == pivot[pivot_ahead + right]:
+        right += 1
+    first = ahead - left
+    return first, max(first, ahead + right - cfg.window + 1)
 
 
 def covered_windows(docs: DataFrame, cfg: SubstringConfig, copies: Copies) -> DataFrame:
     """Rows (_key, start, run): windows start, start+1, ... start+run-1 of the document occur earlier."""
     shared = docs.sparkSession.sparkContext.broadcast(copies)  # cfg.copies entries at most
 
-    def fresh(batch: pa.RecordBatch):
-        """Keys, word hashes and bounds of the documents that aren't known copies, in parts."""
-        hasher = _hasher()
-        keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            hashes, bounds = hasher.texts(texts[a:b])
-            own = keys[a:b]
-            keep = (np.diff(bounds) >= cfg.window) & ~later_copies(shared.value, _fingerprints(hashes, bounds), own)
-            sizes = np.where(keep, np.diff(bounds), 0)
-            yield own, hashes[np.repeat(keep, np.diff(bounds))], np.concatenate(([0], np.cumsum(sizes)))
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
+        for batch in small(batches):
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                yield _part(texts[a:b], keys[a:b], cfg, shared.value)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for _, hashes, bounds in fresh(batch):
-                _, places, codes = _anchors(hashes, bounds, cfg)
-                found, n = np.unique(codes[np.unique(places)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
+        for part in fresh(batches):
+            _, places, codes = _anchors(part.hashes, part.bounds, cfg)
+            found, n = np.unique(codes[np.unique(places)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     seeds = docs.select("_key", "text").mapInArrow(seed, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     seeds = written(seeds.select("anchor"))
     known = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "anchor", cfg.bits))
 
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in fresh(batches):
+            starts, places, codes = _anchors(part.hashes, part.bounds, cfg)
+            place, at, n = np.unique(places, return_index=True, return_counts=True)  # an anchor's windows are consecutive
+            seen = member(known.value, codes[place])
+            place, first, n = place[seen], starts[at[seen]], n[seen]
+            row = np.searchsorted(part.bounds, first, "right") - 1
+            code = codes[place]
+            order = np.lexsort((place, part.keys[row], code))
+            head = np.concatenate(([True], code[order][1:] != code[order][:-1])) if len(order) else np.zeros(0, bool)
+            pivot = np.zeros(len(order), np.int64)
+            pivot[order] = order[head][np.cumsum(head) - 1] if len(order) else order
+            done = _settled(part, place, first, n, pivot, cfg)
+            # What this batch settles needs no words; consecutive windows go on as one run.
+            r, s, length = row[done], first[done], n[done]
+            fresh_run = np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + length[:-1]))) if len(r) else np.zeros(0, bool)
+            runs = np.add.reduceat(length, np.flatnonzero(fresh_run)) if len(r) else length
+            r, s, go = r[fresh_run], s[fresh_run], np.flatnonzero(~done)
+            words = [part.words(int(f), int(f + k) + cfg.window - 2) for f, k in zip(first[go], n[go], strict=True)]
+            out = [
+                pa.array(np.concatenate((code[go].view(np.int64), np.zeros(len(r), np.int64)))),
+                pa.array(np.concatenate((part.keys[row[go]], part.keys[r]))),
+                pa.array(np.concatenate((first[go] - part.bounds[row[go]], s - part.bounds[r])).astype(np.int32)),
+                pa.array(np.concatenate((np.zeros(len(go), np.int64), runs)).astype(np.int32)),
+                pa.array(np.concatenate((place[go] - first[go], np.zeros(len(r), np.int64))).astype(np.int32)),
+                pa.array(words + [None] * len(r), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(out, ["anchor", "_key", "start", "run", "ahead", "words"])
+
+    rows = written(docs.select("_key", "text").mapInArrow(occurrences, "anchor long, _key long, start int, run int, ahead int, words binary"))
+    open_ones = rows.where("run = 0").drop("run")
+    # An anchor's first occurrence combines before it is dealt, and stands as a plain table: the join can be split at an
+    # anchor that very many batches hold. Of one document the first place is meant, so the anchor's place counts.
+    where = F.struct("_key", (F.col("start") + F.col("ahead")).alias("place"))
+    pivots = open_ones.groupBy("anchor").agg(F.min(F.struct(where.alias("at"), "ahead", "words")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = written(pivots.select("anchor", F.col("p.at._key").alias("_k"), (F.col("p.at.place") - F.col("p.ahead")).alias("_s"), F.col("p.ahead").alias("_a"), F.col("p.words").alias("_w")))
+    pairs = open_ones.join(pivots, "anchor").where("_key <> _k or start <> _s").select("_key", "start", "ahead", "words", "_a", "_w")
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for keys, hashes, bounds in fresh(batch):
-                starts, places, codes = _anchors(hashes, bounds, cfg)
-                starts = starts[member(known.value, codes[places])]
-                content = grams(hashes, cfg.window)[starts]
-                row = np.searchsorted(bounds, starts, "right") - 1
-                order = np.lexsort((starts, keys[row], content))
-                content, row, at = content[order], row[order], (starts - bounds[row])[order]
-                first = np.concatenate(([True], content[1:] != content[:-1])) if len(content) else np.zeros(0, bool)
-                # Windows that occur earlier in this batch are settled; the first of each kind goes on.
-                again = np.lexsort((at[~first], row[~first]))
-                r, s, n = _runs(row[~first][again], at[~first][again])
-                out = [
-                    np.concatenate((content[first].view(np.int64), np.zeros(len(r), np.int64))),
-                    np.concatenate((keys[row[first]], keys[r])),
-                    np.concatenate((at[first], s)),
-                    np.concatenate((np.zeros(int(first.sum()), np.int64), n)),
-                ]
-                kinds = (np.int64, np.int64, np.int32, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, kinds, strict=True)], ["content", "_key", "start", "run"])
-
-    rows = written(docs.select("_key", "text").mapInArrow(extend, "content long, _key long, start int, run int"))
-    # The first of each kind combines before it is dealt, and stands as a plain table: the join can be split at a window
-    # that very many batches hold.
-    kinds = rows.where("run = 0").groupBy("content").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            content, keys, at, run = [], [], [], []
+            for key, start, ahead, text, pivot_ahead, pivot_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split(b" ")
+                n = len(words) - cfg.window + 1
+                if text == pivot_text and ahead == pivot_ahead:
+                    low, high = 0, n
+                else:
+                    low, high = matched(words, ahead, pivot_text.split(b" "), pivot_ahead, cfg)
+                if high > low:
+                    content.append(None)
+                    keys.append(key)
+                    at.append(start + low)
+                    run.append(high - low)
+                for i in range(n):
+                    if not low <= i < high:
+                        content.append(xxhash.xxh3_128_digest(b" ".join(words[i : i + cfg.window])))
+                        keys.append(key)
+                        at.append(start + i)
+                        run.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(run, pa.int32())], ["content", "_key", "start", "run"])
+
+    matches = written(pairs.mapInArrow(extend, "content binary, _key long, start int, run int"))
+    left = matches.where("run = 0")
+    kinds = left.groupBy("content").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     kinds = written(kinds.select("content", F.col("first._key").alias("_k"), F.col("first.start").alias("_s")))
-    later = rows.where("run = 0").join(kinds, "content").where("_key <> _k or start <> _s").select("_key", "start", F.lit(1).alias("run"))
-    return rows.where("run > 0").select("_key", "start", "run").unionByName(later)
+    later = left.join(kinds, "content").where("_key <> _k or start <> _s").select("_key", "start", F.lit(1).alias("run"))
+    spans = rows.where("run > 0").unionByName(matches.where("run > 0"), allowMissingColumns=True).select("_key", "start", "run")
+    return spans.unionByName(later)
 
 
 def substring_dedup(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), id_col: str = "doc_id") -> DataFrame:

@@ -124,6 +124,34 @@ def test_substring_of_odd_tables(empty, repeated, clashing):
     assert out.where("doc_id = 9").first()["text"].startswith("this work")
 
 
+def test_substring_variants(spark):
+    """Few different words and short windows: an anchor's occurrences stand in many different surroundings."""
+    rng = np.random.default_rng(4)
+    for seed, cfg in enumerate((substring.SubstringConfig(window=6, gram=3), substring.SubstringConfig(window=5, gram=1, copies=0))):
+        stock = [" ".join(f"w{j}" for j in rng.integers(0, 6, 40)) for _ in range(6)]
+        items = []
+        for i in range(120):
+            own = [f"w{j}" for j in rng.integers(0, 9, int(rng.integers(0, 30)))]
+            piece = stock[int(rng.integers(0, 6))].split()[int(rng.integers(0, 20)) :]
+            items.append((i, " ".join(own + piece + (["long" * 90 + str(i % 2)] + own[:9] if i % 3 else []))))
+        table = spark.createDataFrame(items, "doc_id long, text string").repartition(7 + seed)
+        got = sorted(tuple(r) for r in substring.substring_dedup(table, cfg).collect())
+        assert got == brute_substring(items, cfg.window)
+
+
+def test_extension():
+    """A match is extended both ways while words agree, and no further than both sides have words."""
+    cfg = substring.SubstringConfig(window=4, gram=2)
+    def windows(a, ahead, b, pivot_ahead):
+        low, high = substring.matched(a.encode().split(), ahead, b.encode().split(), pivot_ahead, cfg)
+        return list(range(low, high))
+    assert windows("a b X Y c d", 2, "a b X Y c d", 2) == [0, 1, 2]
+    assert windows("q b X Y c d", 2, "a b X Y c d", 2) == [1, 2]
+    assert windows("a b X Y c q", 2, "b X Y c d", 1) == [1]
+    assert windows("q b X Y q d", 2, "a b X Y c d", 2) == []
+    assert windows("a b X Z c d", 2, "a b X Y c d", 2) == []
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 
 
