@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,7 @@ from ..models import scorer as models
 from ..operators import datasets, directional, frames, metrics, nearest, poses, regions, splits, voxels
 from ..sources import register
 from ..sources.config import sha256_json, write_json
-from ..sources.sinks import predictions, write_dataset, write_ply
+from ..sources.sinks import file_checksums, predictions, write_dataset, write_ply
 
 
 @dataclass(frozen=True)
@@ -135,11 +136,15 @@ def load_recording(spark: SparkSession, path: str, topic: str | None = None, poi
     return (points if not truncated else points.join(kept.select("recording", "frame_index"), ["recording", "frame_index"], "left_semi")), truncated
 
 
-def _posed(points: DataFrame, trajectory: DataFrame, cfg: MovingConfig) -> tuple[DataFrame, DataFrame]:
+def frame_times(points: DataFrame) -> DataFrame:
+    """One row a frame: session_id, frame_index, time_ns."""
+    return points.select("session_id", "frame_index", F.col("header_time_ns").alias("time_ns")).distinct()
+
+
+def _posed(points: DataFrame, trajectory: DataFrame, cfg: MovingConfig, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """points with world coordinates, and their frames with times and pose status. Frames before the first or after the last
-    pose are left out; one in a gap between poses is an error."""
-    times = points.select("session_id", "frame_index", F.col("header_time_ns").alias("time_ns")).distinct()
-    timed = frames.relative_time(times)
+    pose are left out; one in a gap between poses is an error. times: frame_times() of the session, if points are part of it."""
+    timed = frames.relative_time(frame_times(points) if times is None else times)
     chosen = timed.where(F.col("relative_s") >= cfg.start_s)
     if cfg.end_s is not None:
         chosen = chosen.where(F.col("relative_s") < cfg.end_s)
@@ -163,13 +168,13 @@ def reference_map(points: DataFrame, trajectory: DataFrame, cfg: MovingConfig) -
     return own.withColumnsRenamed({"cx": "x", "cy": "y", "cz": "z"})
 
 
-def label_moving(points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig) -> DataFrame:
+def label_moving(points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig, times: DataFrame | None = None) -> DataFrame:
     """points with world coordinates, distance to the reference (exact in the covered volume, infinite outside it), labels
     and reasons, and the time chunk of their frame.
 
-    The whole session is one pass; chunks are a column to partition the output by.
+    The whole session is one pass; chunks are a column to partition the output by. times: see _posed().
     """
-    moved, posed = _posed(points, trajectory, cfg)
+    moved, posed = _posed(points, trajectory, cfg, times)
     moved = moved.withColumn("range", F.sqrt(F.col("sx").cast("double") ** 2 + F.col("sy").cast("double") ** 2 + F.col("sz").cast("double") ** 2).cast("float"))
     moved = moved.withColumn("input_valid", directional.input_valid(cfg.minimum_range, cfg.maximum_range, "sx", "sy", "sz", "x", "y", "z"))
     key = ["session_id", "frame_index", "point_index"]
@@ -193,6 +198,55 @@ def chunk_report(labelled: DataFrame) -> DataFrame:
     return counts.join(far, by, "left")
 
 
+def _content(df: DataFrame) -> list[str]:
+    """Number of rows and the sum of their hashes: a mark of a table's content, whatever its order and files."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(20,0)")).alias("sum")).first()
+    return [str(row["n"]), str(row["sum"])]
+
+
+def label_session(path: str, points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig, most_chunks: int | None = None) -> dict:
+    """label_moving() written chunk by chunk below path, so that a run that stops goes on where it stopped.
+
+    A chunk's points are written to points/chunk=<n>; then commits/<n>.json records what it was made from (a hash of the
+    configuration and of the three tables' contents), its counts and its files with their checksums. A chunk with a record is
+    not labelled again; what a stopped run left without one is overwritten. Records of other inputs or another configuration
+    are an error. manifest.json says "running" and the chunks so far after each one, and "complete" at the end.
+    most_chunks: chunks to label in this call; None: all. A chunk's job reads only points between the times of its frames.
+    """
+    spark, root = points.sparkSession, Path(path)
+    tables = {"points": _content(points), "trajectory": _content(trajectory), "reference": _content(reference)}
+    inputs = sha256_json({"config": json.loads(json.dumps(asdict(cfg), default=str)), "tables": tables})
+    times = staged(frame_times(points))
+    placed = frames.time_chunks(frames.relative_time(times), cfg.chunk_s, cfg.start_s, cfg.end_s)
+    plan = placed.groupBy("chunk", "chunk_start_s", "chunk_end_s").agg(F.min("time_ns").alias("first"), F.max("time_ns").alias("last")).orderBy("chunk").collect()  # one row a chunk
+    done: dict[int, dict] = {}
+    for file in sorted((root / "commits").glob("*.json")):
+        record = json.loads(file.read_text())
+        if record["inputs_sha256"] != inputs:
+            raise ValueError(f"{file} records other inputs or another configuration")
+        done[record["chunk"]] = record
+
+    def manifest(status: str) -> dict:
+        own = [done[c] for c in sorted(done)]
+        names = ("frames", "points", "unaffected", "impacted", "excluded", "ignored")
+        value = {"status": status, "inputs_sha256": inputs, "tables": tables, "chunks": own, "totals": {k: sum(r[k] for c in own for r in c["sessions"]) for k in names}}
+        write_json(root / "manifest.json", value)
+        return value
+
+    value = manifest("running")
+    for r in [r for r in plan if r["chunk"] not in done][:most_chunks]:
+        near = points.where(F.col("header_time_ns").between(r["first"], r["last"]))
+        labelled = label_moving(near, trajectory, reference, replace(cfg, start_s=r["chunk_start_s"], end_s=r["chunk_end_s"]), times).drop("chunk")
+        place = f"{path}/points/chunk={r['chunk']}"
+        labelled.write.mode("overwrite").parquet(place)
+        report = chunk_report(spark.read.schema(labelled.schema).parquet(place).withColumn("chunk", F.lit(r["chunk"]))).orderBy("session_id").collect()  # one row a session
+        files = [f.asDict() for f in file_checksums(spark, place).orderBy("path").collect()]
+        done[r["chunk"]] = {"chunk": r["chunk"], "inputs_sha256": inputs, "start_s": r["chunk_start_s"], "end_s": r["chunk_end_s"], "sessions": [x.asDict() for x in report], "files": files}
+        write_json(root / "commits" / f"{r['chunk']}.json", done[r["chunk"]])
+        value = manifest("running")
+    return value if len(done) < len(plan) else manifest("complete")
+
+
 def validate_clean(points: DataFrame, trajectory: DataFrame, reference: DataFrame, cfg: MovingConfig) -> DataFrame:
     """False positives of the rules on a clean interval, with exact distances for their quantiles."""
     moved, _ = _posed(points, trajectory, cfg)

@@ -1,6 +1,7 @@
 """Moving sessions against brute force, checked inputs, and recordings of several files."""
 
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -69,6 +70,34 @@ def test_moving_session(spark, tmp_path):
     assert "element vertex 20" in text and bounds["min_x"] == pytest.approx(voxels[:, 0].min())
 
 
+def test_session_is_resumed(spark, tmp_path):
+    """A run that stops after a chunk goes on without redoing it, and ends as one that didn't stop."""
+    clean, track = _session(spark, 1)
+    reference = staged(workflows.reference_map(clean, track, CFG))
+    points, _ = _session(spark, 2)
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    want = workflows.label_session(whole, points, track, reference, CFG)
+    first = workflows.label_session(parts, points, track, reference, CFG, most_chunks=1)
+    assert want["status"] == "complete" and first["status"] == "running" and [c["chunk"] for c in first["chunks"]] == [0]
+    # A chunk that was being written when the run stopped has no record.
+    left = tmp_path / "parts" / "points" / "chunk=1"
+    left.mkdir()
+    (left / "part-0.parquet").write_bytes(b"half")
+    got = workflows.label_session(parts, points, track, reference, CFG)
+    assert got["chunks"][0] == first["chunks"][0]  # the same files
+    slim = lambda m: [{k: v for k, v in c.items() if k != "files"} for c in m["chunks"]]
+    assert slim(got) == slim(want) and {k: v for k, v in got.items() if k != "chunks"} == {k: v for k, v in want.items() if k != "chunks"}
+    assert json.loads((tmp_path / "parts" / "manifest.json").read_text()) == got
+    labelled = staged(workflows.label_moving(points, track, reference, CFG))
+    columns = ["chunk", "session_id", "frame_index", "point_index", "label", "nearest_distance", "wx", "wy", "wz"]
+    for path in (whole, parts):
+        assert sorted(map(tuple, spark.read.parquet(f"{path}/points").select(columns).collect())) == sorted(map(tuple, labelled.select(columns).collect()))
+    with pytest.raises(ValueError, match="another configuration"):
+        workflows.label_session(parts, points, track, reference, replace(CFG, voxel_size=0.4))
+    with pytest.raises(ValueError, match="other inputs"):
+        workflows.label_session(parts, points.where("point_index > 0"), track, reference, CFG)
+
+
 def test_trajectories_are_checked(spark):
     points, track = _session(spark, 3, 5)
     reference = spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double")
